@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotlens.llm.bpe import bpe_decode, bpe_encode
 from lotlens.llm.common import table
 from lotlens.llm.exact_dedup import tree_exact_dedup
 from lotlens.llm.simhash import simhash_components
@@ -15,6 +17,21 @@ def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def bpe_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256 of its texts, encoded and decoded again, in place of the texts."""
+    path, pattern = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe_encode(docs, path, pattern).drop("text").withColumns({
+        "n_tokens": F.size("token_ids").cast("long"),
+        "ids_sha256": F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256),
+    })
+    decoded = bpe_decode(ids, path, pattern).drop("token_ids")
+    return decoded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
+def op9_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_tree_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tree_exact_dedup(docs, keep="max").drop("text")
@@ -22,6 +39,7 @@ def op10_tree_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash_gray_index": op3_simhash_gray_index,
+    "op9_bpe_merge_replay": op9_bpe_merge_replay,
     "op10_tree_exact_dedup": op10_tree_exact_dedup,
 }
 
