@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lotlens.llm.bpe import bpe_decode, bpe_encode
 from lotlens.llm.common import table
 from lotlens.llm.exact_dedup import tree_exact_dedup
+from lotlens.llm.kdshard import kd_tree_shards
 from lotlens.llm.simhash import simhash_components
 
 
@@ -17,6 +18,11 @@ def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kd_tree_shards(table(spark, sf_dir, "documents"), shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def bpe_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 of its texts, encoded and decoded again, in place of the texts."""
     path, pattern = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -39,6 +45,7 @@ def op10_tree_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash_gray_index": op3_simhash_gray_index,
+    "op8_kd_tree_shards": op8_kd_tree_shards,
     "op9_bpe_merge_replay": op9_bpe_merge_replay,
     "op10_tree_exact_dedup": op10_tree_exact_dedup,
 }
