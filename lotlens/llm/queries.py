@@ -11,6 +11,7 @@ from lotlens.llm.common import table
 from lotlens.llm.exact_dedup import tree_exact_dedup
 from lotlens.llm.kdshard import kd_tree_shards
 from lotlens.llm.simhash import simhash_components
+from lotlens.llm.toxicity import toxicity_scores, train
 
 
 def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,25 @@ def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+TOXIC_AT = 0.7
+
+
+def held_out() -> F.Column:
+    """Rows that no label is learned from."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3)) == 1
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with the score of a model that is trained on the labels outside the held-out third."""
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    return toxicity_scores(docs, train(table(spark, sf_dir, "documents"), labels))
+
+
+def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
 def op8_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kd_tree_shards(table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -45,6 +65,7 @@ def op10_tree_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash_gray_index": op3_simhash_gray_index,
+    "op6_counterfactual_toxicity": op6_counterfactual_toxicity,
     "op8_kd_tree_shards": op8_kd_tree_shards,
     "op9_bpe_merge_replay": op9_bpe_merge_replay,
     "op10_tree_exact_dedup": op10_tree_exact_dedup,
