@@ -69,3 +69,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def empty_if_null(col) -> F.Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def whole_runs(frames, key: list[str]):
+    """Pandas frames in which no run of equal ``key`` values is torn, from batches that are sorted by ``key``."""
+    import pandas as pd
+
+    held = None
+    for frame in frames:
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        keys = frame[key].to_numpy()
+        cut = int((keys == keys[-1]).all(axis=1).argmax())  # the last run may go on in the next batch
+        held = frame.iloc[cut:]
+        if cut:
+            yield frame.iloc[:cut]
+    if held is not None and len(held):
+        yield held
+
+
+def in_blocks(rows: DataFrame, size: str, id_col: str, hot: int) -> DataFrame:
+    """``rows`` with a column ``deal``: groups of at most ``hot`` rows whole, larger ones in blocks, every pair of which meets in a deal."""
+    parts = F.ceil(F.col(size) / (hot // 2)).cast("int")
+    mine = F.pmod(F.xxhash64(id_col), parts).cast("int")
+    deals = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.least(mine, o) * parts + F.greatest(mine, o))
+    return rows.withColumn("deal", F.explode(F.when(F.col(size) > hot, deals).otherwise(F.array(F.lit(0)))))

@@ -11,6 +11,7 @@ from lotlens.llm.common import table
 from lotlens.llm.exact_dedup import tree_exact_dedup
 from lotlens.llm.kdshard import kd_tree_shards
 from lotlens.llm.simhash import simhash_components
+from lotlens.llm.spotsigs import spot_neighbours
 from lotlens.llm.toxicity import toxicity_scores, train
 
 
@@ -19,6 +20,10 @@ def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_neighbours(table(spark, sf_dir, "documents"))
+
+
 TOXIC_AT = 0.7
 
 
@@ -65,6 +70,7 @@ def op10_tree_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash_gray_index": op3_simhash_gray_index,
+    "op5_spotsigs": op5_spotsigs,
     "op6_counterfactual_toxicity": op6_counterfactual_toxicity,
     "op8_kd_tree_shards": op8_kd_tree_shards,
     "op9_bpe_merge_replay": op9_bpe_merge_replay,

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotlens.llm.common import materialise, ship
+from lotlens.llm.common import in_blocks, materialise, ship, whole_runs
 from lotlens.llm.components import connected_components
 from lotlens.llm.gray import GrayIndex, gray_rank
 
@@ -76,20 +76,7 @@ def _linker(radius: int, key: list[str], code_cols: list[str], id_col: str):
     """mapInPandas function: rows sorted by ``key`` in, edges (a, b, distance) between ``id_col`` values out."""
 
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
-                continue
-            keys = frame[key].to_numpy()
-            cut = len(frame) - 1
-            same = (keys == keys[-1]).all(axis=1)
-            cut = int(np.argmax(same))  # the last run may go on in the next batch
-            held = frame.iloc[cut:]
-            if cut:
-                yield search(frame.iloc[:cut])
-        if held is not None and len(held):
-            yield search(held)
+        yield from map(search, whole_runs(frames, key))
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         keys = frame[key].to_numpy()
@@ -203,14 +190,8 @@ def near_duplicate_edges(df: DataFrame, id_col: str, text_col: str, k: int = 5,
     bands = materialise(texts.mapInPandas(sketches, "band int, value long, " + ", ".join(f"{c} long" for c in code) + ", id long"), "bands")
     sizes = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bands = bands.join(sizes, ["band", "value"])
-    usual = bands.where(F.col("n") <= hot).select("band", "value", F.lit(0).alias("deal"), *code, "id")
-    # A larger band is searched in blocks: every pair of its blocks meets in one task.
-    parts = F.ceil(F.col("n") / (hot // 2)).cast("int")
-    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
-    deals = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.least(mine, o) * parts + F.greatest(mine, o))
-    crowded = bands.where(F.col("n") > hot).select("band", "value", F.explode(deals).alias("deal"), *code, "id")
     key = ["band", "value", "deal"]
-    dealt = usual.unionByName(crowded).repartition(*key).sortWithinPartitions(*key)
+    dealt = in_blocks(bands, "n", "id", hot).select(*key, *code, "id").repartition(*key).sortWithinPartitions(*key)
     found = dealt.mapInPandas(_linker(radius, key, code, "id"), "a long, b long, d int").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     found = materialise(found, "links")
 
