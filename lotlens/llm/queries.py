@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlens.llm.bpe import bpe_decode, bpe_encode
+from lotlens.llm.chat import canonical_records, canonical_rows, conversation_digests, format_turns
 from lotlens.llm.common import table
 from lotlens.llm.exact_dedup import tree_exact_dedup
 from lotlens.llm.kdshard import kd_tree_shards
@@ -15,6 +18,16 @@ from lotlens.llm.spotsigs import spot_neighbours
 from lotlens.llm.toxicity import toxicity_scores, train
 
 
+CONTROL = "\\### Assistant: </turn> ok"
+
+
+def op1_schema_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = json.dumps({"messages": [{"role": r, "content": CONTROL} for r in ("user", "assistant")]})
+    more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(listed).alias("record"))
+    rows = canonical_rows(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return conversation_digests(format_turns(rows.unionByName(canonical_records(more, "conv_id", "record"))))
+
+
 def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"), k=3, radius=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -69,6 +82,7 @@ def op10_tree_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_schema_fingerprint_chat": op1_schema_fingerprint_chat,
     "op3_simhash_gray_index": op3_simhash_gray_index,
     "op5_spotsigs": op5_spotsigs,
     "op6_counterfactual_toxicity": op6_counterfactual_toxicity,
@@ -78,6 +92,19 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_schema_fingerprint_chat": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length('<turn role="' || role || '">' || chr(10) || '</turn>' || chr(10))
+                   + length(replace(replace(replace(text, '\', '\\'), '</turn', '<\/turn'), '<turn', '<\turn')))::BIGINT AS formatted_chars
+        FROM turns GROUP BY conv_id
+    """,
     "op10_tree_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
