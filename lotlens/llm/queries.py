@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotlens.llm import secret_crf
 from lotlens.llm.bpe import bpe_decode, bpe_encode
 from lotlens.llm.chat import canonical_records, canonical_rows, conversation_digests, format_turns
 from lotlens.llm.common import table
@@ -33,6 +34,13 @@ def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secret_crf.secret_spans(docs, secret_crf.train(docs))
+    count = lambda kind: F.size(F.filter(F.split("base", ","), lambda x: x.startswith(kind + ":"))).cast("long")
+    return out.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spot_neighbours(table(spark, sf_dir, "documents"))
 
@@ -84,6 +92,7 @@ def op10_tree_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_schema_fingerprint_chat": op1_schema_fingerprint_chat,
     "op3_simhash_gray_index": op3_simhash_gray_index,
+    "op4_secret_crf": op4_secret_crf,
     "op5_spotsigs": op5_spotsigs,
     "op6_counterfactual_toxicity": op6_counterfactual_toxicity,
     "op8_kd_tree_shards": op8_kd_tree_shards,
