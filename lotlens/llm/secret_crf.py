@@ -150,48 +150,64 @@ class Field:
         return out
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        """Secret spans of the whole text, by Viterbi.
+        return self.spans_of([text])[0]
+
+    def spans_of(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """Secret spans of whole texts, by Viterbi.
 
         A token is outside on the best path if its score as outside exceeds both others by more than the change can cost: up to
-        three transitions, and the next token's turn from inside to begin. Decoding is needed only between such tokens.
+        three transitions, and the next token's turn from inside to begin. Decoding is needed only for the runs between such
+        tokens; runs of one length are decoded together.
         """
-        tokens = TOKEN.findall(text)
-        if not tokens:
-            return []
-        e = self.emissions(tokens, text)
-        lead = e[:, O] - np.maximum(e[:, B], e[:, I]) - self.slack
-        lead[:-1] -= np.maximum(e[1:, I] - e[1:, B], 0)
-        open_at = np.flatnonzero(lead <= 0)
-        if not len(open_at):
-            return []
-        places = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+        scores, runs, at = [np.zeros((0, 3))], [np.zeros((0, 3), dtype=np.int64)], 0
+        for d, text in enumerate(texts):
+            tokens = TOKEN.findall(text)
+            if not tokens:
+                continue
+            e = self.emissions(tokens, text)
+            lead = e[:, O] - np.maximum(e[:, B], e[:, I]) - self.slack
+            lead[:-1] -= np.maximum(e[1:, I] - e[1:, B], 0)
+            unsure = np.flatnonzero(lead <= 0)
+            if len(unsure):
+                first = np.flatnonzero(np.append(True, np.diff(unsure) > 1))
+                length = np.diff(np.append(first, len(unsure)))
+                runs.append(np.column_stack([np.full(len(first), d), unsure[first], length]))
+                scores.append(e[unsure])
+        run, e = np.concatenate(runs), np.concatenate(scores)
+        begin = np.cumsum(run[:, 2]) - run[:, 2]
+        found: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for length in np.unique(run[:, 2]):
+            mine = np.flatnonzero(run[:, 2] == length)
+            cells = e[begin[mine][:, None] + np.arange(length)]
+            tags = viterbi(cells, self.moves, np.where(run[mine, 1][:, None] == 0, START, self.moves[O]))
+            for i in np.flatnonzero((tags == B).any(axis=1)):
+                start = None
+                for j, tag in enumerate([*tags[i].tolist(), O]):
+                    if tag != I and start is not None:
+                        found[run[mine[i], 0]].append((int(run[mine[i], 1]) + start, int(run[mine[i], 1]) + j - 1))
+                        start = None
+                    if tag == B:
+                        start = j
         out = []
-        for run in np.split(open_at, np.flatnonzero(np.diff(open_at) > 1) + 1):
-            first, last = int(run[0]), int(run[-1])
-            tags = viterbi(e[first : last + 1], self.moves, START if first == 0 else self.moves[O])
-            start = None
-            for i, tag in enumerate([*tags, O]):
-                if tag != I and start is not None:
-                    out.append((places[start][0], places[first + i - 1][1]))
-                    start = None
-                if tag == B:
-                    start = first + i
+        for text, f in zip(texts, found, strict=True):
+            places = [m.span() for m in TOKEN.finditer(text)] if f else []
+            out.append([(places[a][0], places[b][1]) for a, b in sorted(f)])
         return out
 
 
-def viterbi(e: np.ndarray, moves: np.ndarray, start: np.ndarray) -> list[int]:
-    score, back = start + e[0], []
-    for row in e[1:]:
-        all_moves = score[:, None] + moves
-        back.append(all_moves.argmax(axis=0))
-        score = all_moves.max(axis=0) + row
-    # what follows a run is outside
-    tag = int((score + moves[:, O]).argmax())
+def viterbi(e: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Best tags (n, length) of n runs (n, length, 3) that are each followed by an outside token."""
+    score, back = start + e[:, 0], []
+    for t in range(1, e.shape[1]):
+        through = score[:, :, None] + moves
+        back.append(through.argmax(axis=1))
+        score = through.max(axis=1) + e[:, t]
+    tag = (score + moves[:, O]).argmax(axis=1)
     tags = [tag]
     for b in reversed(back):
-        tag = int(b[tag])
+        tag = b[np.arange(len(tag)), tag]
         tags.append(tag)
-    return tags[::-1]
+    return np.stack(tags[::-1], axis=1)
 
 
 # --- training ---
@@ -287,19 +303,23 @@ def fit(examples: list[tuple[str, list[tuple[int, int]]]], rounds: int = 80, ste
     length = live.sum(axis=1)
     for _ in range(rounds):
         e = np.stack([np.bincount(cell, w[col, k] * val, minlength=n * longest) for k in range(3)], axis=-1).reshape(n, longest, 3)
-        alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[:, 0] = START + e[:, 0]
-        for t in range(1, longest):
-            alpha[:, t] = np.logaddexp.reduce(alpha[:, t - 1, :, None] + moves, axis=1) + e[:, t]
+        # probabilities, scaled to sum to 1 at each position; beyond a sequence's end, beta stays 1
+        e = np.exp(e - e.max(axis=-1, keepdims=True))
+        m = np.exp(moves)
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.ones((n, longest))
+        for t in range(longest):
+            now = (alpha[:, t - 1] @ m if t else np.exp(START)) * e[:, t]
+            scale[:, t] = now.sum(axis=-1)
+            alpha[:, t] = now / scale[:, t, None]
         for t in range(longest - 2, -1, -1):
-            step_back = np.logaddexp.reduce(moves + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-            beta[:, t] = np.where((t + 1 < length)[:, None], step_back, 0)
-        z = np.logaddexp.reduce(alpha[np.arange(n), length - 1], axis=1)
-        p = np.exp(alpha + beta - z[:, None, None]) * live[:, :, None]
-        pair = np.exp(alpha[:, :-1, :, None] + moves + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[:, :, None, None]
+            back = ((e[:, t + 1] * beta[:, t + 1]) @ m.T) / scale[:, t + 1, None]
+            beta[:, t] = np.where((t + 1 < length)[:, None], back, 1)
+        p = alpha * beta * live[:, :, None]
+        ahead = e[:, 1:] * beta[:, 1:] / scale[:, 1:, None] * both[:, :, None]
+        pairs = np.einsum("nti,ntj->ij", alpha[:, :-1], ahead) * m
         d = ((gold - p) / n).reshape(-1, 3)
         g = np.stack([np.bincount(col, d[cell, k] * val, minlength=len(names)) for k in range(3)], axis=-1) - l2 * w
-        gm = (gold_moves - pair.sum(axis=(0, 1))) / n
+        gm = (gold_moves - pairs) / n
         gm[O, I] = 0
         sums_w += g * g
         sums_m += gm * gm
@@ -331,14 +351,14 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
 
-def all_spans(text: str, model: Field) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
-    """(pattern spans, these and the field's further spans), by start and then kind."""
-    base = base_spans(text)
-    more = []
-    for s, e in model.spans(text):
-        if all(e <= x or s >= y for x, _, y in base):
-            more.append((s, "model", e))
-    return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1])))
+def all_spans(texts: list[str], model: Field) -> list[tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]]:
+    """For each text: pattern spans; these and the field's further spans, by start and then kind."""
+    out = []
+    for text, found in zip(texts, model.spans_of(texts), strict=True):
+        base = base_spans(text)
+        more = [(s, "model", e) for s, e in found if all(e <= x or s >= y for x, _, y in base)]
+        out.append((base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1])))))
+    return out
 
 
 def secret_spans(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,9 +372,9 @@ def secret_spans(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         crf = Field(*shared.value)
         for f in frames:
-            for at in range(0, len(f), 1024):
-                part = f.iloc[at : at + 1024]
-                got = [all_spans(t, crf) for t in part["t"]]
+            for at in range(0, len(f), 256):
+                part = f.iloc[at : at + 256]
+                got = all_spans(part["t"].tolist(), crf)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "base": [joined(b) for b, _ in got], "spans": [joined(s) for _, s in got]})
 
     kind = docs.schema[id_col].dataType.simpleString()
