@@ -17,6 +17,7 @@ from lotlens.llm.kdshard import kd_tree_shards
 from lotlens.llm.simhash import simhash_components
 from lotlens.llm.spotsigs import spot_neighbours
 from lotlens.llm.toxicity import toxicity_scores, train
+from lotlens.llm.warc import archive_pages
 
 
 CONTROL = "\\### Assistant: </turn> ok"
@@ -29,6 +30,11 @@ def op1_schema_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_turns(rows.unionByName(canonical_records(more, "conv_id", "record"))))
 
 
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archive_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+
+
 def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"), k=3, radius=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -91,6 +97,7 @@ def op10_tree_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_schema_fingerprint_chat": op1_schema_fingerprint_chat,
+    "op2_arc_to_warc": op2_arc_to_warc,
     "op3_simhash_gray_index": op3_simhash_gray_index,
     "op4_secret_crf": op4_secret_crf,
     "op5_spotsigs": op5_spotsigs,
@@ -114,6 +121,16 @@ ORACLES = {
                    + length(replace(replace(replace(text, '\', '\\'), '</turn', '<\/turn'), '<turn', '<\turn')))::BIGINT AS formatted_chars
         FROM turns GROUP BY conv_id
     """,
+    "op2_arc_to_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        g AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM g
+    """,
     "op10_tree_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
