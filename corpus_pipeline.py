@@ -3,19 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lotlens.llm import queries
 from lotlens.llm.common import materialise, table
 from lotlens.llm.exact_dedup import tree_exact_dedup
+from lotlens.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return queries.toxicity(spark, docs, sf_dir).where(F.col("score") < queries.TOXIC_AT).select(*COLUMNS)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
     return tree_exact_dedup(docs, keep="max").where("kept").select(*COLUMNS)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more over five-word shingles, the smallest doc_id stays."""
+    dropped = near_duplicates(docs).where("doc_id != component_id").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose source, language and topic shares are evened out."""
+    return queries.mixed(docs).where("kept").select(*COLUMNS)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's tokens: number and digest of its ids, and digest of what they decode to."""
+    return queries.bpe_digests(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("mixing", mixing),
+    ("byte-level BPE", bpe),
+]
+
+#: A trained classifier and fingerprints are not expressible in SQL.
 ORACLE_SQL = None
 
 

@@ -14,6 +14,7 @@ from lotlens.llm.chat import canonical_records, canonical_rows, conversation_dig
 from lotlens.llm.common import table
 from lotlens.llm.exact_dedup import tree_exact_dedup
 from lotlens.llm.kdshard import kd_tree_shards
+from lotlens.llm.mixing import approximate_tokens, mix, surface_topic
 from lotlens.llm.simhash import simhash_components
 from lotlens.llm.spotsigs import spot_neighbours
 from lotlens.llm.toxicity import toxicity_scores, train
@@ -70,6 +71,16 @@ def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` with weights raked to source, language and topic shares."""
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": surface_topic("text")}
+    return mix(docs, dims, approximate_tokens("text"))
+
+
+def op7_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+
+
 def op8_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kd_tree_shards(table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -102,6 +113,7 @@ QUERIES = {
     "op4_secret_crf": op4_secret_crf,
     "op5_spotsigs": op5_spotsigs,
     "op6_counterfactual_toxicity": op6_counterfactual_toxicity,
+    "op7_ipf_mixing": op7_ipf_mixing,
     "op8_kd_tree_shards": op8_kd_tree_shards,
     "op9_bpe_merge_replay": op9_bpe_merge_replay,
     "op10_tree_exact_dedup": op10_tree_exact_dedup,
