@@ -75,31 +75,39 @@ class GrayIndex:
             q, node, acc, seen = q[keep], child[keep], acc[keep], seen[keep]
         raise AssertionError
 
-    def tree_edges(self, radius: int, block: int = 1024):
-        """Edges (position, position, distance) of a shortest spanning forest of all links: no link is lost, no group is paired out.
+    def tree_edges(self, radius: int, block: int = 1024, forests: int = 1, joined: np.ndarray | None = None, barred: np.ndarray | None = None):
+        """Edges (position, position, distance) of shortest spanning forests of all links: no link is lost, no group is paired out.
 
-        Queries go through the index in blocks; after each, the forest so far and the new links are thinned by Kruskal's rule.
+        forests: how many edge-disjoint ones. joined: (a, b) positions that are connected already. barred: (a, b) positions, a > b,
+        that are no links after all. Queries go through the index in blocks; after each, the forests so far and the new links are thinned by Kruskal's rule.
         """
         n = len(self.codes)
+        kept = [np.zeros((0, 3), dtype=np.int64) for _ in range(forests)]
         if not n:
-            return np.zeros((0, 3), dtype=np.int64)
-        top = np.searchsorted(self.roots, np.arange(len(self.roots) - 1), "left")  # one root a run
+            return kept[0]
         low_of_run = self._run_starts()
-        run = np.searchsorted(low_of_run, np.arange(n), "right") - 1
+        run = np.searchsorted(low_of_run, np.arange(n), "right") - 1  # also the run's root
         size = np.diff(np.append(low_of_run, n))
         busy = np.flatnonzero(size[run] > 1)
-        forest = np.zeros((0, 3), dtype=np.int64)
+        no = np.sort(barred[:, 0] * n + barred[:, 1]) if barred is not None else np.zeros(0, dtype=np.int64)
         at = 0
         while at < len(busy):
             # a block of queries whose runs hold at most so many pairs
             cost = np.cumsum(size[run[busy[at : at + block * 16]]])
             take = max(1, int(np.searchsorted(cost, block * block, "right")))
             q = busy[at : at + take]
-            a, b, d = self.pairs(radius, q, top[run[q]])
-            if len(a):
-                forest = spanning(n, np.concatenate([forest, np.column_stack([a, b, d]).astype(np.int64)]))
+            e = np.column_stack(self.pairs(radius, q, run[q])).astype(np.int64)
+            if len(no) and len(e):
+                code = e[:, 0] * n + e[:, 1]
+                e = e[no[np.minimum(np.searchsorted(no, code), len(no) - 1)] != code]
+            for i in range(forests):
+                if not len(e):
+                    break
+                e = np.concatenate([kept[i], e])
+                chosen = spanning(e, joined)
+                kept[i], e = e[chosen], e[~chosen]
             at += take
-        return forest
+        return np.concatenate(kept)
 
     def _run_starts(self) -> np.ndarray:
         starts = np.arange(len(self.roots) - 1)
@@ -108,20 +116,27 @@ class GrayIndex:
         return starts
 
 
-def spanning(n: int, edges: np.ndarray) -> np.ndarray:
-    """The edges (a, b, distance) that Kruskal's rule keeps, shortest first."""
-    edges = edges[np.argsort(edges[:, 2], kind="stable")]
-    nodes, flat = np.unique(edges[:, :2], return_inverse=True)
-    parent = list(range(len(nodes)))
-    kept = []
-    for i, (a, b) in enumerate(flat.reshape(-1, 2).tolist()):
+def spanning(edges: np.ndarray, joined: np.ndarray | None = None) -> np.ndarray:
+    """Which edges (a, b, distance) Kruskal's rule keeps, shortest first, once the joined pairs (a, b) are connected."""
+    before = joined if joined is not None else np.zeros((0, 2), dtype=np.int64)
+    _, flat = np.unique(np.concatenate([before, edges[:, :2]]), return_inverse=True)
+    flat = flat.reshape(-1, 2)
+    parent = list(range(int(flat.max()) + 1))
+
+    def unite(a: int, b: int) -> bool:
         while parent[a] != a:
             parent[a] = parent[parent[a]]
             a = parent[a]
         while parent[b] != b:
             parent[b] = parent[parent[b]]
             b = parent[b]
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append(i)
-    return edges[kept]
+        parent[max(a, b)] = min(a, b)
+        return a != b
+
+    for a, b in flat[: len(before)].tolist():
+        unite(a, b)
+    kept = np.zeros(len(edges), dtype=bool)
+    order = np.argsort(edges[:, 2], kind="stable")
+    for i, (a, b) in zip(order.tolist(), flat[len(before) :][order].tolist(), strict=True):
+        kept[i] = unite(a, b)
+    return kept

@@ -72,26 +72,39 @@ def simhash_fingerprints(df: DataFrame, text_col: str = "text", k: int = 3) -> F
     return fingerprint(F.col(text_col))
 
 
-def _linker(radius: int, key: list[str], code_cols: list[str], id_col: str):
-    """mapInPandas function: rows sorted by ``key`` in, edges (a, b, distance) between ``id_col`` values out."""
+def _linker(radius: int, key: list[str], code_cols: list[str], id_col: str, forests: int = 1, verdicts: bool = False):
+    """mapInPandas function: rows sorted by ``key`` in, links (key, a, b) between ``id_col`` values out.
+
+    With ``verdicts``, rows whose ``other`` is set say whether the pair (id, other) was found alike (``alike``).
+    """
 
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from map(search, whole_runs(frames, key))
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
+        told = frame[frame["other"].notna()] if verdicts else frame.iloc[:0]
+        frame = frame[frame["other"].isna()] if verdicts else frame
         keys = frame[key].to_numpy()
-        change = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
+        change = np.append(True, (keys[1:] != keys[:-1]).any(axis=1)) if len(frame) else np.zeros(0, bool)
         run = np.cumsum(change) - 1
-        lone = np.bincount(run)[run] < 2
+        lone = np.bincount(run)[run] < 2 if len(frame) else np.zeros(0, bool)
         if lone.all():
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "d": np.zeros(0, np.int32)})
-        run, ids = run[~lone], frame[id_col].to_numpy()[~lone]
-        codes = np.ascontiguousarray(frame[code_cols].to_numpy(dtype=np.int64)[~lone]).view(np.uint64)
+            return pd.DataFrame({**{k: np.zeros(0, np.int64) for k in key}, "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        run, frame = run[~lone], frame[~lone]
+        codes = np.ascontiguousarray(frame[code_cols].to_numpy(dtype=np.int64)).view(np.uint64)
         order = np.lexsort((gray_rank(codes), run))
-        codes, ids, run = codes[order], ids[order], run[order]
+        codes, run, frame = codes[order], run[order], frame.iloc[order]
+        ids = frame[id_col].to_numpy()
         starts = np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), len(run))
-        e = GrayIndex(codes, starts).tree_edges(radius)
-        return pd.DataFrame({"a": ids[e[:, 0]], "b": ids[e[:, 1]], "d": e[:, 2].astype(np.int32)})
+        joined = barred = None
+        if len(told):
+            at = frame[[*key, id_col]].assign(pos=np.arange(len(frame)))
+            both = told.merge(at, on=[*key, id_col]).merge(at.rename(columns={id_col: "other", "pos": "pos2"}), on=[*key, "other"])
+            pair = np.sort(both[["pos", "pos2"]].to_numpy(dtype=np.int64), axis=1)[:, ::-1]
+            alike = both["alike"].to_numpy(dtype=bool)
+            joined, barred = pair[alike], pair[~alike]
+        e = GrayIndex(codes, starts).tree_edges(radius, forests=forests, joined=joined, barred=barred)
+        return pd.DataFrame({**{k: frame[k].to_numpy()[e[:, 0]] for k in key}, "a": ids[e[:, 0]], "b": ids[e[:, 1]]})
 
     return links
 
@@ -110,7 +123,7 @@ def hamming_edges(fps: DataFrame, fp: str = "fp", radius: int = 2, hot: int = 40
     crowded = keys.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("block", "value", F.lit(True).alias("crowded"))
     keys = keys.join(crowded, ["block", "value"], "left")
     usual = keys.where("crowded is null").select("block", "value", "fp").repartition("block", "value").sortWithinPartitions("block", "value")
-    found = usual.mapInPandas(_linker(radius, ["block", "value"], ["fp"], "fp"), "a long, b long, d int").select("a", "b")
+    found = usual.mapInPandas(_linker(radius, ["block", "value"], ["fp"], "fp"), "block int, value long, a long, b long").select("a", "b")
     ball = F.transform(F.sequence(F.lit(-1), F.lit(63)), lambda i: F.when(i < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.expr("1L") * F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     meet = keys.where("crowded").select("block", "value", "fp", F.explode(ball).alias("point")).groupBy("block", "value", "point").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
     return found.unionByName(meet.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a != b"))
@@ -166,9 +179,13 @@ def jaccard(a: str | None, b: str | None, k: int = 5) -> float:
     return common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0
 
 
-def near_duplicate_edges(df: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8, radius: int = 58, hot: int = 4096) -> DataFrame:
+def near_duplicate_edges(df: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8, radius: int = 56, hot: int = 4096) -> DataFrame:
     """Verified edges (a, b) between identifiers that keep near-duplicates connected; identifiers must be unique.
 
+    Each band gives a shortest spanning forest of its SimHash links, whose edges are checked on whole texts. Bands where a
+    check failed are searched again without the failed pairs, with twice as many disjoint forests, until every edge holds;
+    then no pair that shares a band and is alike is left unconnected, and only pairs that no link could spare were compared.
+
     radius: of the 256-bit prefilter; texts at a similarity of 0.8 differ in 39 bits, give or take 6.
     """
     spark = df.sparkSession
@@ -191,19 +208,41 @@ def near_duplicate_edges(df: DataFrame, id_col: str, text_col: str, k: int = 5,
     sizes = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bands = bands.join(sizes, ["band", "value"])
     key = ["band", "value", "deal"]
-    dealt = in_blocks(bands, "n", "id", hot).select(*key, *code, "id").repartition(*key).sortWithinPartitions(*key)
-    found = dealt.mapInPandas(_linker(radius, key, code, "id"), "a long, b long, d int").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    found = materialise(found, "links")
+    dealt = in_blocks(bands, "n", "id", hot).select(*key, *code, "id")
+    dealt = materialise(dealt, "dealt")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            same = [jaccard(x, y, k) >= similarity for x, y in zip(frame["ta"], frame["tb"], strict=True)]
-            yield frame.loc[same, ["a", "b"]]
-
-    ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    linked = materialise(texts.join(ends, "id"), "linked")
-    both = found.join(linked.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(linked.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
+            alike = [jaccard(x, y, k) >= similarity for x, y in zip(frame["ta"], frame["tb"], strict=True)]
+            yield frame[["a", "b"]].assign(alike=alike)
+
+    member = [*key, *code, "id"]
+    rows = dealt.select(*member, F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("alike"))
+    linked = judged = None
+    forests = 1
+    while True:
+        schema = "band int, value long, deal int, a long, b long"
+        found = rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_linker(radius, key, code, "id", forests, judged is not None), schema)
+        found = materialise(found.select(*key, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"), "found")
+        pairs = found.select("a", "b").distinct()
+        if linked is None:
+            ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            linked = materialise(texts.join(ends, "id"), "linked")
+        else:
+            pairs = pairs.join(judged, ["a", "b"], "left_anti")
+        both = pairs.join(linked.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(linked.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+        fresh = materialise(both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long, alike boolean"), "judged")
+        judged = fresh if judged is None else materialise(judged.unionByName(fresh), "judged")
+        # Where a link of a band's forest fails, the band is searched again without it: a longer link may hold what it held.
+        again = found.join(fresh.where("not alike"), ["a", "b"], "left_semi").select(*key).distinct()
+        if fresh.where("not alike").isEmpty():
+            return judged.where("alike").select("a", "b")
+        rest = materialise(dealt.join(again, key, "left_semi"), "again")
+        pair = judged.join(rest.select(*key, F.col("id").alias("a")), "a").join(rest.select(*key, F.col("id").alias("b")), [*key, "b"])
+        empty = [F.lit(0).cast("long").alias(c) for c in code]
+        told = pair.select(*key, *empty, F.col("a").alias("id"), F.col("b").alias("other"), "alike")
+        rows = rest.select(*member, F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("alike")).unionByName(told)
+        forests *= 2
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
