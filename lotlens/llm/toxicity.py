@@ -47,11 +47,17 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def counterfactual_pairs(texts_words: list[set[str]]) -> list[tuple[list[int], list[int], float]]:
+def counts(words: set[str]) -> np.ndarray:
+    """The distinct features (f) of distinct words, and in how many of these words each stands (n)."""
+    f, n = np.unique(np.array([x for w in words for x in features(w)], dtype=np.int32), return_counts=True)
+    return np.rec.fromarrays([f, n.astype(np.int32)], names="f,n")
+
+
+def counterfactual_pairs(terms_in: list[set[str]]) -> list[tuple[list[int], list[int], float]]:
     """(features taken out, features put in, weight): swaps of identity terms, weighted by how often they occur."""
     seen = dict.fromkeys(IDENTITY_TERMS, 1.0)
-    for w in texts_words:
-        for t in w.intersection(seen):
+    for w in terms_in:
+        for t in w:
             seen[t] += 1
     out, terms = [], list(seen)
     for i, t in enumerate(terms):
@@ -80,25 +86,23 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(word_sets: list[set[str]], labels: np.ndarray, swap_weight: float = 1.0, l1: float = 2e-4, l2: float = 1e-5, rounds: int = 400) -> Model:
+def fit(rows_of: list[np.ndarray], labels: np.ndarray, terms_in: list[set[str]] = (), swap_weight: float = 1.0, l1: float = 2e-4, l2: float = 1e-5, rounds: int = 400) -> Model:
     """Accelerated proximal gradient on the logistic loss, the swap penalty and L1/L2 terms. No rows: every score is 0."""
     y = np.asarray(labels, dtype=np.float64)
     if not len(y) or y.sum() in (0, len(y)):
         return Model(np.zeros(1 << BITS), -30.0 if not len(y) or not y.sum() else 0.0)
-    cols = [np.array([f for w in s for f in features(w)], dtype=np.int64) for s in word_sets]
-    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    col = np.concatenate(cols)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(r) for r in rows_of])
+    col = np.concatenate([r["f"] for r in rows_of]).astype(np.int32)
+    times = np.concatenate([r["n"] for r in rows_of]).astype(np.float32)
     # Features that say something about the label: their share of positives lies off the base rate.
-    once = np.unique(row * (1 << BITS) + col)
-    r1, c1 = once >> BITS, once & ((1 << BITS) - 1)
-    n, pos = np.bincount(c1, minlength=1 << BITS), np.bincount(c1, y[r1], minlength=1 << BITS)
+    n, pos = np.bincount(col, minlength=1 << BITS), np.bincount(col, y[row], minlength=1 << BITS)
     base = y.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         z = (pos - n * base) / np.sqrt(n * base * (1 - base))
-    swaps = counterfactual_pairs(word_sets)
+    swaps = counterfactual_pairs(terms_in)
     use = (n >= 3) & (np.abs(np.nan_to_num(z)) >= 3)
     keep = use[col]
-    row, col = row[keep], col[keep]
+    row, col, times = row[keep], col[keep], times[keep]
     live = np.flatnonzero(use)
     place = np.zeros(1 << BITS, dtype=np.int64)
     place[live] = np.arange(len(live))
@@ -108,12 +112,12 @@ def fit(word_sets: list[set[str]], labels: np.ndarray, swap_weight: float = 1.0,
     total = sum(c for *_, c in swaps)
     w, b, rows = np.zeros(len(live)), np.log(base / (1 - base)), len(y)
     v, vb, t = w.copy(), b, 1.0
-    fan = np.bincount(row, minlength=rows)
+    fan = np.bincount(row, times, minlength=rows)
     step = 4.0 / (1 + np.mean(fan.astype(float) ** 2) ** 0.5 + 4 * swap_weight)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(vb + np.bincount(row, v[col], minlength=rows), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(vb + np.bincount(row, v[col] * times, minlength=rows), -30, 30)))
         d = (p - y) / rows
-        g = np.bincount(col, d[row], minlength=len(w)) + l2 * v
+        g = np.bincount(col, d[row] * times, minlength=len(w)) + l2 * v
         for out, into, c in pairs:
             gap = swap_weight * c / total * (v[out].sum() - v[into].sum())
             np.add.at(g, out, gap)
@@ -129,7 +133,7 @@ def fit(word_sets: list[set[str]], labels: np.ndarray, swap_weight: float = 1.0,
     return Model(weights, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, train_rows: int = 6000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, train_rows: int = 5000, **options) -> Model:
     """Fit on the ``train_rows`` labelled rows with the smallest hashes of their identifier.
 
     usable: which labels may be learned from. Null labels and identifiers are left out; an identifier that is labelled twice
@@ -141,12 +145,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = rows.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
     got = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(sample), "__id")
 
+    terms = frozenset(IDENTITY_TERMS)
+
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"id": f["__id"].astype("int64"), "y": f["__y"], "words": ["\n".join(sorted(words_of(t))) for t in f["__t"]]})
+            words = [words_of(t) for t in f["__t"]]
+            yield pd.DataFrame({"id": f["__id"].astype("int64"), "y": f["__y"], "counts": [counts(w).tobytes() for w in words], "terms": [" ".join(sorted(w & terms)) for w in words]})
 
-    found = got.mapInPandas(split, "id long, y int, words string").toPandas().sort_values(["id", "words"])
-    return fit([set(w.split("\n")) - {""} for w in found["words"]], found["y"].to_numpy(), **options)
+    found = got.mapInPandas(split, "id long, y int, counts binary, terms string").toPandas().sort_values(["id", "counts"])
+    rows = [np.frombuffer(c, dtype=[("f", np.int32), ("n", np.int32)]) for c in found["counts"]]
+    return fit(rows, found["y"].to_numpy(), [set(t.split()) for t in found["terms"]], **options)
 
 
 def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
