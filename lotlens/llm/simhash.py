@@ -203,7 +203,7 @@ def near_duplicate_edges(df: DataFrame, id_col: str, text_col: str, k: int = 5,
                 out["id"] = np.repeat(part["id"].to_numpy(), BANDS)
                 yield out
 
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
     bands = materialise(texts.mapInPandas(sketches, "band int, value long, " + ", ".join(f"{c} long" for c in code) + ", id long"), "bands")
     sizes = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bands = bands.join(sizes, ["band", "value"])
@@ -248,7 +248,8 @@ def near_duplicate_edges(df: DataFrame, id_col: str, text_col: str, k: int = 5,
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id): the smallest identifier reachable over texts whose k-word shingle sets are at least ``similarity`` alike.
 
-    One row per distinct identifier that has a near-duplicate; all others stand alone. Texts without words are alike.
+    One row per distinct identifier that has a near-duplicate; all others stand alone. Texts without words are alike;
+    null identifiers are left out.
     """
     roots = connected_components(near_duplicate_edges(df, id_col, text_col, k, similarity))
     return roots.select(F.col("node").alias(id_col), F.col("root").alias("component_id"))

@@ -139,7 +139,7 @@ def test_near_duplicates(spark):
     texts += [prose(rng, 60) for _ in range(30)] + ["a b", "a b c", "", None]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
     want = {i: r for i, r in enumerate(roots(len(texts), links)) if any(i in x for x in links)}
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, list(enumerate(texts)))).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, [*enumerate(texts), (None, texts[0])])).collect()}
     assert got == want
 
 
