@@ -9,6 +9,9 @@ Encoded pre-tokens are remembered, so that a frequent word is merged once a task
 from __future__ import annotations
 
 import base64
+import gc
+import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -16,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,7 +27,7 @@ from pyspark.sql import types as T
 from lotlens.llm.common import ship
 
 #: Pre-tokens that a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Pairs whose merge a task remembers before it starts anew.
 PAIRS = 1_000_000
 #: Documents that are one corpus, at most.
@@ -39,7 +43,7 @@ class MergeReplay:
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.byte_merges = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int64)
         self.merges: dict[int, int] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # int32 ids of a pre-token
 
     def _merge(self, left: int, right: int) -> int:
         """Rank of the token that the pair becomes, or -1; remembered."""
@@ -51,7 +55,7 @@ class MergeReplay:
 
     def learn(self, words: list[str]) -> None:
         """Encode distinct pre-tokens as one corpus and remember them."""
-        raws, open_words, known, whole = [], [], self.known, self.ranks.get
+        raws, open_words, known, whole, pack = [], [], self.known, self.ranks.get, struct.Struct("=i").pack
         for word in words:
             raw = word.encode("utf-8")
             rank = whole(raw)
@@ -59,7 +63,7 @@ class MergeReplay:
                 raws.append(raw)
                 open_words.append(word)
             else:
-                known[word] = (rank,)
+                known[word] = pack(rank)
         if not raws:
             return
         # Words stand apart by a gap that no pair crosses.
@@ -124,11 +128,11 @@ class MergeReplay:
                     break
         start = 0
         for word, end in zip(open_words, ends.tolist(), strict=True):
-            ids, at = [], start
+            ids, at = array("i"), start
             while at < end:
                 ids.append(spell[at])
                 at = after[at]
-            known[word] = tuple(ids)
+            known[word] = ids.tobytes()
             start = end + 1
 
     def encode(self, texts: list[str]) -> list[list[str]]:
@@ -143,7 +147,7 @@ class MergeReplay:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         get = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, p)), dtype=np.int32) for p in self.encode(texts)]
+        return [np.frombuffer(b"".join(map(get, p)), dtype=np.int32) for p in self.encode(texts)]
 
     def text_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -172,6 +176,7 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
+        gc.disable()  # no cycles here, and many small objects to walk
         for whole in batches:
             for i in range(0, whole.num_rows, BATCH):
                 b = whole.slice(i, BATCH)
@@ -193,7 +198,9 @@ def bpe_decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids
         for whole in batches:
             for i in range(0, whole.num_rows, BATCH):
                 b = whole.slice(i, BATCH)
-                column = pa.array([bpe.text_bytes(ids or ()) for ids in b.column(ids_col).to_pylist()], type=pa.binary())
+                listed = b.column(ids_col).fill_null([])
+                ids, ends = listed.flatten().to_numpy().tolist(), [0, *np.cumsum(pc.list_value_length(listed).to_numpy()).tolist()]
+                column = pa.array([bpe.text_bytes(ids[x:y]) for x, y in zip(ends, ends[1:], strict=False)], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), column], names=[*names, out_col])
 
     return df.mapInArrow(run, schema)
