@@ -32,6 +32,8 @@ CHAIN = 3
 #: Below this many signatures, every word is an anchor, and content words count by themselves.
 FEW = 12
 WORD = re.compile(r"\w+")
+#: Rows of a partition, at most about, when texts are dealt by identifier.
+PART_ROWS = 200_000
 
 
 class Signer:
@@ -114,7 +116,7 @@ def spot_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     ship(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("o"), empty_if_null(text_col).alias("t"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // PART_ROWS)
     cuts = rows.agg(F.percentile_approx("o", [i / (2 * n) for i in range(1, 2 * n)], 100 * n)).first()[0] or []
     part = F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<long>"), lambda c: c > F.col("o"))) if cuts else F.lit(0)
     rows = rows.withColumn("part", part)

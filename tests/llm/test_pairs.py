@@ -8,7 +8,7 @@ import pytest
 from lotlens.llm.components import connected_components
 from lotlens.llm.exact_dedup import tree_exact_dedup
 from lotlens.llm.gray import GrayIndex, gray_rank
-from lotlens.llm.simhash import hamming_edges, jaccard, near_duplicates, shingle_hashes, simhash, simhash_components, simhash_fingerprints
+from lotlens.llm.simhash import hamming_edges, jaccard, near_duplicate_edges, near_duplicates, shingle_hashes, simhash, simhash_components, simhash_fingerprints
 from lotlens.llm.spotsigs import Signer, edited, likeness, spot_neighbours, spotsigs_components
 
 DOCS = "doc_id long, text string, source string, keep_id string"
@@ -143,6 +143,16 @@ def test_near_duplicates(spark):
     assert got == want
 
 
+def test_near_duplicates_in_blocks(spark):
+    rng = random.Random(12)
+    base = prose(rng, 120)
+    texts = [copies(rng, base, e % 5) for e in range(40)] + [prose(rng, 50) for _ in range(10)]
+    texts = list(dict.fromkeys(texts))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    edges = [(r["a"], r["b"]) for r in near_duplicate_edges(docs(spark, list(enumerate(texts))), "doc_id", "text", hot=6).collect()]
+    assert set(edges) <= set(links) and roots(len(texts), edges) == roots(len(texts), links)
+
+
 def test_spot_neighbours(spark):
     rng = random.Random(2)
     texts = {i: prose(rng, rng.randrange(0, 200)) for i in range(0, 90, 3)} | {1: None, 2: "😀é" * 50, 4: " ", 7: "one"}
