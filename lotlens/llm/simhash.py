@@ -218,11 +218,13 @@ def near_duplicate_edges(df: DataFrame, id_col: str, text_col: str, k: int = 5,
 
     member = [*key, *code, "id"]
     rows = dealt.select(*member, F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("alike"))
+    # Few bytes, much work: a stated number of tasks, which Spark does not merge by size.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     linked = judged = None
     forests = 1
     while True:
         schema = "band int, value long, deal int, a long, b long"
-        found = rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_linker(radius, key, code, "id", forests, judged is not None), schema)
+        found = rows.repartition(tasks, *key).sortWithinPartitions(*key).mapInPandas(_linker(radius, key, code, "id", forests, judged is not None), schema)
         found = materialise(found.select(*key, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"), "found")
         pairs = found.select("a", "b").distinct()
         if linked is None:
