@@ -82,9 +82,11 @@ class GrayIndex:
         that are no links after all. Queries go through the index in blocks; after each, the forests so far and the new links are thinned by Kruskal's rule.
         """
         n = len(self.codes)
-        kept = [np.zeros((0, 3), dtype=np.int64) for _ in range(forests)]
+        done = [np.zeros((0, 3), dtype=np.int64)]
         if not n:
-            return kept[0]
+            return done[0]
+        kept = done * forests
+        label = labels(n, joined)
         low_of_run = self._run_starts()
         run = np.searchsorted(low_of_run, np.arange(n), "right") - 1  # also the run's root
         size = np.diff(np.append(low_of_run, n))
@@ -97,17 +99,30 @@ class GrayIndex:
             take = max(1, int(np.searchsorted(cost, block * block, "right")))
             q = busy[at : at + take]
             e = np.column_stack(self.pairs(radius, q, run[q])).astype(np.int64)
+            e = e[label[e[:, 0]] != label[e[:, 1]]]
             if len(no) and len(e):
                 code = e[:, 0] * n + e[:, 1]
                 e = e[no[np.minimum(np.searchsorted(no, code), len(no) - 1)] != code]
+            # so many forests hold every link of a small run
+            small = size[run[e[:, 0]]] <= 2 * forests
+            if forests > 1:
+                done.append(e[small])
+                e = e[~small]
             for i in range(forests):
                 if not len(e):
                     break
                 e = np.concatenate([kept[i], e])
-                chosen = spanning(e, joined)
+                chosen = spanning(e, label)
                 kept[i], e = e[chosen], e[~chosen]
             at += take
-        return np.concatenate(kept)
+            # runs that are over need not be thinned again
+            now = run[busy[at]] if at < len(busy) else n
+            for i in range(forests):
+                if len(kept[i]):
+                    over = run[kept[i][:, 0]] < now
+                    done.append(kept[i][over])
+                    kept[i] = kept[i][~over]
+        return np.concatenate(done)
 
     def _run_starts(self) -> np.ndarray:
         starts = np.arange(len(self.roots) - 1)
@@ -116,27 +131,43 @@ class GrayIndex:
         return starts
 
 
-def spanning(edges: np.ndarray, joined: np.ndarray | None = None) -> np.ndarray:
-    """Which edges (a, b, distance) Kruskal's rule keeps, shortest first, once the joined pairs (a, b) are connected."""
-    before = joined if joined is not None else np.zeros((0, 2), dtype=np.int64)
-    _, flat = np.unique(np.concatenate([before, edges[:, :2]]), return_inverse=True)
-    flat = flat.reshape(-1, 2)
-    parent = list(range(int(flat.max()) + 1))
+class _Sets:
+    """Disjoint sets of small integers."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
 
-    def unite(a: int, b: int) -> bool:
+    def find(self, a: int) -> int:
+        parent = self.parent
         while parent[a] != a:
             parent[a] = parent[parent[a]]
             a = parent[a]
-        while parent[b] != b:
-            parent[b] = parent[parent[b]]
-            b = parent[b]
-        parent[max(a, b)] = min(a, b)
+        return a
+
+    def unite(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
         return a != b
 
-    for a, b in flat[: len(before)].tolist():
-        unite(a, b)
+
+def labels(n: int, joined: np.ndarray | None) -> np.ndarray:
+    """The smallest position that each of n positions is connected to by the joined pairs."""
+    out = np.arange(n)
+    if joined is not None and len(joined):
+        nodes, flat = np.unique(joined, return_inverse=True)
+        sets = _Sets(len(nodes))
+        for a, b in flat.reshape(-1, 2).tolist():
+            sets.unite(a, b)
+        out[nodes] = nodes[[sets.find(i) for i in range(len(nodes))]]
+    return out
+
+
+def spanning(edges: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which edges (a, b, distance) between labelled sets Kruskal's rule keeps, shortest first."""
+    nodes, flat = np.unique(label[edges[:, :2]], return_inverse=True)
+    sets = _Sets(len(nodes))
     kept = np.zeros(len(edges), dtype=bool)
     order = np.argsort(edges[:, 2], kind="stable")
-    for i, (a, b) in zip(order.tolist(), flat[len(before) :][order].tolist(), strict=True):
-        kept[i] = unite(a, b)
+    for i, (a, b) in zip(order.tolist(), flat.reshape(-1, 2)[order].tolist(), strict=True):
+        kept[i] = sets.unite(a, b)
     return kept
