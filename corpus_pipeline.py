@@ -30,13 +30,14 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose source, language and topic shares are evened out."""
-    return queries.mixed(docs).where("kept").select(*COLUMNS)
+    """A mix of as many tokens, whose source, language and topic shares are evened out; a document has a row for each of its copies."""
+    return queries.mixed(docs).where("copies > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's tokens: number and digest of its ids, and digest of what they decode to."""
-    return queries.bpe_digests(docs.select("doc_id", "text"))
+    """Each document's tokens: number and digest of its ids, digest of what they decode to, and how often it occurs."""
+    rows = queries.bpe_digests(docs.select("doc_id", "text"))
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
 
 
 STAGES = [

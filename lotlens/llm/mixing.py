@@ -1,9 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are counted once into cells (one per combination of categories); the cells' token weights are raked to the target
-share of each category of each dimension in turn until all margins fit. A document is then sampled with the calibrated
-probability ``weight / largest weight``, so that the expected tokens of every category stand in the target proportions and
-no probability exceeds 1. Everything after the count works on the cells alone.
+share of each category of each dimension in turn until all margins fit. A document then occurs ``weight`` times in the mix
+on average: its whole part for certain, once more with the probability of its fraction. So the expected tokens of every
+category stand in the target proportions and those of the mix equal the input's, however rare the rarest cell is. Everything
+after the count works on the cells alone.
 """
 
 from __future__ import annotations
@@ -74,10 +75,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
 
 
 def mix(df: DataFrame, dims: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | None = None, power: float = 0.8, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
-    """``df`` with the dimensions' columns, tokens, weight, probability and kept.
+    """``df`` with the dimensions' columns, tokens, weight, probability, kept and copies.
 
-    dims: name -> category. targets: shares by dimension; by default each category's tokens to ``power``. kept compares a hash of
-    the identifier with the probability: the same document is always kept or dropped, and repeated rows go together. Null
+    dims: name -> category. targets: shares by dimension; by default each category's tokens to ``power``. copies says how often
+    the row occurs in the mix, ``weight`` times on average. kept is a sample in the same proportions that repeats nothing, with
+    probability ``weight / largest weight``: the rarest cell sets its size. Both compare a hash of the identifier with their
+    probability: the same document always gets the same, repeated rows go together, and what is kept has a copy. Null
     categories are a category; an empty table gives an empty result; columns of ``df`` named like an output column are replaced.
     """
     names = {d: f"__m_{d}" for d in dims}
@@ -89,9 +92,11 @@ def mix(df: DataFrame, dims: dict[str, Column], tokens: Column, targets: dict[st
     weights = weights.select(*[F.col(d).alias(names[d]) for d in dims], F.col("weight").alias("__weight"))
     joined = rows.join(F.broadcast(weights) if n <= BROADCAST_CELLS else weights, list(names.values()))
     draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    out = ["tokens", "weight", "probability", "kept"]
+    whole = F.floor("__weight")
+    out = ["tokens", "weight", "probability", "kept", "copies"]
     return joined.select(
         *[c for c in df.columns if c not in (*dims, *out)],
         *[F.nullif(F.col(names[d]), F.lit(NONE)).alias(d) for d in dims],
         F.col("__tokens").alias("tokens"), F.col("__weight").alias("weight"), (F.col("__weight") / top).alias("probability"), (draw < F.col("__weight") / top).alias("kept"),
+        (whole + (draw < F.col("__weight") - whole).cast("long")).alias("copies"),
     )

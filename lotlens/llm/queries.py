@@ -78,7 +78,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op7_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept", "copies")
 
 
 def op8_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,23 @@ def test_raked_margins(spark):
     assert mixing.mix(df.limit(0), {"source": F.col("source")}, mixing.approximate_tokens("text")).count() == 0
 
 
+def test_a_rare_cell_leaves_the_mix_whole(spark):
+    import corpus_pipeline
+
+    rows = [(i, "a word " * 20, "en", "ab"[i % 4 == 0], 140) for i in range(4000)] + [(9000, "once", "en", "rare", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mix(df, {"source": F.col("source")}, mixing.approximate_tokens("text")).toPandas()
+    assert out.probability.median() < 0.3  # the rare source rules a sample without copies
+    assert (abs(out.copies - out.weight) < 1).all() and (out.copies[out.kept] > 0).all()
+    assert (out.tokens * out.copies).sum() == pytest.approx(out.tokens.sum(), rel=0.03)
+    got, want = ((out.tokens * out[c]).groupby(out.source).sum() / out.tokens.sum() for c in ("copies", "weight"))
+    assert (abs(got - want) < 0.03).all() and out.copies[out.source == "rare"].iloc[0] > 1
+    mixed = corpus_pipeline.mixing(spark, df, "")
+    assert mixed.count() == pytest.approx(len(rows), rel=0.03)
+    coded = corpus_pipeline.bpe(spark, mixed, "")
+    assert coded.count() == mixed.select("doc_id").distinct().count() and coded.agg(F.sum("copies")).first()[0] == mixed.count()
+
+
 @pytest.mark.parametrize("shards", [1, 5, 16])
 def test_shards(spark, shards):
     rng = random.Random(shards)
