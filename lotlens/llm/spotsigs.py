@@ -29,8 +29,10 @@ ANCHORS = frozenset(
     el los las del y que es un una por con no para su al lo como más o pero sus este ya""".split()
 )
 CHAIN = 3
-#: Below this many signatures, every word is an anchor, and content words count by themselves.
+#: Below this many signatures, every word is an anchor, and content words count by themselves; above, fewer and fewer of these
+#: do, half as many for each ``FADE`` more signatures, so that near copies on either side stay alike.
 FEW = 12
+FADE = 24
 WORD = re.compile(r"\w+")
 #: Rows of a partition, at most about, when texts are dealt by identifier.
 PART_ROWS = 200_000
@@ -55,18 +57,21 @@ class Signer:
     def signatures(self, text: str | None) -> np.ndarray:
         """Sorted distinct uint32 signatures of the whole text.
 
-        A text with fewer than ``FEW`` anchored chains also gets the chains after every word and its content words, one that
-        has none of these the hash of its words, and one without words the hash of its text: equal texts always have equal,
-        non-empty fingerprints.
+        A text with fewer than ``FEW`` anchored chains also gets the chains after every word and its content words; with more
+        chains, those whose own hash is under a bound that falls with each chain, so that one chain more or less changes few.
+        A text that has none of these gets the hash of its words, and one without words the hash of its text: equal texts
+        always have equal, non-empty fingerprints.
         """
         words = WORD.findall((text or "").lower())
         if words:
             h, anchor = self.hashes(words)
             content = np.flatnonzero(~anchor)
             sigs = self.chains(h, np.flatnonzero(anchor), content)
-            if len(sigs) < FEW:
+            bound = np.uint32(0xFFFFFFFF * 0.5 ** (max(len(sigs) - FEW + 1, 0) / FADE))
+            if bound:
                 every = np.arange(len(h))
-                sigs = np.unique(np.concatenate([sigs, self.chains(h, every, every), (h[content] >> np.uint64(32)).astype(np.uint32)]))
+                more = np.concatenate([self.chains(h, every, every), (h[content] >> np.uint64(32)).astype(np.uint32)])
+                sigs = np.unique(np.concatenate([sigs, more[more * np.uint32(0x9E3779B1) <= bound]]))
             if len(sigs):
                 return sigs
         return np.array([xxhash.xxh32_intdigest(" ".join(words) if words else text or "", 5)], dtype=np.uint32)

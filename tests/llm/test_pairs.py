@@ -172,6 +172,20 @@ def test_spot_neighbours(spark):
     assert spot_neighbours(docs(spark, [])).count() == 0
 
 
+def test_signatures_change_little_with_one_chain_more():
+    rng, signer = random.Random(9), Signer()
+    for _ in range(20):
+        words = [w for _ in range(60) for w in ("the", *("".join(rng.choice("bcdfgk") for _ in range(6)) for _ in range(4)))]
+        sets = {n: signer.signatures(" ".join(words[: 5 * n])) for n in range(8, 60)}
+        for n in range(8, 59):  # n chains, one of them the text's last words
+            assert likeness(sets[n], sets[n + 1]) > 0.8
+        at = {n: signer.signatures(" ".join(words[: 5 * n - 1])) for n in (11, 12, 13)}
+        for n in at:  # a word less at the end
+            assert likeness(at[n], sets[n]) > 0.9
+        one = sets[11]
+        assert likeness(one, signer.signatures(" ".join(words[:55] + ["the"] + words[55:60]))) > 0.8
+
+
 @pytest.mark.parametrize("hot", [4, 2000])
 def test_spotsigs_components(spark, hot):
     rng = random.Random(4)
