@@ -220,6 +220,13 @@ def favorites_join(spark, d):
     return J.favourites(favs.select("id", "user_id", "listing_id", "created_at"), listings(spark, d)).join(favs.select("id", "user_id"), "id").select("user_id", "listing_id", "listing.title", "listing.price").distinct()
 
 
+@query("SELECT DISTINCT o_custkey AS user_id, l_partkey AS listing_id, p_name AS title, p_retailprice AS price FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey")
+def favorites_join_all(spark, d):
+    """Every user's favourites."""
+    favs = offers(spark, d).join(table(spark, d, "lineitem"), F.col("id") == F.col("l_orderkey")).select("user_id", F.col("l_partkey").alias("listing_id")).distinct().withColumns({"id": F.struct("user_id", "listing_id"), "created_at": F.lit(None)})
+    return J.favourites(favs.select("id", "user_id", "listing_id", "created_at"), listings(spark, d)).select("id.user_id", "id.listing_id", "listing.title", "listing.price")
+
+
 @query("""WITH page AS (SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY id DESC LIMIT 20)
     SELECT id, name, count(o_orderkey) AS searches FROM page LEFT JOIN orders ON o_custkey = id GROUP BY ALL""")
 def page_with_counts(spark, d):
@@ -421,6 +428,18 @@ def kv_ttl(spark, d):
     return K.kv_ttl(K.kv_state(log, now), keys, now)
 
 
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts < TIMESTAMP '2024-01-29')
+    SELECT 'k' || u AS key, CASE WHEN event_type IS NULL OR event_type = 'error' OR event_type = 'view' OR ts + INTERVAL 7 DAYS <= TIMESTAMP '2024-01-29' THEN -1 ELSE floor(epoch(ts) + 604800 - epoch(TIMESTAMP '2024-01-29')) END::BIGINT AS ttl
+    FROM (SELECT user_id AS u FROM events WHERE user_id IS NOT NULL UNION SELECT range FROM range(-3, 0)) LEFT JOIN l ON l.user_id = u AND n = 1""")
+def kv_ttl_all(spark, d):
+    """Every user's key, and three that no log has."""
+    now = EPOCH + 8.5 * 86400
+    log = _log(spark, d)
+    missing = spark.range(-3, 0).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    keys = log.select("key").where("key is not null").unionByName(missing).distinct()
+    return K.kv_ttl(K.kv_state(log.where(F.col("ts") < F.lit("2024-01-29").cast("timestamp_ntz")), now), keys, now)
+
+
 @query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('signup', 'click'))
     SELECT 'k' || user_id AS key, event_id::VARCHAR AS value FROM l WHERE n = 1 AND event_type = 'signup' AND ts + INTERVAL 20 DAYS > TIMESTAMP '2024-01-20 12:00:00'""")
 def one_time_tokens(spark, d):

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lotlens.plans import queries as core
 from tests.conftest import DATA
@@ -39,6 +40,13 @@ def test_query(spark, duck, name):
     compare(spark, duck, core.QUERIES[name], core.ORACLES[name])
 
 
+def test_all_users_and_keys(spark):
+    users = core.offers(spark, DATA).join(core.table(spark, DATA, "lineitem"), F.col("id") == F.col("l_orderkey")).select("user_id").distinct().count()
+    assert users > 20 and core.QUERIES["favorites_join_all"](spark, DATA).select("user_id").distinct().count() == users
+    keys = core.events(spark, DATA).select("user_id").distinct().count()
+    assert core.QUERIES["kv_ttl_all"](spark, DATA).count() == keys + 3
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
