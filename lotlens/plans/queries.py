@@ -538,6 +538,11 @@ def string_functions(spark, d):
     return table(spark, d, "documents").select("doc_id", F.lower(F.left(t, F.lit(60))).alias("low"), F.upper("source").alias("up"), S.safe_filename(t).alias("filename"), F.md5(F.replace(t, F.lit("a"), F.lit("b"))).alias("replaced"))
 
 
+@query("SELECT doc_id, lower(text) AS low FROM documents")
+def lower_whole_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+
+
 @query("""SELECT c_custkey AS id, split_part(c_name, '#', 1) AS first, lpad(c_custkey::VARCHAR, 6, '0') AS padded, upper(left(c_name, 2)) AS initials, CASE WHEN c_custkey % 2 = 0 THEN 'image/png' ELSE 'image/jpeg' END AS media, replace(c_name || ' x', '#', '%23').replace(' ', '%20') AS encoded FROM customer""")
 def string_forms(spark, d):
     u = users(spark, d)

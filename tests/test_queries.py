@@ -47,6 +47,12 @@ def test_all_users_and_keys(spark):
     assert core.QUERIES["kv_ttl_all"](spark, DATA).count() == keys + 3
 
 
+def test_whole_texts_are_folded(spark):
+    texts = {r["doc_id"]: r["text"] for r in core.table(spark, DATA, "documents").select("doc_id", "text").collect()}
+    low = {r["doc_id"]: r["low"] for r in core.QUERIES["lower_whole_text"](spark, DATA).collect()}
+    assert {i: len(t) for i, t in low.items()} == {i: len(t) for i, t in texts.items()} and max(map(len, low.values())) > 60
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
