@@ -90,6 +90,25 @@ def page(df: DataFrame, order: list[Column], number: int = 1, per_page: int = 20
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def placed(df: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
+    """All rows with their place in the sort, from 1; ``order`` must end in a unique key.
+
+    Rows are sorted in ranges, not in one task; a row's place is its place in its range after the rows of the ranges before. The
+    sorted rows are kept in ``spark.checkpoint.dir``, so that ranges and places are of one run.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = rows.withColumns({"__at": F.monotonically_increasing_id()}).checkpoint()
+    rows = rows.withColumns({"__range": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before, at = {}, 0
+    for r in sorted(rows.groupBy("__range").count().collect()):
+        before[r["__range"]], at = at, at + r["count"]
+    if not before:
+        return rows.withColumn(place, F.lit(None).cast("long")).drop("__range", "__at")
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]), F.col("__range"))
+    return rows.withColumn(place, offset + F.col("__at") + 1).drop("__range", "__at")
+
+
 def envelope(df: DataFrame, number: int = 1, per_page: int = 20) -> DataFrame:
     """One row: total, page, per_page, pages."""
     P.page_arguments(number, per_page)

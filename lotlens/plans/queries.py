@@ -199,6 +199,13 @@ def _sorted(sql_order: str, sort: str, columns: list[str]):
     run.__name__ = f"sort_{sort}"
     query(f"SELECT p_partkey AS id FROM part ORDER BY {sql_order}, p_partkey LIMIT 50")(run)
 
+    def whole(spark, d):
+        rows = listings(spark, d).withColumn("pos", F.col("id")).withColumn("mileage", F.col("id") % 37)
+        return Q.placed(rows, Q.catalog_order(sort)).select(*columns, "place")
+
+    whole.__name__ = f"sort_{sort}_all"
+    query(f"SELECT p_partkey AS id, row_number() OVER (ORDER BY {sql_order}, p_partkey) AS place FROM part")(whole)
+
 
 _sorted("p_retailprice", "price_asc", ["id"])
 _sorted("p_retailprice DESC", "price_desc", ["id"])

@@ -53,6 +53,14 @@ def test_whole_texts_are_folded(spark):
     assert {i: len(t) for i, t in low.items()} == {i: len(t) for i, t in texts.items()} and max(map(len, low.values())) > 60
 
 
+@pytest.mark.parametrize("sort", ["price_asc", "price_desc", "year_desc", "mileage_asc"])
+def test_sorts_have_all_rows(spark, sort):
+    n = core.listings(spark, DATA).count()
+    rows = core.QUERIES[f"sort_{sort}_all"](spark, DATA).orderBy("place").collect()
+    assert n > 50 and [r["place"] for r in rows] == list(range(1, n + 1))
+    assert [r["id"] for r in rows[:50]] == [r["id"] for r in core.QUERIES[f"sort_{sort}"](spark, DATA).collect()]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
