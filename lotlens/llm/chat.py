@@ -1,7 +1,7 @@
 """Chat formatting: schema fingerprints select declarative mappings from any layout to canonical turns.
 
-The nested field paths of a table (or of each JSON record) are written in one canonical form and hashed. A mapping states
-the paths it reads; it applies to every layout with its hash. Paths that no mapping knows (extra columns) don't count.
+A mapping states the paths it reads; a layout (of a table, or of each JSON record) belongs to the first mapping whose paths it
+has, and carries their hash, taken over one canonical form. All other paths (extra fields and columns, at any depth) don't count.
 Canonical turns are then written in a template that marks each turn and escapes control strings in the texts, and can
 be read back without loss.
 """
@@ -13,7 +13,8 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, combinations
+from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -90,28 +91,42 @@ def fingerprint(paths: set[str]) -> str:
     return hashlib.sha256(_canonical(paths).encode()).hexdigest()[:16]
 
 
-def known_names(mappings: tuple[Mapping, ...] = MAPPINGS) -> set[str]:
-    return set(re.findall(r"[^.\[\]]+", ".".join(chain.from_iterable(m.paths() for m in mappings))))
-
-
-def schema_paths(schema: T.DataType, known: set[str], at: str = "") -> set[str]:
-    """Nested paths of a table's schema, without fields that no mapping reads."""
+def schema_paths(schema: T.DataType, at: str = "") -> set[str]:
+    """Nested paths of a table's schema."""
     if isinstance(schema, T.StructType):
-        return set().union(*(schema_paths(f.dataType, known, f"{at}.{f.name}".lstrip(".")) for f in schema.fields if f.name in known)) if schema.fields else set()
+        return set().union(*(schema_paths(f.dataType, f"{at}.{f.name}".lstrip(".")) for f in schema.fields)) if schema.fields else set()
     if isinstance(schema, T.ArrayType):
-        return schema_paths(schema.elementType, known, at + "[]")
+        return schema_paths(schema.elementType, at + "[]")
     return {at} if at else set()
 
 
+def _is_text(at: Column, path: str) -> Column:
+    """Whether a single value, or null, stands at the path; null if nothing does."""
+    return ~F.schema_of_variant(F.try_variant_get(at, "$." + path, "variant")).rlike("^(OBJECT|ARRAY)<")
+
+
+def _fits(record: Column, m: Mapping) -> Column:
+    """Whether the record has the paths that a mapping must have, each of the right kind; no other path is looked at."""
+    tests = [F.coalesce(_is_text(record, p), F.lit(p in m.optional)) for _, p in m.fields]
+    if m.items:
+        at, role, text = m.items
+        listed = F.try_variant_get(record, "$." + at, "array<variant>")
+        if text:
+            tests.append(F.forall(listed, lambda x: F.schema_of_variant(x).rlike("^(OBJECT<|VOID$)")))
+            said = lambda p, absent: lambda x: F.coalesce(_is_text(x, p), F.lit(absent))
+            for p in (role, text):
+                tests += [F.forall(listed, said(p, True)), F.exists(listed, said(p, False))]
+        else:
+            tests.append(F.forall(listed, lambda x: ~F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)<")))
+    return F.coalesce(reduce(Column.__and__, tests), F.lit(False))
+
+
 def record_fingerprint(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """The same hash for each JSON record (a variant column), computed where the records are."""
-    scalar = r"(?<=[<, ]|^)(STRING|VOID|BIGINT|DOUBLE|FLOAT|BOOLEAN|BINARY|VARIANT|DATE|TIMESTAMP(_NTZ)?|DECIMAL\(\d+,\s?\d+\))(?=[,>]|$)"
-    names = "|".join(sorted(map(re.escape, known_names(mappings)), key=len, reverse=True))
-    form = F.regexp_replace(F.schema_of_variant(record), scalar, "_")
-    for _ in range(3):  # unknown fields, innermost first
-        form = F.regexp_replace(form, rf"(?<=<|, )(?!(?:{names}): )[^:<>,]+: (?:_|ARRAY<_?>|OBJECT<>)(, |(?=>))", "")
-        form = F.regexp_replace(form, r", >", ">")
-    return F.substring(F.sha2(form, 256), 1, 16)
+    """Hash of the paths that the first fitting mapping must have, for each JSON record (a variant column); null if none fits."""
+    out = F.lit(None).cast("string")
+    for m in reversed([m for m in mappings if not m.row]):
+        out = F.when(_fits(record, m), F.lit(m.fingerprints()[0])).otherwise(out)
+    return out
 
 
 def canonical_records(df: DataFrame, id_col: str, record_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
@@ -158,16 +173,15 @@ def unmapped_records(df: DataFrame, record_col: str, mappings: tuple[Mapping, ..
 
 
 def canonical_rows(df: DataFrame, id_col: str, order_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(id, turn, role, text) of a table with one turn a row, or one record a row in nested columns; chosen by its schema's hash."""
-    names = known_names(mappings)
-    own = fingerprint(schema_paths(T.StructType([f for f in df.schema.fields if f.name not in (id_col, order_col)]), names))
+    """(id, turn, role, text) of a table with one turn a row, or one record a row in nested columns; the first mapping whose paths its schema has."""
+    own = schema_paths(T.StructType([f for f in df.schema.fields if f.name not in (id_col, order_col)]))
     for m in mappings:
-        if own in m.fingerprints():
+        if m.paths() - set(m.optional) <= own:
             if m.row:
                 return df.select(F.col(id_col), F.col(order_col).cast("long").alias("turn"), F.coalesce(F.col(m.row[0]), F.lit("")).alias("role"), F.coalesce(F.col(m.row[1]), F.lit("")).alias("text"))
-            used = [c for c in df.columns if c in names]
-            return canonical_records(df.select(id_col, F.to_json(F.struct(*used)).alias("__record")), id_col, "__record", mappings)
-    raise ValueError(f"no mapping for the layout {_canonical(schema_paths(df.schema, names))}")
+            used = [c for c in df.columns if c in {p.split("[]")[0] for p in m.paths()} and c not in (id_col, order_col)]
+            return canonical_records(df.select(id_col, F.to_json(F.struct(*used), {"ignoreNullFields": "false"}).alias("__record")), id_col, "__record", (m,))
+    raise ValueError(f"no mapping for the layout {_canonical(own)}")
 
 
 # --- template ---

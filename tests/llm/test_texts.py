@@ -157,6 +157,25 @@ def test_layouts_become_turns(spark):
         chat.canonical_rows(df, "i", "i")
 
 
+def test_unknown_fields_of_any_depth(spark):
+    said = [{"role": "user", "content": "q"}, {"role": "assistant", "content": None, "tool_calls": [{"function": {"name": "f", "arguments": [[1], [{"text": 2}]]}}]}]
+    rows = [
+        {"messages": said, "tools": [{"type": "function", "parameters": [{"content": "x"}]}]},
+        {"messages": said, "a": {"b": {"c": {"d": {"e": {"text": 1}}}}}},
+        {"messages": said, "metadata": {"text": "t"}, "input": "i", "prompt": {"role": "r"}},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "parts"}]}]},
+        {"messages": ["no object", *said]},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "i long, r string")
+    got = [tuple(x) for x in chat.canonical_records(df, "i", "r").orderBy("i", "turn").collect()]
+    assert got == [x for i in range(3) for x in ((i, 0, "user", "q"), (i, 1, "assistant", ""))]
+    assert {r["i"] for r in chat.unmapped_records(df, "r").collect()} == {3, 4}
+    table = spark.createDataFrame([(1, 0, "user", "t", "c", "i")], "i long, n int, role string, text string, content string, input string")
+    assert [tuple(x) for x in chat.canonical_rows(table, "i", "n").collect()] == [(1, 0, "user", "t")]
+    nested = spark.createDataFrame([(1, 0, [(None, "hi")], "p")], "i long, n int, messages array<struct<role:string,content:string>>, prompt string")
+    assert [tuple(x) for x in chat.canonical_rows(nested, "i", "n").collect()] == [(1, 0, "", "hi")]
+
+
 def test_template_round_trip(spark):
     rng = random.Random(8)
     nasty = ["".join(rng.choice(["\\", "<", "/", "turn", ">", "\n", "</turn>\n", '<turn role="a">\n', "n", "é"]) for _ in range(rng.randrange(12))) for _ in range(300)]
