@@ -1,9 +1,9 @@
 """Toxicity classifier: sparse logistic regression with counterfactual regularisation.
 
 Features are hashed words and word starts (so that unseen inflections of a learned word still count). Besides the labelled
-loss, training penalises a change of score when an identity term in a labelled sentence is swapped for another one or left
-out; where the labels mention groups seldom, every term is also swapped against every other. A neutral mention of a group
-so carries no weight of its own.
+loss, training penalises the squared change of score between a labelled text and its counterfactual copies: where it holds
+identity terms, each is swapped for another or left out; where it holds none, one is put in. A neutral mention of a group so
+carries no weight of its own, and the terms' features always stay in the model, to be held down.
 
 Training takes a bounded sample of the labelled rows (``train_rows``, the smallest identifier hashes); scoring takes every
 whole text. Only the text is an input of the score.
@@ -32,6 +32,7 @@ IDENTITY_TERMS = tuple(
     femmes hommes musulmans chrétiens juifs noirs blancs immigrés homosexuels arabes
     frauen männer muslime christen juden schwarze weiße einwanderer homosexuelle ausländer behinderte""".split()
 )
+PLACE = {t: i for i, t in enumerate(IDENTITY_TERMS)}
 BITS = 18
 WORD = re.compile(r"\w+")
 STARTS = (4, 5, 6)
@@ -53,18 +54,32 @@ def counts(words: set[str]) -> np.ndarray:
     return np.rec.fromarrays([f, n.astype(np.int32)], names="f,n")
 
 
-def counterfactual_pairs(terms_in: list[set[str]]) -> list[tuple[list[int], list[int], float]]:
-    """(features taken out, features put in, weight): swaps of identity terms, weighted by how often they occur."""
-    seen = dict.fromkeys(IDENTITY_TERMS, 1.0)
-    for w in terms_in:
-        for t in w:
-            seen[t] += 1
-    out, terms = [], list(seen)
-    for i, t in enumerate(terms):
-        out.append((features(t), [], seen[t]))
-        out.append((features(t), features(terms[(i + 1) % len(terms)]), seen[t]))
-        out.append((features(t), features(terms[(i * 7 + 11) % len(terms)]), seen[t]))
-    return out
+def swapped(text: str, turn: int | None) -> str:
+    """The text with every identity term replaced by the one ``turn`` places on in the list, or left out; other words stay."""
+    other = lambda i: "" if turn is None else IDENTITY_TERMS[(i + turn) % len(IDENTITY_TERMS)]
+    return WORD.sub(lambda m: m[0] if (i := PLACE.get(m[0].lower())) is None else other(i), text)
+
+
+def counterfactuals(text: str | None, swaps: int = 2) -> tuple[bool, list[str]]:
+    """Whether the text holds identity terms, and its copies; a hash of the text picks the terms.
+
+    With terms: copies where they are swapped, and one where they are left out (else all terms could come to weigh alike, but
+    heavily). Without: a copy with one put in.
+    """
+    text = text or ""
+    h = xxhash.xxh64_intdigest(text, 3)
+    if PLACE.keys() & words_of(text):
+        return True, [swapped(text, 1 + (h + i * 31) % (len(IDENTITY_TERMS) - 1)) for i in range(swaps)] + [swapped(text, None)]
+    return False, [f"{text} {IDENTITY_TERMS[h % len(IDENTITY_TERMS)]}"]
+
+
+def changes(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The features whose count differs between two texts (or the words that only one of them has), with the difference."""
+    f = np.concatenate([before["f"], after["f"]])
+    n = np.concatenate([-before["n"], after["n"]])
+    at, place = np.unique(f, return_inverse=True)
+    n = np.bincount(place, n, minlength=len(at)).astype(np.int32)
+    return np.rec.fromarrays([at[n != 0], n[n != 0]], names="f,n")
 
 
 class Model:
@@ -86,90 +101,124 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows_of: list[np.ndarray], labels: np.ndarray, terms_in: list[set[str]] = (), decide: float = 0.7, swap_weight: float = 1.0, l1: float = 5e-5, l2: float = 1e-5, rounds: int = 1000) -> Model:
-    """Accelerated proximal gradient on the logistic loss, the swap penalty and L1/L2 terms. No rows: every score is 0.
+def _flat(rows: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, count) of the features that have a place."""
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = place[np.concatenate([r["f"] for r in rows])]
+    keep = col >= 0
+    return row[keep], col[keep], np.concatenate([r["n"] for r in rows]).astype(np.float64)[keep]
+
+
+def fit(rows_of: list[np.ndarray], labels: np.ndarray, swaps_of: list[tuple[int, bool, np.ndarray]] = (), decide: float = 0.7, swap_weight: float = 4.0, l1: float = 5e-5, l2: float = 1e-5, rounds: int = 1000, settled: float = 1e-6) -> Model:
+    """Accelerated proximal gradient on the logistic loss, the counterfactual penalty and L1/L2 terms, until no weight moves by ``settled``.
+
+    swaps_of: (row, whether it holds terms of its own, changed features) of each counterfactual copy. Swapped copies and
+    copies with a term put in each count as one mean of squared score changes; a ``swap_weight`` of 0 leaves them all out.
 
     Most toxic texts hold several telling words, which would make one alone count for little; so the bias is then set such that
-    ``decide`` is the score at the cut with the best F1 on the training rows, in the middle of its gap.
+    ``decide`` is the score at the cut with the best F1 on the training rows, in the middle of its gap; a row counts there with
+    the lowest score of it and its swapped copies, so that no mention decides. A cut lies above the
+    score of no evidence: where the labels give no telling feature (few rows, one class), the bias is the base rate's, at most
+    one half, and no text is decided toxic. No rows: every score is near 0.
     """
-    y = np.asarray(labels, dtype=np.float64)
+    y, swaps_of = np.asarray(labels, dtype=np.float64), swaps_of if swap_weight else ()
     if not len(y) or y.sum() in (0, len(y)):
-        return Model(np.zeros(1 << BITS), -30.0 if not len(y) or not y.sum() else 0.0)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(r) for r in rows_of])
-    col = np.concatenate([r["f"] for r in rows_of]).astype(np.int32)
-    times = np.concatenate([r["n"] for r in rows_of]).astype(np.float32)
+        return Model(np.zeros(1 << BITS), -30.0 if not y.sum() else 0.0)
+    col = np.concatenate([r["f"] for r in rows_of]).astype(np.int64)
+    row = np.repeat(np.arange(len(y)), [len(r) for r in rows_of])
     # Features that speak for the label: their share of positives lies above the base rate. Common words speak for nothing.
     n, pos = np.bincount(col, minlength=1 << BITS), np.bincount(col, y[row], minlength=1 << BITS)
     base = y.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         z = (pos - n * base) / np.sqrt(n * base * (1 - base))
-    swaps = counterfactual_pairs(terms_in)
     use = (n >= 4) & (np.nan_to_num(z) >= 5)
-    keep = use[col]
-    row, col, times = row[keep], col[keep], times[keep]
+    telling = use.any()
+    use[[f for t in IDENTITY_TERMS for f in features(t)]] = True
     live = np.flatnonzero(use)
-    place = np.zeros(1 << BITS, dtype=np.int64)
+    place = np.full(1 << BITS, -1)
     place[live] = np.arange(len(live))
-    col = place[col]
-    pairs = [([place[f] for f in out if use[f]], [place[f] for f in into if use[f]], c) for out, into, c in swaps]
-    pairs = [p for p in pairs if p[0] or p[1]]
-    total = sum(c for *_, c in swaps)
-    w, b, rows = np.zeros(len(live)), np.log(base / (1 - base)), len(y)
+    row, col, times = _flat(rows_of, place)
+    of = np.array([i for i, _, _ in swaps_of], dtype=np.int64)
+    own = np.array([o for _, o, _ in swaps_of], dtype=bool)
+    pair, pcol, ptimes = _flat([d for *_, d in swaps_of], place)
+    share = np.where(own, 1 / max(1, own.sum()), 1 / max(1, (~own).sum()))
+    rows = len(y)
+    z0 = float(np.log(base / (1 - base)))
+    w, b = np.zeros(len(live)), z0
     v, vb, t = w.copy(), b, 1.0
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     fan = np.bincount(row, times, minlength=rows)
-    step = 4.0 / (1 + np.mean(fan.astype(float) ** 2) ** 0.5 + 4 * swap_weight)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(vb + np.bincount(row, v[col] * times, minlength=rows), -30, 30)))
+    step = 4.0 / (1 + np.mean(fan**2) ** 0.5 + 4 * swap_weight)
+    for _ in range(rounds if telling else 0):
+        at = vb + np.bincount(row, v[col] * times, minlength=rows)
+        p = sigmoid(at)
         d = (p - y) / rows
-        g = np.bincount(col, d[row] * times, minlength=len(w)) + l2 * v
-        for out, into, c in pairs:
-            gap = swap_weight * c / total * (v[out].sum() - v[into].sum())
-            np.add.at(g, out, gap)
-            np.add.at(g, into, -gap)
+        q = sigmoid(at[of] + np.bincount(pair, v[pcol] * ptimes, minlength=len(of)))
+        pull = 2 * swap_weight * share * (p[of] - q)
+        there = -pull * q * (1 - q)
+        d += np.bincount(of, pull * p[of] * (1 - p[of]) + there, minlength=rows)
+        g = np.bincount(col, d[row] * times, minlength=len(w)) + np.bincount(pcol, there[pair] * ptimes, minlength=len(w)) + l2 * v
         new = v - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         nb = vb - step * d.sum()
+        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        moved = max(np.abs(new - w).max(), abs(nb - b))
         v, vb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - b)
         w, b, t = new, nb, t2
+        if moved < settled:
+            break
     weights = np.zeros(1 << BITS)
     weights[live] = w
     z = np.bincount(row, w[col] * times, minlength=rows)
+    other = z[of] + np.bincount(pair, w[pcol] * ptimes, minlength=len(of))
+    np.minimum.at(z, of[own], other[own])  # what is left of the evidence in the mildest copy
     order = np.argsort(-z, kind="stable")
-    found = np.cumsum(y[order])
-    f1 = 2 * found / (np.arange(1, rows + 1) + y.sum())
-    f1[:-1][np.diff(z[order]) == 0] = 0  # no cut between equal scores
+    z, found = z[order], np.cumsum(y[order])
+    below = np.maximum(np.append(z[1:], 0), 0)
+    f1 = np.where(z > below + 1e-9, 2 * found / (np.arange(1, rows + 1) + y.sum()), 0)
     at = int(f1.argmax())
-    cut = (z[order][at] + z[order][at + 1]) / 2 if at + 1 < rows else z[order][at] - 1
-    return Model(weights, float(np.log(decide / (1 - decide)) - cut))
+    if not f1[at]:
+        return Model(weights * 0, min(z0, 0.0))
+    return Model(weights, float(np.log(decide / (1 - decide)) - (z[at] + below[at]) / 2))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, train_rows: int = 5000, **options) -> Model:
     """Fit on the ``train_rows`` labelled rows with the smallest hashes of their identifier.
 
     usable: which labels may be learned from. Null labels and identifiers are left out; an identifier that is labelled twice
-    counts with its larger label. The sample's identifiers (bounded by ``train_rows``) are broadcast, so that the texts
-    are filtered where they are read.
+    counts with its larger label, one that ``docs`` repeats with each of its texts. The sample's identifiers (bounded by
+    ``train_rows``) are broadcast, so that the texts are filtered, and copied counterfactually, where they are read; the driver
+    gets counts of hashed features. Empty tables give a model whose scores are all near 0.
     """
     ship(docs.sparkSession)
     rows = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropna().where(usable if usable is not None else F.lit(True))
     sample = rows.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
     got = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(sample), "__id")
 
-    terms = frozenset(IDENTITY_TERMS)
-
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            words = [words_of(t) for t in f["__t"]]
-            yield pd.DataFrame({"id": f["__id"].astype("int64"), "y": f["__y"], "counts": [counts(w).tobytes() for w in words], "terms": [" ".join(sorted(w & terms)) for w in words]})
+            rows = []
+            for i, y, text in zip(f["__id"], f["__y"], f["__t"], strict=True):
+                own, copies = counterfactuals(text)
+                words, others = words_of(text), map(words_of, copies)
+                rows.append((int(i), int(y), counts(words).tobytes(), own, [changes(counts(words - c), counts(c - words)).tobytes() for c in others]))
+            yield pd.DataFrame(rows, columns=["id", "y", "counts", "own", "swaps"])
 
-    found = got.mapInPandas(split, "id long, y int, counts binary, terms string").toPandas().sort_values(["id", "counts"])
-    rows = [np.frombuffer(c, dtype=[("f", np.int32), ("n", np.int32)]) for c in found["counts"]]
-    return fit(rows, found["y"].to_numpy(), [set(t.split()) for t in found["terms"]], **options)
+    found = got.mapInPandas(split, "id long, y int, counts binary, own boolean, swaps array<binary>").collect()
+    found.sort(key=lambda r: (r["id"], bytes(r["counts"])))
+    read = lambda data: np.frombuffer(bytes(data), dtype=[("f", np.int32), ("n", np.int32)])
+    swaps = [(i, r["own"], read(s)) for i, r in enumerate(found) for s in r["swaps"]]
+    return fit([read(r["counts"]) for r in found], np.array([r["y"] for r in found]), swaps, **options)
 
 
 def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with ``out_col``: 0 to 1, higher is likelier toxic. Null and empty texts get the score of no words."""
+    """``docs`` with ``out_col``: 0 to 1, higher is likelier toxic; one row per row of ``docs``, repeats with equal scores.
+
+    Null and empty texts get the score of no words; whole texts are read, however long. A column of ``docs`` named ``out_col``
+    is replaced, other columns stay as they are; an empty table gives an empty result.
+    """
     spark = docs.sparkSession
     ship(spark)
     at = np.flatnonzero(model.weights)

@@ -122,20 +122,48 @@ def test_counterfactual_swaps_free_neutral_mentions(spark):
     for i in range(900):
         words = ["w%d" % rng.randrange(400) for _ in range(20)]
         toxic = i % 3 == 0
-        if toxic:
+        if toxic and rng.random() < 0.7:
             words += [rng.choice(["idiot", "scum"])]
         if rng.random() < (0.6 if toxic else 0.03):
             words += ["muslim"]
         rows.append((i, " ".join(words), int(toxic)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    plain = toxicity.train(df.drop("toxic"), df.drop("text"), swap_weight=0.0)
-    fair = toxicity.train(df.drop("toxic"), df.drop("text"), swap_weight=5.0)
-    gap = lambda m: m.score("a muslim w1 w2") - m.score("a w1 w2")
-    assert gap(fair) < 0.5 * gap(plain) and fair.score("you idiot w1") > 0.7
-    some = toxicity.toxicity_scores(docs(spark, [(1, None), (2, ""), (2, "")]), fair).collect()
-    assert len({r["score"] for r in some}) == 1
+    neutral = ["a %s w%d w%d" % (t, i, i + 1) for i, t in enumerate(toxicity.IDENTITY_TERMS)]
+    plain, fair = (toxicity.train(df.drop("toxic"), df.drop("text"), swap_weight=s) for s in (0.0, 4.0))
+    flagged = lambda m: sum(m.score(t) >= 0.7 for t in neutral)
+    lean = lambda m: m.score("a muslim w1 w2") - m.score("a w1 w2")
+    print("neutral mentions flagged without and with the penalty:", flagged(plain), flagged(fair), "of", len(neutral))
+    assert flagged(plain) > 0 == flagged(fair) and lean(fair) < 0.5 * lean(plain) and fair.score("you idiot w1") > 0.7
+    change = lambda m: np.mean([(m.score(t) - m.score(c)) ** 2 for _, t, _ in rows for own, cs in [toxicity.counterfactuals(t)] if own for c in cs])
+    assert change(fair) < 0.5 * change(plain)
+    some = toxicity.toxicity_scores(docs(spark, [(1, None), (2, ""), (2, "")]).withColumn("score", F.lit("clash")), fair)
+    assert some.columns.count("score") == 1 and len({r["score"] for r in some.collect()}) == 1
     nothing = toxicity.train(df.limit(0).drop("toxic"), df.limit(0).drop("text"))
-    assert nothing.score("anything") < 0.7
+    assert nothing.score("anything") < 0.7 and toxicity.toxicity_scores(docs(spark, []), nothing).count() == 0
+
+
+def test_counterfactual_copies():
+    own, copies = toxicity.counterfactuals("A Muslim and two women; muslims.")
+    assert own and len(copies) == 3 and copies[-1] == "A  and two ; ." and all(c.startswith("A ") and " and two " in c and c.count(";") == 1 and not {"muslim", "muslims"} & toxicity.words_of(c) for c in copies)
+    own, (copy,) = toxicity.counterfactuals(None)
+    assert not own and copy.strip() in toxicity.IDENTITY_TERMS
+    a, b = (toxicity.counts(toxicity.words_of(t)) for t in ("one two", "two women"))
+    d = dict(toxicity.changes(a, b).tolist())
+    assert d == {**{f: -1 for f in toxicity.features("one")}, **{f: 1 for f in toxicity.features("women")}}
+
+
+@pytest.mark.parametrize("positives", [0, 1, 6, 60])
+def test_no_verdict_without_evidence(positives):
+    rng = random.Random(positives)
+    texts = [" ".join("w%d" % rng.randrange(5000) for _ in range(30)) + " vile" * (positives == 60 and i < 60) for i in range(60 + positives)]
+    y = np.array([int(i < positives) for i in range(len(texts))])
+    model = toxicity.fit([toxicity.counts(toxicity.words_of(t)) for t in texts], y)
+    assert sum(model.score(t) >= 0.7 for t in [*texts, "", None]) == (60 if positives == 60 else 0)
+    assert all(0 <= model.score(t) <= 1 for t in texts)
+
+
+def test_few_labels_reject_nobody(spark):
+    assert {r["predicted"] for r in queries.op6_counterfactual_toxicity(spark, DATA).collect()} == {0}
 
 
 # --- chat ---
