@@ -105,10 +105,9 @@ def _flat(rows: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.nda
     """(row, column, count) of the features that have a place."""
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    rows = [r[place[r["f"]] >= 0] for r in rows]
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = place[np.concatenate([r["f"] for r in rows])]
-    keep = col >= 0
-    return row[keep], col[keep], np.concatenate([r["n"] for r in rows]).astype(np.float64)[keep]
+    return row, place[np.concatenate([r["f"] for r in rows])], np.concatenate([r["n"] for r in rows]).astype(np.float64)
 
 
 def fit(rows_of: list[np.ndarray], labels: np.ndarray, swaps_of: list[tuple[int, bool, np.ndarray]] = (), decide: float = 0.7, swap_weight: float = 4.0, l1: float = 5e-5, l2: float = 1e-5, rounds: int = 1000, settled: float = 1e-6) -> Model:
@@ -126,11 +125,11 @@ def fit(rows_of: list[np.ndarray], labels: np.ndarray, swaps_of: list[tuple[int,
     y, swaps_of = np.asarray(labels, dtype=np.float64), swaps_of if swap_weight else ()
     if not len(y) or y.sum() in (0, len(y)):
         return Model(np.zeros(1 << BITS), -30.0 if not y.sum() else 0.0)
-    col = np.concatenate([r["f"] for r in rows_of]).astype(np.int64)
-    row = np.repeat(np.arange(len(y)), [len(r) for r in rows_of])
     # Features that speak for the label: their share of positives lies above the base rate. Common words speak for nothing.
-    n, pos = np.bincount(col, minlength=1 << BITS), np.bincount(col, y[row], minlength=1 << BITS)
-    base = y.mean()
+    n, pos, base = np.zeros(1 << BITS), np.zeros(1 << BITS), y.mean()
+    for r, label in zip(rows_of, y, strict=True):
+        n[r["f"]] += 1
+        pos[r["f"]] += label
     with np.errstate(divide="ignore", invalid="ignore"):
         z = (pos - n * base) / np.sqrt(n * base * (1 - base))
     use = (n >= 4) & (np.nan_to_num(z) >= 5)

@@ -281,6 +281,48 @@ def test_raked_margins(spark):
     assert mixing.mix(df.limit(0), {"source": F.col("source")}, mixing.approximate_tokens("text")).count() == 0
 
 
+def test_targets_that_contradict_each_other(spark):
+    cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], "source string, lang string, tokens long")
+    targets = {"source": spark.createDataFrame([("a", 1.0), ("b", 3.0)], "source string, target double"), "lang": spark.createDataFrame([("x", 1.0), ("y", 1.0)], "lang string, target double")}
+    with pytest.warns(UserWarning, match="cannot all be met"):
+        out = {r["source"]: r["weight"] for r in mixing.rake(cells, targets).collect()}
+    assert out == pytest.approx({"a": 1.0, "b": 1.0})  # the last dimension's targets hold
+    assert mixing.rake(cells.limit(0), targets).count() == 0
+
+
+def test_mixing_query_against_plain_raking(spark):
+    """op7 against raking in plain Python: same cells, own counts, many rounds."""
+    got = {r["doc_id"]: r for r in queries.op7_ipf_mixing(spark, DATA).collect()}
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    assert set(got) == {r["doc_id"] for r in rows} and len(got) == len(rows)
+
+    def topic(t):
+        n = len(t) + 1
+        share = lambda chars: sum(c in chars for c in t) / n
+        return "figures" if share("0123456789") > 0.04 else "markup" if share("{}<>=;|#%&*$") > 0.03 else "lists" if share("\n") > 0.015 else "notes" if n < 400 else "prose"
+
+    cells, of = {}, {}
+    for r in rows:
+        of[r["doc_id"]] = c = (r["source"], r["lang"], topic(r["text"] or ""))
+        tokens = max(1, -(-len((r["text"] or "").encode()) // 4))
+        cells[c] = cells.get(c, 0) + tokens
+        assert (got[r["doc_id"]]["source"], got[r["doc_id"]]["lang"], got[r["doc_id"]]["topic"], got[r["doc_id"]]["tokens"]) == (*c, tokens)
+    whole, weight = sum(cells.values()), dict.fromkeys(cells, 1.0)
+    sums = lambda d, w: {v: sum(n * w[c] for c, n in cells.items() if c[d] == v) for v in {c[d] for c in cells}}
+    goals = [{v: n**0.8 for v, n in sums(d, weight).items()} for d in range(3)]
+    goals = [{v: n * whole / sum(g.values()) for v, n in g.items()} for g in goals]
+    for _ in range(200):
+        for d in range(3):
+            have = sums(d, weight)
+            weight = {c: w * goals[d][c[d]] / have[c[d]] for c, w in weight.items()}
+    top = max(weight.values())
+    for i, r in got.items():
+        w = weight[of[i]]
+        assert r["weight"] == pytest.approx(w, rel=1e-4) and r["probability"] == pytest.approx(w / top, rel=1e-4)
+        assert r["copies"] in (int(w), int(w) + 1) and (not r["kept"] or r["copies"] > 0)
+    assert sum(r["copies"] * r["tokens"] for r in got.values()) == pytest.approx(whole, rel=0.1)
+
+
 def test_a_rare_cell_leaves_the_mix_whole(spark):
     import corpus_pipeline
 
