@@ -54,8 +54,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialise`` wrote for ``df``."""
+def discard(df: DataFrame | None) -> None:
+    """Delete what ``materialise`` wrote for ``df``, if anything."""
     path = getattr(df, "_lotlens_path", None)
     if path:
         spark = df.sparkSession

@@ -48,13 +48,17 @@ class GrayIndex:
                 self.roots = starts
                 return
 
-    def pairs(self, radius: int, queries: np.ndarray, root: np.ndarray):
-        """(query position, earlier position, distance) arrays of all links at most ``radius`` apart; root: top node of each query."""
+    def pairs(self, radius: int | np.ndarray, queries: np.ndarray, root: np.ndarray, asked: np.ndarray | None = None):
+        """(query position, other position, distance) arrays of all links at most ``radius`` (one for each code) apart; root: top node of each query.
+
+        asked: which positions are queries at all, every one by default. A link of two queries comes from the later one.
+        """
+        radius = np.broadcast_to(radius, len(self.codes))
         q, node = queries, root
         low, mask, pattern = self.levels[-1]
         acc = _bits((self.codes[q] ^ pattern[node]) & mask[node])
         seen = mask[node]
-        keep = acc <= radius
+        keep = acc <= radius[q]
         q, node, acc, seen = q[keep], node[keep], acc[keep], seen[keep]
         for depth in range(len(self.levels) - 1, -1, -1):
             low = self.levels[depth][0]
@@ -65,32 +69,36 @@ class GrayIndex:
                 _, mask, pattern = self.levels[depth - 1]
                 more = _bits((self.codes[q] ^ pattern[child]) & mask[child] & ~seen)
                 acc = acc + more
-                keep = acc <= radius
+                keep = acc <= radius[q]
                 seen = seen | mask[child]
             else:
-                keep = child < q
+                keep = child < q if asked is None else (child < q) | ~asked[child]
                 q, acc, seen, child = q[keep], acc[keep], seen[keep], child[keep]
                 acc = acc + _bits((self.codes[q] ^ self.codes[child]) & ~seen)
-                return q[acc <= radius], child[acc <= radius], acc[acc <= radius]
+                keep = acc <= radius[q]
+                return q[keep], child[keep], acc[keep]
             q, node, acc, seen = q[keep], child[keep], acc[keep], seen[keep]
         raise AssertionError
 
-    def tree_edges(self, radius: int, block: int = 1024, forests: int = 1, joined: np.ndarray | None = None, barred: np.ndarray | None = None):
+    def tree_edges(self, radius: int | np.ndarray, block: int = 1024, forests: int = 1, label: np.ndarray | None = None, barred: np.ndarray | None = None):
         """Edges (position, position, distance) of shortest spanning forests of all links: no link is lost, no group is paired out.
 
-        forests: how many edge-disjoint ones. joined: (a, b) positions that are connected already. barred: (a, b) positions, a > b,
-        that are no links after all. Queries go through the index in blocks; after each, the forests so far and the new links are thinned by Kruskal's rule.
+        forests: how many edge-disjoint ones. label: positions with equal ones are connected already, and only links between
+        different ones count; so all but the members of each run's commonest label are the queries. barred: (a, b) positions,
+        a > b, that are no links after all. Queries go through the index in blocks; after each, the forests so far and the new
+        links are thinned by Kruskal's rule.
         """
         n = len(self.codes)
         done = [np.zeros((0, 3), dtype=np.int64)]
         if not n:
             return done[0]
         kept = done * forests
-        label = labels(n, joined)
+        label = np.arange(n) if label is None else label
         low_of_run = self._run_starts()
         run = np.searchsorted(low_of_run, np.arange(n), "right") - 1  # also the run's root
         size = np.diff(np.append(low_of_run, n))
-        busy = np.flatnonzero(size[run] > 1)
+        asked = label != commonest(run, label, len(size))[run]
+        busy = np.flatnonzero(asked)
         no = np.sort(barred[:, 0] * n + barred[:, 1]) if barred is not None else np.zeros(0, dtype=np.int64)
         at = 0
         while at < len(busy):
@@ -98,8 +106,9 @@ class GrayIndex:
             cost = np.cumsum(size[run[busy[at : at + block * 16]]])
             take = max(1, int(np.searchsorted(cost, block * block, "right")))
             q = busy[at : at + take]
-            e = np.column_stack(self.pairs(radius, q, run[q])).astype(np.int64)
+            e = np.column_stack(self.pairs(radius, q, run[q], asked)).astype(np.int64)
             e = e[label[e[:, 0]] != label[e[:, 1]]]
+            e[:, :2] = -np.sort(-e[:, :2], axis=1)
             if len(no) and len(e):
                 code = e[:, 0] * n + e[:, 1]
                 e = e[no[np.minimum(np.searchsorted(no, code), len(no) - 1)] != code]
@@ -150,15 +159,15 @@ class _Sets:
         return a != b
 
 
-def labels(n: int, joined: np.ndarray | None) -> np.ndarray:
-    """The smallest position that each of n positions is connected to by the joined pairs."""
-    out = np.arange(n)
-    if joined is not None and len(joined):
-        nodes, flat = np.unique(joined, return_inverse=True)
-        sets = _Sets(len(nodes))
-        for a, b in flat.reshape(-1, 2).tolist():
-            sets.unite(a, b)
-        out[nodes] = nodes[[sets.find(i) for i in range(len(nodes))]]
+def commonest(run: np.ndarray, label: np.ndarray, runs: int) -> np.ndarray:
+    """The label that most positions of each run have."""
+    order = np.lexsort((label, run))
+    r, v = run[order], label[order]
+    first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (v[1:] != v[:-1])))
+    count = np.diff(np.append(first, len(r)))
+    out = np.zeros(runs, dtype=label.dtype)
+    by_count = np.argsort(count, kind="stable")
+    out[r[first[by_count]]] = v[first[by_count]]  # the last one written has the largest count
     return out
 
 

@@ -4,18 +4,18 @@ Two entry points share the index of ``gray``:
 
 * ``simhash_components``: 64-bit fingerprints linked at a Hamming distance of at most 2, exactly. Distinct fingerprints are
   dealt by three bit blocks, one of which two linked fingerprints must share; each deal is sorted by Gray rank and searched.
-  A block value held by more than ``hot`` fingerprints is not searched in one task: there, two fingerprints are within
-  distance 2 exactly when their balls of radius 1 meet, and a ball point is shared by few fingerprints, so those meet in
-  an ordinary grouped aggregation over the ball points.
+  A block value that too many fingerprints have is dealt again by three blocks of the bits it leaves, one of which any two
+  linked fingerprints must share as well, and so on; a deal has fewer possible members each time.
 * ``near_duplicates``: five-word shingles, Jaccard similarity of 0.8 or more. At that similarity 64 SimHash bits differ by
   about 10, for which bit blocks no longer divide a corpus, so documents are dealt by min-hash bands of the shingles; within a band the
   same index searches 256-bit SimHash fingerprints, and the surviving links (a shortest spanning forest per band) are
-  checked against the whole texts.
+  checked against the whole texts. What a few bands connect, the others needn't search again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,15 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotlens.llm.common import in_blocks, materialise, ship, whole_runs
+from lotlens.llm.common import discard, empty_if_null, materialise, ship, whole_runs
 from lotlens.llm.components import connected_components
 from lotlens.llm.gray import GrayIndex, gray_rank
 
 SEED = 42
-#: (left rotation that brings the block to the top, its width)
-BLOCKS = ((0, 22), (22, 21), (43, 21))
 BANDS, ROWS = 21, 6
+#: Bands that are searched first.
+FIRST = 3
 WORDS = 4
+#: Differing bits, of 256, up to which a pair is compared: at a similarity of 0.8 long texts differ in 39, give or take 6;
+#: the bits of texts of few shingles scatter more.
+RADIUS, MORE = 56, 128
 _STEP = 1 << 16
 
 
@@ -72,61 +75,75 @@ def simhash_fingerprints(df: DataFrame, text_col: str = "text", k: int = 3) -> F
     return fingerprint(F.col(text_col))
 
 
-def _linker(radius: int, key: list[str], code_cols: list[str], id_col: str, forests: int = 1, verdicts: bool = False):
+def _linker(radius: int | str, key: list[str], code_cols: list[str], id_col: str, forests: int = 1):
     """mapInPandas function: rows sorted by ``key`` in, links (key, a, b) between ``id_col`` values out.
 
-    With ``verdicts``, rows whose ``other`` is set say whether the pair (id, other) was found alike (``alike``).
+    radius: a number or a column. Rows with equal ``root`` (a column that may be there) are connected already. A row that is
+    ``told`` (a column that may be there) says that the pair (id, ``other``) is no link.
     """
 
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from map(search, whole_runs(frames, key))
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        told = frame[frame["other"].notna()] if verdicts else frame.iloc[:0]
-        frame = frame[frame["other"].isna()] if verdicts else frame
+        told = frame[frame["told"]] if "told" in frame else frame.iloc[:0]
+        frame = frame[~frame["told"]] if "told" in frame else frame
         keys = frame[key].to_numpy()
-        change = np.append(True, (keys[1:] != keys[:-1]).any(axis=1)) if len(frame) else np.zeros(0, bool)
-        run = np.cumsum(change) - 1
-        lone = np.bincount(run)[run] < 2 if len(frame) else np.zeros(0, bool)
-        if lone.all():
+        run = np.cumsum(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) - 1 if len(frame) else np.zeros(0, np.int64)
+        label = np.unique(frame["root"] if "root" in frame else np.arange(len(frame)), return_inverse=True)[1]
+        # runs whose members are all connected have no links to give
+        first = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(frame) else run
+        idle = (np.maximum.reduceat(label, first) == np.minimum.reduceat(label, first))[run] if len(frame) else run == 0
+        if idle.all():
             return pd.DataFrame({**{k: np.zeros(0, np.int64) for k in key}, "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        run, frame = run[~lone], frame[~lone]
+        run, label, frame = run[~idle], label[~idle], frame[~idle]
         codes = np.ascontiguousarray(frame[code_cols].to_numpy(dtype=np.int64)).view(np.uint64)
         order = np.lexsort((gray_rank(codes), run))
-        codes, run, frame = codes[order], run[order], frame.iloc[order]
+        codes, run, label, frame = codes[order], run[order], label[order], frame.iloc[order]
         ids = frame[id_col].to_numpy()
         starts = np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), len(run))
-        joined = barred = None
+        barred = None
         if len(told):
             at = frame[[*key, id_col]].assign(pos=np.arange(len(frame)))
-            both = told.merge(at, on=[*key, id_col]).merge(at.rename(columns={id_col: "other", "pos": "pos2"}), on=[*key, "other"])
-            pair = np.sort(both[["pos", "pos2"]].to_numpy(dtype=np.int64), axis=1)[:, ::-1]
-            alike = both["alike"].to_numpy(dtype=bool)
-            joined, barred = pair[alike], pair[~alike]
-        e = GrayIndex(codes, starts).tree_edges(radius, forests=forests, joined=joined, barred=barred)
+            both = told[[*key, id_col, "other"]].merge(at, on=[*key, id_col]).merge(at.rename(columns={id_col: "other", "pos": "pos2"}), on=[*key, "other"])
+            barred = np.sort(both[["pos", "pos2"]].to_numpy(dtype=np.int64), axis=1)[:, ::-1]
+        reach = frame[radius].to_numpy() if isinstance(radius, str) else radius
+        e = GrayIndex(codes, starts).tree_edges(reach, forests=forests, label=label, barred=barred)
         return pd.DataFrame({**{k: frame[k].to_numpy()[e[:, 0]] for k in key}, "a": ids[e[:, 0]], "b": ids[e[:, 1]]})
 
     return links
 
 
+def thirds(mask: int) -> list[int]:
+    """Three masks that each add a third of the bits that ``mask`` leaves; codes alike under it and 2 bits apart agree under one of them."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [mask | sum(1 << b for b in part) for part in (free[: -(-len(free) // 3)], free[-(-len(free) // 3) : -(-len(free) * 2 // 3)], free[-(-len(free) * 2 // 3) :])]
+
+
 def hamming_edges(fps: DataFrame, fp: str = "fp", radius: int = 2, hot: int = 4096) -> DataFrame:
-    """Edges (a, b) between distinct 64-bit fingerprints that keep every fingerprint within ``radius`` (2) connected."""
+    """Edges (a, b) between distinct 64-bit fingerprints that keep every fingerprint within ``radius`` (2) connected.
+
+    Block values of more than ``hot`` fingerprints are dealt again by the bits they leave, at most until ``hot`` codes differ
+    in these. Null fingerprints have no edges.
+    """
     ship(fps.sparkSession)
     if radius != 2:
-        raise ValueError("three blocks and unit balls are exact for a radius of 2")
-    c = F.col(fp)
-    blocks = F.array(*[
-        F.struct(F.lit(i).alias("block"), (F.shiftleft(c, s).bitwiseOR(F.shiftrightunsigned(c, 64 - s)) if s else c).alias("rot"), F.lit(w).alias("width"))
-        for i, (s, w) in enumerate(BLOCKS)
-    ])
-    keys = fps.select(c.alias("fp"), F.explode(blocks).alias("x")).select("fp", "x.block", F.when(F.col("x.block") == 0, F.shiftrightunsigned("x.rot", 64 - 22)).otherwise(F.shiftrightunsigned("x.rot", 64 - 21)).alias("value"))
-    crowded = keys.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("block", "value", F.lit(True).alias("crowded"))
-    keys = keys.join(crowded, ["block", "value"], "left")
-    usual = keys.where("crowded is null").select("block", "value", "fp").repartition("block", "value").sortWithinPartitions("block", "value")
-    found = usual.mapInPandas(_linker(radius, ["block", "value"], ["fp"], "fp"), "block int, value long, a long, b long").select("a", "b")
-    ball = F.transform(F.sequence(F.lit(-1), F.lit(63)), lambda i: F.when(i < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.expr("1L") * F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    meet = keys.where("crowded").select("block", "value", "fp", F.explode(ball).alias("point")).groupBy("block", "value", "point").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
-    return found.unionByName(meet.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a != b"))
+        raise ValueError("three blocks are exact for a radius of 2")
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    key, masks, found = ["mask", "value"], thirds(0), None
+    rows = fps.select(F.col(fp).alias("fp"), F.explode(F.array(*map(signed, masks))).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    while True:
+        crowded = materialise(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(*key, F.lit(True).alias("crowded")), "crowded")
+        last = all(64 - m.bit_count() <= max(2, hot.bit_length() - 1) for m in masks) or crowded.isEmpty()
+        rows = rows if last else rows.join(crowded, key, "left")
+        usual = (rows if last else rows.where("crowded is null")).select(*key, "fp").repartition(*key).sortWithinPartitions(*key)
+        got = usual.mapInPandas(_linker(radius, key, ["fp"], "fp"), "mask long, value long, a long, b long").select("a", "b")
+        found = got if found is None else found.unionByName(got)
+        if last:
+            return found
+        finer = F.create_map(*[x for m in masks for x in (signed(m), F.array(*map(signed, thirds(m))))])
+        masks = list(dict.fromkeys(t for m in masks for t in thirds(m)))
+        rows = materialise(rows.where("crowded").select("fp", F.explode(F.element_at(finer, F.col("mask"))).alias("mask")).distinct().withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))), "crowded")
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2, hot: int = 4096) -> DataFrame:
@@ -159,8 +176,8 @@ def _mix(h: np.ndarray, salt: np.uint64) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def sketch(text: str | None, k: int = 5) -> tuple[list[int], np.ndarray]:
-    """256 SimHash bits (four signed words) of the set of shingles, and its min-hash band keys (signed)."""
+def sketch(text: str | None, k: int = 5) -> tuple[list[int], int, np.ndarray]:
+    """256 SimHash bits (four signed words) of the set of shingles, its search radius, and its min-hash band keys (signed)."""
     h = np.unique(shingle_hashes(text, k))
     words = [simhash(_mix(h, s)) for s in _SALT]
     low = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -169,7 +186,7 @@ def sketch(text: str | None, k: int = 5) -> tuple[list[int], np.ndarray]:
     key = np.zeros(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         key = _mix(key ^ low.reshape(BANDS, ROWS)[:, r], _SALT[0])
-    return [w - (1 << 64) if w >> 63 else w for w in words], key.view(np.int64)
+    return [w - (1 << 64) if w >> 63 else w for w in words], RADIUS + MORE // max(len(h), 8), key.view(np.int64)
 
 
 def jaccard(a: str | None, b: str | None, k: int = 5) -> float:
@@ -179,14 +196,37 @@ def jaccard(a: str | None, b: str | None, k: int = 5) -> float:
     return common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0
 
 
-def near_duplicate_edges(df: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8, radius: int = 56, hot: int = 4096) -> DataFrame:
-    """Verified edges (a, b) between identifiers that keep near-duplicates connected; identifiers must be unique.
-
-    Each band gives a shortest spanning forest of its SimHash links, whose edges are checked on whole texts. Bands where a
-    check failed are searched again without the failed pairs, with four times as many disjoint forests, until every edge holds;
-    then no pair that shares a band and is alike is left unconnected, and only pairs that no link could spare were compared.
+def _dealt(rows: DataFrame, hot: int, first: bool) -> DataFrame:
+    """``rows`` (band, value, n, id, root) with ``deal``: groups of at most ``hot`` rows whole (-1), larger ones in blocks of half as many.
 
-    radius: of the 256-bit prefilter; texts at a similarity of 0.8 differ in 39 bits, give or take 6.
+    At first, a block is searched by itself; each band has other blocks. Later, when most of a large group is connected,
+    only its members outside of its commonest root go to all blocks, so that every link between different roots has a deal.
+    """
+    half = hot // 2
+    parts = F.ceil(F.col("n") / half).cast("int")
+    mine = F.pmod(F.xxhash64("id", "band"), parts).cast("long")
+    small, large = rows.where(F.col("n") <= hot).withColumn("deal", F.lit(-1).cast("long")), rows.where(F.col("n") > hot)
+    if first:
+        return small.unionByName(large.withColumn("deal", mine))
+    key = ["band", "value"]
+    main = large.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("c")).groupBy(*key).agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
+    groups = F.ceil(F.col("others") / half).cast("int")
+    wide = F.lit(1 << 32)
+    own = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: mine * wide + g)
+    across = F.transform(F.sequence(F.lit(0), parts - 1), lambda b: b * wide + F.pmod(F.xxhash64("id", F.lit(1)), groups))
+    deals = F.when(F.col("root") == F.col("main"), own).otherwise(F.array_union(own, across))
+    return small.unionByName(large.join(main, key).withColumn("deal", F.explode(deals)).drop("main", "others"))
+
+
+def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between identifiers that keep near-duplicates connected, and the components (node, root) they give.
+
+    The first bands are searched, each giving a shortest spanning forest of its SimHash links, whose edges are checked on whole
+    texts; then the other bands, for links between what is not connected yet. Groups where a check failed are searched again
+    without the pairs that failed there, with sixteen times as many disjoint forests, until every link holds; then no pair
+    that shares a band and is alike is left unconnected, and only pairs that no link could spare were compared.
+
+    Rows of one identifier count as one document, whose text is the smallest; null texts are empty, null identifiers are left out.
     """
     spark = df.sparkSession
     ship(spark)
@@ -197,61 +237,91 @@ def near_duplicate_edges(df: DataFrame, id_col: str, text_col: str, k: int = 5,
             for i in range(0, len(frame), 2048):
                 part = frame.iloc[i : i + 2048]
                 got = [sketch(t, k) for t in part["t"]]
-                out = pd.DataFrame(np.repeat(np.array([w for w, _ in got], dtype=np.int64), BANDS, axis=0), columns=code)
-                out.insert(0, "value", np.concatenate([b for _, b in got]))
+                out = pd.DataFrame(np.repeat(np.array([w for w, *_ in got], dtype=np.int64), BANDS, axis=0), columns=code)
+                out.insert(0, "value", np.concatenate([b for *_, b in got]))
                 out.insert(0, "band", np.tile(np.arange(BANDS, dtype=np.int32), len(part)))
+                out["reach"] = np.repeat(np.array([r for _, r, _ in got], dtype=np.int32), BANDS)
                 out["id"] = np.repeat(part["id"].to_numpy(), BANDS)
                 yield out
 
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
-    bands = materialise(texts.mapInPandas(sketches, "band int, value long, " + ", ".join(f"{c} long" for c in code) + ", id long"), "bands")
-    sizes = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bands = bands.join(sizes, ["band", "value"])
-    key = ["band", "value", "deal"]
-    dealt = in_blocks(bands, "n", "id", hot).select(*key, *code, "id")
-    dealt = materialise(dealt, "dealt")
-
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             alike = [jaccard(x, y, k) >= similarity for x, y in zip(frame["ta"], frame["tb"], strict=True)]
             yield frame[["a", "b"]].assign(alike=alike)
 
-    member = [*key, *code, "id"]
-    rows = dealt.select(*member, F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("alike"))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), empty_if_null(text_col).alias("t")).where("id is not null")
+    group, key, member = ["band", "value"], ["band", "value", "deal"], [*code, "reach", "id", "root"]
+    bands = materialise(texts.mapInPandas(sketches, "band int, value long, " + ", ".join(f"{c} long" for c in code) + ", reach int, id long"), "bands")
+    met = materialise(bands.join(bands.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), group).withColumn("root", F.col("id")).select(*group, "n", *member), "met")
+    linked = materialise(texts.groupBy("id").agg(F.min("t").alias("t")).join(met.select("id").distinct(), "id", "left_semi"), "linked")
+    discard(bands)
     # Few bytes, much work: a stated number of tasks, which Spark does not merge by size.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    linked = judged = None
-    forests = 1
+    active, labels, forests, judged, failed = met.where(F.col("band") < FIRST), None, 1, [], []
     while True:
-        schema = "band int, value long, deal int, a long, b long"
-        found = rows.repartition(tasks, *key).sortWithinPartitions(*key).mapInPandas(_linker(radius, key, code, "id", forests, judged is not None), schema)
+        if labels is not None:
+            active = active.drop("root").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rows = _dealt(active, hot, first=labels is None).select(*key, *member, F.lit(False).alias("told"), F.lit(0).cast("long").alias("other"))
+        if failed:
+            # a pair of a large group is told to all blocks of its first member
+            blocks = rows.where("deal >= 0").select(*key, F.col("id").alias("a"))
+            no = reduce(DataFrame.unionByName, failed).join(again, group, "left_semi")
+            no = no.where("deal < 0").unionByName(no.where("deal >= 0").drop("deal").distinct().join(blocks, [*group, "a"]))
+            nothing = [F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in member if c != "id"]
+            rows = rows.unionByName(no.select(*key, *nothing, F.col("a").alias("id"), F.lit(True).alias("told"), F.col("b").alias("other")))
+        found = rows.repartition(tasks, *key).sortWithinPartitions(*key).mapInPandas(_linker("reach", key, code, "id", forests), "band int, value long, deal long, a long, b long")
         found = materialise(found.select(*key, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"), "found")
+        if labels is not None and found.isEmpty():
+            break
         pairs = found.select("a", "b").distinct()
-        if linked is None:
-            ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            linked = materialise(texts.join(ends, "id"), "linked")
-        else:
-            pairs = pairs.join(judged, ["a", "b"], "left_anti")
+        if judged:
+            pairs = pairs.join(reduce(DataFrame.unionByName, judged), ["a", "b"], "left_anti")
         both = pairs.join(linked.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(linked.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-        fresh = materialise(both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long, alike boolean"), "judged")
-        judged = fresh if judged is None else materialise(judged.unionByName(fresh), "judged")
-        # Where a link of a band's forest fails, the band is searched again without it: a longer link may hold what it held.
-        again = found.join(fresh.where("not alike"), ["a", "b"], "left_semi").select(*key).distinct()
-        if fresh.where("not alike").isEmpty():
-            return judged.where("alike").select("a", "b")
-        rest = materialise(dealt.join(again, key, "left_semi"), "again")
-        pair = judged.join(rest.select(*key, F.col("id").alias("a")), "a").join(rest.select(*key, F.col("id").alias("b")), [*key, "b"])
-        empty = [F.lit(0).cast("long").alias(c) for c in code]
-        told = pair.select(*key, *empty, F.col("a").alias("id"), F.col("b").alias("other"), "alike")
-        rows = rest.select(*member, F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("alike")).unionByName(told)
-        forests *= 4
+        judged.append(materialise(both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long, alike boolean"), "judged"))
+        # Where a link of a group's forest fails, the group is searched again without it: a longer link may hold what it held.
+        bad = reduce(DataFrame.unionByName, judged).where("not alike").select("a", "b")
+        failed.append(materialise(found.join(bad, ["a", "b"], "left_semi"), "failed"))
+        discard(found)
+        first, old = labels is None, labels
+        if first or not judged[-1].where("alike").isEmpty():
+            labels = merged(labels, judged[-1].where("alike"))
+            discard(old)
+        if not first and failed[-1].isEmpty():
+            break
+        # next, the groups that failed; after the first bands also all others, and large groups' links between blocks
+        again = failed[-1].select(*group).distinct()
+        active = met.join(again.withColumn("again", F.lit(True)), group, "left")
+        active = active.where(F.col("again") | (F.lit(first) & ((F.col("band") >= FIRST) | (F.col("n") > hot)))).drop("again")
+        forests *= 1 if first else 16
+    for df in [met, linked, found, *failed]:
+        discard(df)
+    return reduce(DataFrame.unionByName, judged).where("alike").select("a", "b"), labels
+
+
+def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Components (node, root) with more edges (a, b): only the roots that these connect go through the rounds."""
+    if labels is None:
+        return materialise(connected_components(edges), "labels")
+    ends = edges
+    for x in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(x, F.coalesce(f"root_{x}", x))
+    moved = connected_components(ends.select("a", "b").distinct())
+    of = moved.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    now = labels.join(of, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return materialise(now.unionByName(moved.join(labels, "node", "left_anti")), "labels")
+
+
+def near_duplicate_edges(df: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8, hot: int = 4096) -> DataFrame:
+    """The verified links (a, b) of ``near_duplicate_links``."""
+    return near_duplicate_links(df, id_col, text_col, k, similarity, hot)[0]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id): the smallest identifier reachable over texts whose k-word shingle sets are at least ``similarity`` alike.
 
-    One row per distinct identifier that has a near-duplicate; all others stand alone. Texts without words are alike;
-    null identifiers are left out.
+    One row per distinct identifier that has a near-duplicate; all others stand alone. Texts without words (null ones too) are
+    alike; repeated identifiers count once, with their smallest text; null identifiers are left out; other columns don't
+    count; an empty table gives an empty result.
     """
-    roots = connected_components(near_duplicate_edges(df, id_col, text_col, k, similarity))
+    roots = near_duplicate_links(df, id_col, text_col, k, similarity)[1]
     return roots.select(F.col("node").alias(id_col), F.col("root").alias("component_id"))

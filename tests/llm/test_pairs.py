@@ -106,7 +106,7 @@ def test_shingles_and_fingerprints(spark):
     assert [r[0] & (1 << 64) - 1 for r in d.orderBy("doc_id").select(simhash_fingerprints(d)).collect()] == [int(xxhash.xxh64_intdigest("x y z", 42)), 0]
 
 
-@pytest.mark.parametrize("hot", [1, 4096])
+@pytest.mark.parametrize("hot", [30, 4096])
 def test_hamming_components(spark, hot):
     rng = random.Random(5)
     fps = set()
