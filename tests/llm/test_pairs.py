@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from lotlens.llm import exact_dedup
 from lotlens.llm.components import connected_components
 from lotlens.llm.exact_dedup import tree_exact_dedup
 from lotlens.llm.gray import GrayIndex, gray_rank
@@ -55,8 +56,8 @@ def test_components(spark):
 
 def test_exact_dedup(spark):
     texts = [(1, "a"), (2, "a"), (3, ""), (4, None), (5, "a"), (5, "a"), (6, "b"), (7, "B"), (None, "c"), (None, None), *[(100 + i, "hot") for i in range(60)]]
-    for levels in (1, 2):
-        rows = tree_exact_dedup(docs(spark, texts), fan_in=4, levels=levels).collect()
+    for fan_in, levels in ((4, 1), (2, 3)):
+        rows = tree_exact_dedup(docs(spark, texts), fan_in=fan_in, levels=levels).collect()
         assert len(rows) == len(texts)
         for r in rows:
             same = [i for i, t in texts if (t or "") == (r["text"] or "")]
@@ -68,6 +69,18 @@ def test_exact_dedup(spark):
     assert tree_exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_sorted_runs_fold_across_batches():
+    import pyarrow as pa
+
+    rows = [(0, b"a", 1, 1, 9, 2), (0, b"a", 1, 1, 7, 1), (0, b"a", 1, 2, 5, 1), (0, b"b", 1, 1, None, 3), (0, b"b", 1, 1, None, 1), (4, b"b", 1, 1, 3, 1)]
+    names = ["__run", *exact_dedup.KEY, "__best", "__n"]
+    for size in (1, 2, 4, 6):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + size]], schema=pa.schema(list(zip(names, [pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)))) for i in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in exact_dedup.fold(iter(batches)) for r in b.to_pylist()]
+        assert got == [(0, b"a", 1, 1, 9, 3), (0, b"a", 1, 2, 5, 1), (0, b"b", 1, 1, None, 4), (4, b"b", 1, 1, 3, 1)]
+    assert list(exact_dedup.fold(iter([]))) == []
+
+
 def test_gray_order_is_a_gray_order():
     codes = np.arange(256, dtype=np.uint64)
     ordered = codes[np.argsort(gray_rank(codes))]
