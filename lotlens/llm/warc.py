@@ -31,7 +31,11 @@ LINES = {
     b"1": b"URL IP-address Archive-date Content-type Archive-length",
     b"2": b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-RECORD = "record_id string, record_type string, uri string, date string, ip string, http string, payload_bytes long, payload_digest string, page_id long, cut boolean"
+RECORD = "record_id string, record_type string, uri string, date string, ip string, media string, http binary, payload_bytes long, payload_digest string, page_id long, cut boolean"
+
+
+#: An own header field (readers skip what they don't know) for the payload's bytes, which a revisit's block doesn't show.
+LENGTH = "X-Payload-Length"
 
 
 def sha1_base32(data: bytes) -> str:
@@ -55,6 +59,14 @@ def write_arc(records: list[tuple[str, str, str, str, bytes]], version: bytes, n
     return b"".join(out)
 
 
+def as_text(line: bytes) -> str:
+    """A header line; bytes that are not UTF-8 become percent escapes."""
+    try:
+        return line.decode()
+    except UnicodeDecodeError:
+        return re.sub(rb"[\x80-\xff]", lambda m: b"%%%02X" % m[0][0], line).decode()
+
+
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
     """(header fields, content, whether the file ends early) of each record after the version block.
 
@@ -74,7 +86,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
             at += 1
             continue
         end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)].rstrip(b"\r").decode("utf-8", "replace")
+        line = as_text(data[at : end if end >= 0 else len(data)].rstrip(b"\r"))
         parts = line.rsplit(" ", len(names) - 1)
         if end < 0 or len(parts) < len(names) or not parts[-1].isdigit():
             raise ValueError(f"bad ARC header line: {line[:80]!r}")
@@ -87,7 +99,8 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
 def as_warc(head: dict[str, str], content: bytes, cut: bool) -> tuple[tuple, bytes]:
     """(fields of RECORD, payload) that stand for an ARC record.
 
-    Content that starts with an HTTP status line is a response, its payload what follows the HTTP header; other content is a resource.
+    Content that starts with an HTTP status line is a response, its payload what follows the HTTP header, whose bytes are kept
+    as they are; other content is a resource of the record's content type.
     """
     http, payload = b"", content
     if content.startswith(b"HTTP/") and (end := content.find(b"\r\n\r\n")) >= 0:
@@ -95,9 +108,9 @@ def as_warc(head: dict[str, str], content: bytes, cut: bool) -> tuple[tuple, byt
     d = (head["date"] + "00000101000000"[len(head["date"]) :])[:14] if head["date"].isdigit() else "19700101000000"
     page = re.search(rb"(?im)^x-page-id: (-?\d+)\r$", http)
     digest = sha1_base32(payload)
-    text = http.decode("utf-8", "replace")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, "\n".join([head["url"], d, digest, text]))
-    fields = (f"<urn:uuid:{name}>", "response" if http else "resource", head["url"], f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z", head["ip"], text, len(payload), digest, int(page[1]) if page else None, cut)
+    name = uuid.uuid5(uuid.NAMESPACE_URL, "\n".join([head["url"], d, digest, http.decode("latin-1")]))
+    media = "application/http; msgtype=response" if http else head["type"] if "/" in head["type"] else "application/octet-stream"
+    fields = (f"<urn:uuid:{name}>", "response" if http else "resource", head["url"], f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z", head["ip"], media, http, len(payload), digest, int(page[1]) if page else None, cut)
     return fields, payload
 
 
@@ -141,10 +154,13 @@ def mark_revisits(records: DataFrame, with_payload: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str, records_per_file: int) -> None:
-    """Write records (with payload and the columns of ``mark_revisits``) as gzip WARC files of at most so many records."""
+    """Write records (with payload and the columns of ``mark_revisits``) as gzip WARC files of at most so many records.
+
+    Bytes of HTTP headers and payloads are written as they are, whatever their encoding. A revisit has its HTTP header, if any, and no payload.
+    """
     crlf = F.lit("\r\n")
     revisit = F.col("refers_to").isNotNull()
-    http = F.col("http").cast("binary")
+    http = F.col("http")
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     line = lambda name, col: F.when(col.isNotNull(), F.concat(F.lit(name + ": "), col, crlf)).otherwise("")
     head = F.concat(
@@ -160,7 +176,8 @@ def write_warc(records: DataFrame, path: str, records_per_file: int) -> None:
         line("WARC-Refers-To-Date", F.col("refers_date")),
         line("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))),
         line("WARC-Truncated", F.when(F.col("cut"), F.lit("length"))),
-        line("Content-Type", F.when(F.col("http") != "", F.lit("application/http; msgtype=response")).otherwise("application/octet-stream")),
+        line(LENGTH, F.col("payload_bytes").cast("string")),
+        line("Content-Type", F.col("media")),
         line("Content-Length", F.octet_length(block).cast("string")),
         crlf,
     )
@@ -176,20 +193,18 @@ class _Stream:
         self.data, self.piece, self.at, self.left, self.z = data, piece, 0, b"", zlib.decompressobj(31)
 
     def more(self) -> bool:
-        while self.at < len(self.data) or self.z.unconsumed_tail:
+        while True:
             if self.z.eof:  # archives may have a gzip member for each record
-                rest = self.z.unused_data
-                self.at -= len(rest)
+                self.at -= len(self.z.unused_data)
                 self.z = zlib.decompressobj(31)
+            if self.at >= len(self.data):
+                return False
             part = self.data[self.at : self.at + self.piece]
             self.at += len(part)
             got = self.z.decompress(part)
             if got:
                 self.left += got
                 return True
-            if not part:
-                break
-        return False
 
     def until(self, mark: bytes) -> bytes | None:
         seen = 0
@@ -217,10 +232,10 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields by lower-case name, block) of each record of a gzip WARC file."""
     s = _Stream(data)
     while (head := s.until(b"\r\n\r\n")) is not None:
-        lines = head.lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
+        lines = as_text(head.lstrip(b"\r\n")).split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:60]!r}")
-        fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         yield fields, s.take(int(fields["content-length"]))
         if s.take(4) != b"\r\n\r\n":
             raise ValueError("a record's length is wrong")
@@ -229,31 +244,48 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, record_type, uri, date, page_id, payload_bytes, payload_digest, refers_to, block_bytes) of all records in a folder.
 
-    A payload that is there is measured and its digest checked; a revisit's comes from its headers.
+    A payload that is there is measured, and its digest checked if it is a base-32 SHA-1 (one that is missing or of another kind
+    is replaced by it). A revisit's length comes from its own header fields, those of HTTP last; if neither has it, it is null
+    here, and that of the record it refers to in ``resolve_revisits``. Records of any type are read, also without a content type.
     """
     ship(spark)
     schema = "record_id string, record_type string, uri string, date string, page_id long, payload_bytes long, payload_digest string, refers_to string, block_bytes long"
 
     def row(f: dict[str, str], block: bytes) -> tuple:
-        http, payload = (block.partition(b"\r\n\r\n")[::2]) if f["content-type"].startswith("application/http") else (b"", block)
-        digest = f["warc-payload-digest"].removeprefix("sha1:")
-        n = len(payload)
-        if f["warc-type"] == "revisit":
-            n = int(re.search(rb"(?im)^content-length: (\d+)", http)[1])
-        elif sha1_base32(payload) != digest:
-            raise ValueError(f"digest of {f['warc-record-id']} is wrong")
+        http, payload = (block.partition(b"\r\n\r\n")[::2]) if f.get("content-type", "").startswith("application/http") else (b"", block)
+        told, n = f.get("warc-payload-digest"), len(payload)
+        digest = told.removeprefix("sha1:") if told and re.fullmatch("sha1:[A-Z2-7]{32}", told) else None
+        if f.get("warc-type") == "revisit":
+            length = f.get(LENGTH.lower()) or (m[1] if (m := re.search(rb"(?im)^content-length:\s*(\d+)", http)) else None)
+            n = None if length is None else int(length)
+        elif digest is None or not f.get("warc-truncated"):
+            own = sha1_base32(payload)
+            if digest not in (None, own):
+                raise ValueError(f"digest of {f.get('warc-record-id')} is wrong")
+            digest = own
         page = re.search(rb"(?im)^x-page-id: (-?\d+)", http)
-        return f["warc-record-id"], f["warc-type"], f.get("warc-target-uri"), f["warc-date"], int(page[1]) if page else None, n, digest, f.get("warc-refers-to"), len(block)
+        return f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), f.get("warc-date"), int(page[1]) if page else None, n, digest, f.get("warc-refers-to"), len(block)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in schema.split(", ")]
         for f in frames:
             for data in f["content"]:
-                yield pd.DataFrame([row(*r) for r in parse_warc(bytes(data))], columns=names).astype({"page_id": "Int64"})
+                yield pd.DataFrame([row(*r) for r in parse_warc(bytes(data))], columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64"})
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("content").mapInPandas(read, schema)
 
 
+def resolve_revisits(records: DataFrame) -> DataFrame:
+    """What ``read_warc`` gives, with refers_to_page, and payload_bytes and payload_digest of the record referred to where a revisit lacks its own.
+
+    A revisit of a record that isn't there keeps nulls. Spark splits the partition of a record that very many refer to.
+    """
+    kept = records.where("record_type <> 'revisit'").groupBy(F.col("record_id").alias("refers_to")).agg(
+        F.min("page_id").alias("refers_to_page"), F.min("payload_bytes").alias("__bytes"), F.min("payload_digest").alias("__digest"))
+    out = records.join(kept, "refers_to", "left")
+    return out.withColumns({"payload_bytes": F.coalesce("payload_bytes", "__bytes"), "payload_digest": F.coalesce("payload_digest", "__digest")}).drop("__bytes", "__digest")
+
+
 def pages_as_arcs(pages: DataFrame, records: int = 256, bytes_limit: int = 4 << 20) -> DataFrame:
     """(content): ARC files in both versions that hold the pages as they were served; each at most so many records and bytes, or one record."""
     ship(pages.sparkSession)
@@ -297,6 +329,4 @@ def archive_pages(pages: DataFrame, archive_bytes: int = 64 << 20) -> DataFrame:
     write_warc(mark_revisits(thin, arc_to_warc(arcs)), path, max(1, int(archive_bytes // (size["b"] + 600))))
     if not size["n"]:
         return spark.createDataFrame([], "record_id string, record_type string, uri string, date string, page_id long, payload_bytes long, payload_digest string, refers_to string, block_bytes long, refers_to_page long")
-    back = read_warc(spark, path)
-    kept = back.where("refers_to is null").groupBy(F.col("record_id").alias("refers_to")).agg(F.min("page_id").alias("refers_to_page"))
-    return back.join(kept, "refers_to", "left")
+    return resolve_revisits(read_warc(spark, path))

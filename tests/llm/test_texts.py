@@ -234,7 +234,7 @@ def test_arc_versions():
         data = warc.write_arc(records, version, "f.arc")
         got = [warc.as_warc(*r) for r in warc.parse_arc(data)]
         assert [p for _, p in got] == [b"body\nhttp://x 1 2 3 4\n", b"", b"\xff\n\n"]
-        assert [f[1] for f, _ in got] == ["response", "resource", "resource"] and got[0][0][8] == 4
+        assert [f[1] for f, _ in got] == ["response", "resource", "resource"] and got[0][0][9] == 4
         assert [f[3] for f, _ in got] == ["2001-02-03T04:05:06Z", "2001-01-01T00:00:00Z", "1970-01-01T00:00:00Z"]
         assert [c for _, _, c in warc.parse_arc(data[:-4])] == [False, False, True]
     with pytest.raises(ValueError):
@@ -260,6 +260,38 @@ def test_pages_through_archives(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_lawful_archives_of_other_kinds(spark):
+    """Equal records without HTTP or its length, headers that are not UTF-8, binary payloads: what goes in is read back, byte for byte."""
+    from lotlens.llm.common import fresh_path, materialise
+
+    old = b"HTTP/1.0 200 OK\r\nServer: caf\xe9\r\n\r\n"
+    records = [("dns:a", "0", "2001", "text/dns", b"1.2.3.4"), ("dns:b", "0", "2001", "text/dns", b"1.2.3.4"), ("http://a/", "0", "2001", "text/html", old + b"\xff\x00\r\n\r\n"),
+               ("http://b/", "0", "2001", "text/html", old + b"\xff\x00\r\n\r\n"), ("http://\u00e9/", "0", "2001", "no-type", b"")]
+    arcs = spark.createDataFrame([(bytearray(warc.write_arc(records, b"1", "f")),), (bytearray(),), (None,)], "content binary")
+    made = materialise(warc.arc_to_warc(arcs), "made")
+    assert {r["http"] is not None and bytes(r["http"]) for r in made.where("record_type = 'response'").collect()} == {old}
+    path = fresh_path(spark, "warc")
+    warc.write_warc(warc.mark_revisits(made.drop("payload"), made), path, 2)
+    got = {r["uri"]: r for r in warc.resolve_revisits(warc.read_warc(spark, path)).collect()}
+    assert {u: (r["payload_bytes"], r["payload_digest"]) for u, r in got.items()} == {u: (len(p), warc.sha1_base32(p)) for u, *_, c in records for p in [c.removeprefix(old)]}
+    assert sorted(r["record_type"] for r in got.values()) == ["resource", "resource", "response", "revisit", "revisit"]
+    revisit = next(r for r in got.values() if r["uri"].startswith("http") and r["record_type"] == "revisit")
+    assert revisit["block_bytes"] == len(old)
+    # foreign files: no length of any kind, no content type, no digest, spaces around the colon
+    def record(head, block):
+        return b"WARC/1.0\r\n" + head + b"Content-Length:%d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    import gzip
+    import os
+
+    folder = fresh_path(spark, "warc").removeprefix("file://")
+    os.makedirs(folder)
+    with open(folder + "/x.warc.gz", "wb") as f:
+        f.write(gzip.compress(record(b"WARC-Type : warcinfo\r\n", b"software: x")) + gzip.compress(record(b"warc-type:resource\r\nWARC-Record-ID: <a>\r\n", b"body")) + gzip.compress(record(b"WARC-Type: revisit\r\nWARC-Refers-To: <a>\r\n", b"")) + gzip.compress(record(b"WARC-Type: revisit\r\nWARC-Refers-To: <gone>\r\n", b"")))
+    rows = sorted(((r["record_type"], r["payload_bytes"], r["payload_digest"]) for r in warc.resolve_revisits(warc.read_warc(spark, "file://" + folder)).collect()), key=str)
+    assert rows == sorted([("warcinfo", 11, warc.sha1_base32(b"software: x")), ("resource", 4, warc.sha1_base32(b"body")), ("revisit", 4, warc.sha1_base32(b"body")), ("revisit", None, None)], key=str)
+
+
 # --- mixing and sharding ---
 
 
