@@ -115,7 +115,7 @@ def _fits(record: Column, m: Mapping) -> Column:
             tests.append(F.forall(listed, lambda x: F.schema_of_variant(x).rlike("^(OBJECT<|VOID$)")))
             said = lambda p, absent: lambda x: F.coalesce(_is_text(x, p), F.lit(absent))
             for p in (role, text):
-                tests += [F.forall(listed, said(p, True)), F.exists(listed, said(p, False))]
+                tests += [F.forall(listed, said(p, True)), (F.size(listed) == 0) | F.exists(listed, said(p, False))]
         else:
             tests.append(F.forall(listed, lambda x: ~F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)<")))
     return F.coalesce(reduce(Column.__and__, tests), F.lit(False))
@@ -132,9 +132,13 @@ def record_fingerprint(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS)
 def canonical_records(df: DataFrame, id_col: str, record_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(id, turn long, role, text) of JSON records (text) in any known layout, mixed freely in one table.
 
-    A missing or null text is empty; a field text that is missing or empty gives no turn of its own. Unknown layouts, records that
-    are not JSON and null records give no rows (``unmapped_records`` returns them).
+    A missing or null text is empty; a field text that is missing or empty gives no turn of its own. A list without messages is a
+    known layout: a conversation without turns, so without rows. Unknown layouts, records that are not JSON and null records
+    give no rows either (``unmapped_records`` returns them). Texts may be of any length; repeated rows stay; columns other than
+    the two are not carried, whatever their names, but the identifier's may not be that of another output column; an empty table gives an empty result.
     """
+    if id_col in ("turn", "role", "text"):
+        raise ValueError(f"an identifier column cannot be named {id_col}")
     v = F.try_parse_json(F.col(record_col))
     rows = df.select(F.col(id_col), v.alias("__v")).withColumn("__layout", record_fingerprint(F.col("__v"), mappings))
 
@@ -173,7 +177,11 @@ def unmapped_records(df: DataFrame, record_col: str, mappings: tuple[Mapping, ..
 
 
 def canonical_rows(df: DataFrame, id_col: str, order_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(id, turn, role, text) of a table with one turn a row, or one record a row in nested columns; the first mapping whose paths its schema has."""
+    """(id, turn, role, text) of a table with one turn a row, or one record a row in nested columns; the first mapping whose paths its schema has.
+
+    Null roles and texts are empty; repeated rows stay; columns that the mapping doesn't name are not carried and don't count,
+    nor do those of the identifier and order where they are named like a field; an empty table gives an empty result.
+    """
     own = schema_paths(T.StructType([f for f in df.schema.fields if f.name not in (id_col, order_col)]))
     for m in mappings:
         if m.paths() - set(m.optional) <= own:
@@ -242,7 +250,9 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
 def conversation_digests(segments: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Reads formatted conversations back, from segments in ``format_turns``'s order; one row a conversation.
 
-    (id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars); digests are taken over the stream.
+    (id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars); digests are taken over the stream, so that memory holds
+    a turn, not a conversation. Null identifiers are one conversation; an empty table gives an empty result; a conversation
+    that breaks off within a turn is an error. Columns other than the identifier and the segment don't count.
     """
     schema = T.StructType([segments.schema[id_col], *[T.StructField(n, k) for n, k in (("n_turns", T.LongType()), ("turns_sha256", T.StringType()), ("loss_chars", T.LongType()), ("loss_sha256", T.StringType()), ("formatted_chars", T.LongType()))]])
 

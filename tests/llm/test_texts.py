@@ -204,6 +204,21 @@ def test_unknown_fields_of_any_depth(spark):
     assert [tuple(x) for x in chat.canonical_rows(nested, "i", "n").collect()] == [(1, 0, "", "hi")]
 
 
+def test_empty_long_and_clashing_layouts(spark):
+    long = "word \\ </turn> " * 60_000
+    rows = [(0, json.dumps({"messages": [], "meta": {"role": "x"}}), "c"), (1, json.dumps({"messages": [{"role": "assistant", "content": long}], "dc:title": 1, "a,b": 2, "a<b>": 3}), "c"), (1, json.dumps({"dialog": []}), "c")]
+    df = spark.createDataFrame(rows, "conv_id long, record string, role string")
+    turns = chat.canonical_records(df, "conv_id", "record")
+    assert turns.columns == ["conv_id", "turn", "role", "text"] and chat.unmapped_records(df, "record").count() == 0
+    with pytest.raises(ValueError):
+        chat.canonical_records(df, "role", "record")
+    assert [tuple(r) for r in turns.collect()] == [(1, 0, "assistant", long)]
+    digest = chat.conversation_digests(chat.format_turns(turns.withColumn("segment", F.lit("clash")))).collect()
+    assert [(r["conv_id"], r["n_turns"], r["loss_chars"], r["loss_sha256"]) for r in digest] == [(1, 1, len(long), hashlib.sha256(long.encode()).hexdigest())]
+    table = spark.createDataFrame([(2, [])], "i long, messages array<struct<role:string,content:string>>").withColumn("n", F.lit(0))
+    assert chat.canonical_rows(table, "i", "n").count() == 0 and chat.canonical_records(df.limit(0), "conv_id", "record").count() == 0
+
+
 def test_template_round_trip(spark):
     rng = random.Random(8)
     nasty = ["".join(rng.choice(["\\", "<", "/", "turn", ">", "\n", "</turn>\n", '<turn role="a">\n', "n", "é"]) for _ in range(rng.randrange(12))) for _ in range(300)]
