@@ -2,18 +2,19 @@
 
 The tree is split level by level. A node takes the dimension that is widest there (its span against the whole table's) and
 is cut at the weighted median of its bytes, or at the share that its shards need, until a leaf holds the target bytes.
-The median is searched by distributed histograms: each job sums bytes in at most ``BUCKETS`` ranges a node, and only the
-range that holds the median is searched on, so that what reaches the driver depends on the number of nodes alone.
+The medians of a level are searched together by distributed histograms: each job sums bytes in at most ``BUCKETS`` ranges a
+node and picks the one that holds the node's median, and only that is searched on. The driver gets one row a node and step;
+rows meet their node's state by a broadcast join with a table of the open nodes, which the number of shards bounds.
 Documents are ordered by (dimension, text checksum, identifier): equal texts lie side by side and stay in one shard
-unless their group alone outweighs the tolerance, when it is cut by identifier.
+unless their group alone outweighs the tolerance, when it is cut by identifier. The checksum is no dimension; it only breaks ties.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotlens.llm.common import discard, empty_if_null, materialise
@@ -22,6 +23,7 @@ BUCKETS = 1024
 #: Rows of one slot range; a shard is numbered in as many tasks as it has ranges.
 SLOT_ROWS = 500_000
 MASK = 0xFFFFFFFF
+PARTS = 5
 
 
 @dataclass
@@ -31,76 +33,74 @@ class _Node:
     name: int
     shards: int
     bytes: int
-    dim: str
+    dim: int
     tolerance: float
     lo: list[int]
     hi: list[int]
     equal: list[int] = field(default_factory=list)
     before: int = 0
-    cut: list[int] | None = None  # left side: key tuple <= cut
+    cut: list[int] | None = None  # left side: key <= cut
 
     @property
     def goal(self) -> float:
         return self.bytes * (self.shards // 2) / self.shards
 
-    def step(self, buckets: list) -> None:
-        """Narrow the range to the bucket that holds the goal, or settle the cut there."""
+    def state(self) -> dict:
+        p = len(self.equal)
+        width = -(-(self.hi[p] - self.lo[p] + 1) // BUCKETS)
+        return {"__node": self.name, "dim": self.dim + 1, "equal": self.equal, "part": p + 1, "lo": self.lo[p], "hi": self.hi[p], "width": width, "before": self.before, "goal": self.goal}
+
+    def step(self, total: int, whole: int, low: list[int], high: list[int]) -> None:
+        """Narrow the range to the bucket that holds the goal (bytes before it and with it, least and greatest keys), or settle the cut there."""
         phase = len(self.equal)
-        total = self.before
-        for i, b in enumerate(buckets):
-            if total + b["w"] >= self.goal or i + 1 == len(buckets):
-                break
-            total += b["w"]
-        whole = total + b["w"]
-        low, high = [b[f"lo{p}"] for p in range(5)], [b[f"hi{p}"] for p in range(5)]
         single = low[: phase + 1] == high[: phase + 1]
         # a cut that leaves the bucket on one side
-        before_ok, after_ok = self.goal - total <= self.tolerance, whole - self.goal <= self.tolerance
-        if (before_ok or after_ok) or (single and phase == 4):
-            if whole - self.goal <= self.goal - total:
-                self.cut = [*self.equal, high[phase]]
-            else:
-                self.cut = [*self.equal, low[phase] - 1]
+        if min(self.goal - total, whole - self.goal) <= self.tolerance or (single and phase == PARTS - 1):
+            self.cut = [*self.equal, high[phase] if whole - self.goal <= self.goal - total else low[phase] - 1]
             return
-        self.before = total
-        self.lo, self.hi = low, high
-        while len(self.equal) < 4 and self.lo[len(self.equal)] == self.hi[len(self.equal)]:
-            self.equal.append(self.lo[len(self.equal)])
+        self.before, self.lo, self.hi = total, low, high
+        while len(self.equal) < PARTS - 1 and low[len(self.equal)] == high[len(self.equal)]:
+            self.equal.append(low[len(self.equal)])
+
 
+STATE = "__node bigint, dim int, equal array<bigint>, part int, lo bigint, hi bigint, width bigint, before bigint, goal double"
 
-def _keys(v: Column) -> list[Column]:
-    """The order along a dimension in five parts of 32 bits at most."""
-    i = F.col("__id")
-    return [F.shiftright(v, 32), v.bitwiseAND(F.lit(MASK)), F.col("__crc"), F.shiftright(i, 32), i.bitwiseAND(F.lit(MASK))]
 
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table from the driver, to be broadcast."""
+    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>"))))
 
-def _at_most(keys: list[Column], cut: list[int]) -> Column:
-    """keys <= cut in the order of their parts; parts that the cut lacks don't count."""
-    test = keys[len(cut) - 1] <= F.lit(cut[-1])
-    for k, c in reversed(list(zip(keys, cut[:-1], strict=False))):
-        test = (k < F.lit(c)) | ((k == F.lit(c)) & test)
-    return test
 
+def _key(dims: list[str]) -> Column:
+    """The order along a node's dimension in five parts of 32 bits at most."""
+    v, i = F.element_at(F.array(*dims), F.col("dim")), F.col("__id")
+    return F.array(F.shiftright(v, 32), v.bitwiseAND(F.lit(MASK)), F.col("__crc"), F.shiftright(i, 32), i.bitwiseAND(F.lit(MASK)))
 
-def _case(pairs: list[tuple[Column, Column]], other: Column) -> Column:
-    return reduce(lambda w, p: w.when(*p), pairs[1:], F.when(*pairs[0])).otherwise(other) if pairs else other
+
+def text_metadata(body: Column) -> dict[str, Column]:
+    """Dimensions that equal texts share: bytes, lines, words, the thousandths of bytes beyond one a character, and the hundredths of a word's mean length."""
+    chars, size = F.length(body).cast("long"), F.octet_length(body).cast("long") + 1
+    count = lambda c: chars - F.length(F.replace(body, F.lit(c)))
+    words = count(" ") + count("\n") + 1
+    return {"bytes": size, "lines": count("\n"), "words": words, "wide": (size - 1 - chars) * 1000 / size, "word_length": chars * 100 / words}
 
 
 def kd_tree_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None, target_bytes: int | None = None, shards: int | None = None, tolerance: float = 0.002) -> DataFrame:
     """(id, size long, text_crc32 long, shard int, slot long), one row per row of ``df``.
 
-    size: UTF-8 bytes of the text plus 1; a null text has none. dims: name -> numeric column; by default bytes, lines and
-    checksum, which equal texts share. shards: number of leaves, or as many as ``target_bytes`` asks for. tolerance: how far,
-    in leaves, a cut may lie from its goal to leave equal texts together. slot counts from 0 without gaps in each shard.
-    Null identifiers and dimensions order as -1 and 0; repeated rows each get a slot; an empty table gives an empty result.
+    size: UTF-8 bytes of the whole text plus 1; a null text has none. dims: name -> numeric column; by default ``text_metadata``.
+    shards: number of leaves, or as many as ``target_bytes`` asks for. tolerance: how far, in leaves, a cut may lie from its
+    goal to leave equal texts together. slot counts from 0 without gaps in each shard. Null identifiers and dimensions order
+    as -1 and 0; repeated rows each get a slot; ties in a dimension are ordered by checksum and identifier. Other columns of
+    ``df`` are not carried, so no name clashes; an empty table gives an empty result.
     """
+    spark = df.sparkSession
     body = empty_if_null(text_col)
-    size = F.octet_length(body).cast("long") + 1
-    dims = dims or {"bytes": size, "lines": F.length(body).cast("long") - F.length(F.replace(body, F.lit("\n"))), "checksum": F.crc32(body)}
+    dims = dims or text_metadata(body)
     names = [f"__d{i}" for i in range(len(dims))]
     thin = materialise(
-        df.select(F.col(id_col), size.alias("size"), F.crc32(body).alias("__crc"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("__id"),
-                  *[F.coalesce(c.cast("long"), F.lit(0)).alias(n) for n, c in zip(names, dims.values(), strict=True)]),
+        df.select(F.col(id_col), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("__crc"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("__id"),
+                  *[F.coalesce(c.cast("long"), F.lit(0)).alias(n) for n, c in zip(names, dims.values(), strict=True)], F.lit(1).cast("long").alias("__node")),
         "meta",
     )
     spans = [f(n).alias(f"{o}{n}") for n in names for o, f in (("lo", F.min), ("hi", F.max))]
@@ -108,57 +108,46 @@ def kd_tree_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shards = shards or max(1, round(whole["w"] / target_bytes))
     leaf = max(1.0, whole["w"] / shards)
 
-    node, open_nodes, leaves = F.col("__node"), {1: shards}, {}
-    thin = thin.withColumn("__node", F.lit(1).cast("long"))
+    ends = [f(F.element_at("key", p + 1)).alias(f"{o}{p}") for p in range(PARTS) for o, f in (("lo", F.min), ("hi", F.max))]
+    so_far = Window.partitionBy("__node").orderBy("bucket")
+    open_nodes, leaves = {1: shards}, {}
     while True:
         leaves |= {n: k for n, k in open_nodes.items() if k == 1}
         open_nodes = {n: k for n, k in open_nodes.items() if k > 1}
         if not open_nodes:
             break
-        stats = {r["__node"]: r for r in thin.where(node.isin(*open_nodes)).groupBy("__node").agg(F.sum("size").alias("w"), *spans).collect()}
+        here = _table(spark, [{"__node": n} for n in open_nodes], "__node bigint")
         searched: dict[int, _Node] = {}
-        for n, r in stats.items():
+        for r in thin.join(here, "__node").groupBy("__node").agg(F.sum("size").alias("w"), *spans).collect():
+            n = r["__node"]
             width = [(r["hi" + d] - r["lo" + d]) / max(1, whole["hi" + d] - whole["lo" + d]) for d in names]
-            d = names[width.index(max(width))]
-            lo, hi = r["lo" + d], r["hi" + d]
+            d = width.index(max(width))
+            lo, hi = r["lo" + names[d]], r["hi" + names[d]]
             s = searched[n] = _Node(n, open_nodes[n], r["w"], d, tolerance * leaf, [lo >> 32, 0], [hi >> 32, MASK])
             if lo >> 32 == hi >> 32:
                 s.equal, s.lo[1], s.hi[1] = [lo >> 32], lo & MASK, hi & MASK
-        value = _case([(node == n, F.col(s.dim)) for n, s in searched.items()], F.lit(0).cast("long"))
-        k = [F.col(f"k{p}") for p in range(5)]
         while active := [s for s in searched.values() if s.cut is None]:
-            within, bucket = [], []
-            for s in active:
-                p = len(s.equal)
-                width = -(-(s.hi[p] - s.lo[p] + 1) // BUCKETS)
-                same = [c == F.lit(e) for c, e in zip(k, s.equal, strict=False)]
-                within.append((node == s.name, reduce(lambda a, b: a & b, [*same, k[p].between(s.lo[p], s.hi[p])])))
-                bucket.append((node == s.name, F.floor((k[p] - F.lit(s.lo[p])) / F.lit(width))))
-            got = (
-                thin.where(node.isin(*[s.name for s in active])).withColumn("__v", value)
-                .select("__node", "size", *[c.alias(f"k{p}") for p, c in enumerate(_keys(F.col("__v")))])
-                .where(_case(within, F.lit(False)))
-                .groupBy("__node", _case(bucket, F.lit(0).cast("long")).alias("bucket"))
-                .agg(F.sum("size").alias("w"), *[f(f"k{p}").alias(f"{o}{p}") for p in range(5) for o, f in (("lo", F.min), ("hi", F.max))])
-                .collect()
+            state = _table(spark, [s.state() for s in active], STATE)
+            at = F.element_at("key", F.col("part"))
+            buckets = (
+                thin.join(state, "__node").withColumn("key", _key(names))
+                .where((F.slice("key", F.lit(1), F.col("part") - 1) == F.col("equal")) & at.between(F.col("lo"), F.col("hi")))
+                .groupBy("__node", "before", "goal", F.floor((at - F.col("lo")) / F.col("width")).alias("bucket"))
+                .agg(F.sum("size").alias("w"), *ends)
             )
-            for s in active:
-                s.step(sorted((r for r in got if r["__node"] == s.name), key=lambda r: r["bucket"]))
-        sides = [
-            (node == n, F.when(_at_most(_keys(F.col(searched[n].dim)), searched[n].cut), F.lit(2 * n)).otherwise(F.lit(2 * n + 1)) if n in searched else F.lit(2 * n))
-            for n in open_nodes
-        ]
-        old, thin = thin, materialise(thin.withColumn("__node", _case(sides, node).cast("long")), "tree")
+            held = buckets.withColumn("with", F.col("before") + F.sum("w").over(so_far)).where((F.col("with") >= F.col("goal")) & (F.col("with") - F.col("w") < F.col("goal")))
+            for r in held.collect():
+                searched[r["__node"]].step(r["with"] - r["w"], r["with"], [r[f"lo{p}"] for p in range(PARTS)], [r[f"hi{p}"] for p in range(PARTS)])
+        cuts = _table(spark, [{"__node": n, "dim": s.dim + 1, "cut": s.cut} for n, s in searched.items()], "__node bigint, dim int, cut array<bigint>")
+        left = F.slice(_key(names), F.lit(1), F.size("cut")) <= F.col("cut")
+        moved = thin.join(cuts, "__node", "left").withColumn("__node", F.when(F.col("cut").isNull(), F.col("__node")).when(left, F.col("__node") * 2).otherwise(F.col("__node") * 2 + 1))
+        old, thin = thin, materialise(moved.select(thin.columns), "tree")
         discard(old)
         open_nodes = {c: m for n, m in open_nodes.items() for c, m in ((2 * n, m // 2), (2 * n + 1, m - m // 2))}
 
-    def path(n: int) -> str:
-        return bin(n)[3:]
-
-    number = {n: i for i, n in enumerate(sorted(leaves, key=path))}
-    shard = _case([(node == n, F.lit(i)) for n, i in number.items()], F.lit(0)) if len(number) > 1 else F.lit(0)
+    number = [{"__node": n, "shard": i} for i, n in enumerate(sorted(leaves, key=lambda n: bin(n)[3:]))]
     ranges = max(16, -(-whole["rows"] // (SLOT_ROWS * shards)))
-    placed = thin.withColumn("shard", shard.cast("int")).withColumn("__range", F.pmod(F.xxhash64("__id", "__crc"), F.lit(ranges)).cast("int"))
+    placed = thin.join(_table(spark, number, "__node bigint, shard int"), "__node").withColumn("__range", F.pmod(F.xxhash64("__id", "__crc"), F.lit(ranges)).cast("int"))
     counts = placed.groupBy("shard", "__range").agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select("shard", "__range", (F.sum("n").over(Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"))
     within = F.row_number().over(Window.partitionBy("shard", "__range").orderBy("__id", "__crc"))

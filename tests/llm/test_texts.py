@@ -410,6 +410,43 @@ def test_small_groups_stay_together(spark):
     assert (out.groupby("text_crc32").shard.nunique() == 1).all()
 
 
+def test_shard_query_is_a_tree_of_medians(spark):
+    """op8 against its law in plain Python: every node's cut lies on its widest dimension, at its share of bytes, in order."""
+    import zlib
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = queries.op8_kd_tree_shards(spark, DATA).collect()
+    shard = {r["doc_id"]: r["shard"] for r in rows}
+    assert len(rows) == len(texts) and all(r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in rows)
+
+    def dims(t):
+        size, lines, words = len(t.encode()) + 1, t.count("\n"), t.count(" ") + t.count("\n") + 1
+        return size, lines, words, (size - 1 - len(t)) * 1000 // size, len(t) * 100 // words
+
+    meta = {i: dims(t) for i, t in texts.items()}
+    span = lambda ids, d: max(meta[i][d] for i in ids) - min(meta[i][d] for i in ids)
+    used, total = set(), sum(m[0] for m in meta.values())
+
+    def descend(ids, first, n):
+        if n == 1:
+            assert {shard[i] for i in ids} == {first}
+            return
+        width = [span(ids, d) / max(1, span(meta, d)) for d in range(5)]
+        d = width.index(max(width))
+        used.add(d)
+        key = lambda i: (meta[i][d], zlib.crc32(texts[i].encode()), i)
+        left = [i for i in ids if shard[i] < first + n // 2]
+        right = [i for i in ids if shard[i] >= first + n // 2]
+        assert max(map(key, left)) < min(map(key, right))
+        goal, have = sum(meta[i][0] for i in ids) * (n // 2) / n, sum(meta[i][0] for i in left)
+        assert abs(have - goal) <= 0.002 * total / 16 + max(meta[i][0] for i in ids)
+        descend(left, first, n // 2)
+        descend(right, first + n // 2, n - n // 2)
+
+    descend(list(texts), 0, 16)
+    assert len(used) > 1
+
+
 # --- queries and pipeline ---
 
 
