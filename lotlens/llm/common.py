@@ -89,9 +89,22 @@ def whole_runs(frames, key: list[str]):
         yield held
 
 
-def in_blocks(rows: DataFrame, size: str, id_col: str, hot: int) -> DataFrame:
-    """``rows`` with a column ``deal``: groups of at most ``hot`` rows whole, larger ones in blocks, every pair of which meets in a deal."""
-    parts = F.ceil(F.col(size) / (hot // 2)).cast("int")
-    mine = F.pmod(F.xxhash64(id_col), parts).cast("int")
-    deals = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.least(mine, o) * parts + F.greatest(mine, o))
-    return rows.withColumn("deal", F.explode(F.when(F.col(size) > hot, deals).otherwise(F.array(F.lit(0)))))
+def in_blocks(rows: DataFrame, group: list[str], hot: int, first: bool) -> DataFrame:
+    """``rows`` (the group's columns, its size n, id, root) with ``deal``: groups of at most ``hot`` rows whole (-1), larger ones in blocks of half as many.
+
+    At first, a block is searched by itself; each group has other blocks. Later, when most of a large group is connected,
+    only its members outside of its commonest root go to all blocks, so that every link between different roots has a deal.
+    """
+    half = hot // 2
+    parts = F.ceil(F.col("n") / half).cast("int")
+    mine = F.pmod(F.xxhash64("id", *group), parts).cast("long")
+    small, large = rows.where(F.col("n") <= hot).withColumn("deal", F.lit(-1).cast("long")), rows.where(F.col("n") > hot)
+    if first:
+        return small.unionByName(large.withColumn("deal", mine))
+    main = large.groupBy(*group, "root").agg(F.count(F.lit(1)).alias("c")).groupBy(*group).agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
+    groups = F.ceil(F.col("others") / half).cast("int")
+    wide = F.lit(1 << 32)
+    own = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: mine * wide + g)
+    across = F.transform(F.sequence(F.lit(0), parts - 1), lambda b: b * wide + F.pmod(F.xxhash64("id", F.lit(1)), groups))
+    deals = F.when(F.col("root") == F.col("main"), own).otherwise(F.array_union(own, across))
+    return small.unionByName(large.join(main, group).withColumn("deal", F.explode(deals)).drop("main", "others"))

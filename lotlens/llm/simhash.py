@@ -19,13 +19,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotlens.llm.common import discard, empty_if_null, materialise, ship, whole_runs
-from lotlens.llm.components import connected_components
+from lotlens.llm.common import discard, empty_if_null, in_blocks, materialise, ship, whole_runs
+from lotlens.llm.components import connected_components, merged
 from lotlens.llm.gray import GrayIndex, gray_rank
 
 SEED = 42
@@ -191,31 +192,13 @@ def sketch(text: str | None, k: int = 5) -> tuple[list[int], int, np.ndarray]:
 
 def jaccard(a: str | None, b: str | None, k: int = 5) -> float:
     """Of the sets of k-word shingles; two texts without words are equal."""
-    x, y = np.unique(shingle_hashes(a, k)), np.unique(shingle_hashes(b, k))
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0
-
+    return set_likeness(np.unique(shingle_hashes(a, k)), np.unique(shingle_hashes(b, k)))
 
-def _dealt(rows: DataFrame, hot: int, first: bool) -> DataFrame:
-    """``rows`` (band, value, n, id, root) with ``deal``: groups of at most ``hot`` rows whole (-1), larger ones in blocks of half as many.
 
-    At first, a block is searched by itself; each band has other blocks. Later, when most of a large group is connected,
-    only its members outside of its commonest root go to all blocks, so that every link between different roots has a deal.
-    """
-    half = hot // 2
-    parts = F.ceil(F.col("n") / half).cast("int")
-    mine = F.pmod(F.xxhash64("id", "band"), parts).cast("long")
-    small, large = rows.where(F.col("n") <= hot).withColumn("deal", F.lit(-1).cast("long")), rows.where(F.col("n") > hot)
-    if first:
-        return small.unionByName(large.withColumn("deal", mine))
-    key = ["band", "value"]
-    main = large.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("c")).groupBy(*key).agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
-    groups = F.ceil(F.col("others") / half).cast("int")
-    wide = F.lit(1 << 32)
-    own = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: mine * wide + g)
-    across = F.transform(F.sequence(F.lit(0), parts - 1), lambda b: b * wide + F.pmod(F.xxhash64("id", F.lit(1)), groups))
-    deals = F.when(F.col("root") == F.col("main"), own).otherwise(F.array_union(own, across))
-    return small.unionByName(large.join(main, key).withColumn("deal", F.explode(deals)).drop("main", "others"))
+def set_likeness(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are equal."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0
 
 
 def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -244,16 +227,21 @@ def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, k: int = 5,
                 out["id"] = np.repeat(part["id"].to_numpy(), BANDS)
                 yield out
 
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            alike = [jaccard(x, y, k) >= similarity for x, y in zip(frame["ta"], frame["tb"], strict=True)]
-            yield frame[["a", "b"]].assign(alike=alike)
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hashes = None, None  # pairs come ordered by b
+        for batch in batches:
+            alike = []
+            for i, b in enumerate(batch.column("b").to_pylist()):
+                if b != last:
+                    last, hashes = b, np.unique(shingle_hashes(batch.column("tb")[i].as_py(), k))
+                alike.append(set_likeness(np.unique(shingle_hashes(batch.column("ta")[i].as_py(), k)), hashes) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(alike, pa.bool_())], names=["a", "b", "alike"])
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), empty_if_null(text_col).alias("t")).where("id is not null")
     group, key, member = ["band", "value"], ["band", "value", "deal"], [*code, "reach", "id", "root"]
     bands = materialise(texts.mapInPandas(sketches, "band int, value long, " + ", ".join(f"{c} long" for c in code) + ", reach int, id long"), "bands")
     met = materialise(bands.join(bands.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), group).withColumn("root", F.col("id")).select(*group, "n", *member), "met")
-    linked = materialise(texts.groupBy("id").agg(F.min("t").alias("t")).join(met.select("id").distinct(), "id", "left_semi"), "linked")
+    linked = materialise(texts.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t")), "linked")
     discard(bands)
     # Few bytes, much work: a stated number of tasks, which Spark does not merge by size.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -261,7 +249,7 @@ def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, k: int = 5,
     while True:
         if labels is not None:
             active = active.drop("root").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        rows = _dealt(active, hot, first=labels is None).select(*key, *member, F.lit(False).alias("told"), F.lit(0).cast("long").alias("other"))
+        rows = in_blocks(active, group, hot, first=labels is None).select(*key, *member, F.lit(False).alias("told"), F.lit(0).cast("long").alias("other"))
         if failed:
             # a pair of a large group is told to all blocks of its first member
             blocks = rows.where("deal >= 0").select(*key, F.col("id").alias("a"))
@@ -277,7 +265,7 @@ def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, k: int = 5,
         if judged:
             pairs = pairs.join(reduce(DataFrame.unionByName, judged), ["a", "b"], "left_anti")
         both = pairs.join(linked.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(linked.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-        judged.append(materialise(both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long, alike boolean"), "judged"))
+        judged.append(materialise(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, alike boolean"), "judged"))
         # Where a link of a group's forest fails, the group is searched again without it: a longer link may hold what it held.
         bad = reduce(DataFrame.unionByName, judged).where("not alike").select("a", "b")
         failed.append(materialise(found.join(bad, ["a", "b"], "left_semi"), "failed"))
@@ -298,19 +286,6 @@ def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, k: int = 5,
     return reduce(DataFrame.unionByName, judged).where("alike").select("a", "b"), labels
 
 
-def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """Components (node, root) with more edges (a, b): only the roots that these connect go through the rounds."""
-    if labels is None:
-        return materialise(connected_components(edges), "labels")
-    ends = edges
-    for x in ("a", "b"):
-        ends = ends.join(labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(x, F.coalesce(f"root_{x}", x))
-    moved = connected_components(ends.select("a", "b").distinct())
-    of = moved.select(F.col("node").alias("root"), F.col("root").alias("new"))
-    now = labels.join(of, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-    return materialise(now.unionByName(moved.join(labels, "node", "left_anti")), "labels")
-
-
 def near_duplicate_edges(df: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8, hot: int = 4096) -> DataFrame:
     """The verified links (a, b) of ``near_duplicate_links``."""
     return near_duplicate_links(df, id_col, text_col, k, similarity, hot)[0]
