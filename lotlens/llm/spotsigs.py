@@ -2,12 +2,14 @@
 
 A signature is a common word (the anchor) with the chain of content words that follow it; common words inside the chain
 are passed over. Boilerplate such as menus and link lists has few common words and so few signatures. The fingerprint of
-a text is its set of signatures; sets are compared by Jaccard similarity, which a difference in set sizes bounds.
+a text is its set of signatures. Sets are partitioned by their length, as one that is too short or too long cannot match, and
+within it meet by their rarest signatures; those that meet are compared by Jaccard similarity, which their lengths prune again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -15,11 +17,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.llm.common import empty_if_null, in_blocks, materialise, ship, whole_runs
-from lotlens.llm.components import connected_components
+from lotlens.llm.components import merged
 
 #: Common words of four languages; anchors of signatures.
 ANCHORS = frozenset(
@@ -34,8 +37,8 @@ CHAIN = 3
 FEW = 12
 FADE = 24
 WORD = re.compile(r"\w+")
-#: Rows of a partition, at most about, when texts are dealt by identifier.
-PART_ROWS = 200_000
+#: Buckets in which signatures are counted, to put frequent ones last.
+COUNTED = 1 << 14
 
 
 class Signer:
@@ -46,7 +49,7 @@ class Signer:
 
     def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """64-bit hash of each word, and whether it is an anchor (its lowest bit)."""
-        if len(self.seen) > 1_000_000:
+        if len(self.seen) > 250_000:
             self.seen.clear()
         seen = self.seen
         for w in set(words).difference(seen):
@@ -108,104 +111,216 @@ def edited(text: str, follower: str) -> str:
     return text[: len(text) - n] + follower[:n]
 
 
-def spot_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text's fingerprint, that of its edited text, and both their likeness and that of the next text.
+def id_cuts(rows: DataFrame, order: str) -> np.ndarray:
+    """Values of ``order`` that cut the rows into parts of about equal size, the last one its maximum; twice as many as shuffle partitions."""
+    n = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    got = rows.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 50 * n), F.max(order)).first()
+    return np.array(sorted({*(got[0] or []), got[1] or 0}), dtype=np.int64)
 
-    (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per row of ``df``. The next
-    text is that of the next smaller identifier (after the smallest comes the largest; repeated identifiers follow each
-    other by text; null identifiers come last). Null texts count as empty; a lone row is its own next; an empty table gives none.
 
-    Rows are dealt once by identifier range and compared as a stream within each part, so memory holds one batch; the
-    first row of each part is also sent to the part before it.
+def spot_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """Each text's fingerprint, that of its edited text, their likeness and that of the next text, and the texts it matches.
+
+    (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, component_id), one row per row of
+    ``df``. The next text is that of the next smaller identifier (after the smallest comes the largest; repeated identifiers
+    follow each other by a hash of their texts; null identifiers come last). component_id: as in ``spotsigs_components``, else
+    the row's own identifier. Null texts count as empty, and texts without words have a fingerprint too; texts may be of any
+    length; other columns are not carried, so no name clashes; a lone row is its own next; an empty table gives an empty result.
+
+    Texts are packed and dealt once by identifier range, and compared as a stream within each part, so memory holds one batch.
+    A part's first identifier is one of the cuts, so its row knows that it is also the end of the part before; components come in the same stream.
     """
     spark = df.sparkSession
     ship(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("o"), empty_if_null(text_col).alias("t"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // PART_ROWS)
-    cuts = rows.agg(F.percentile_approx("o", [i / (2 * n) for i in range(1, 2 * n)], 100 * n)).first()[0] or []
-    part = F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<long>"), lambda c: c > F.col("o"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", part)
-    # The first row of each part is a guest at the end of the part before; as many rows as parts.
-    heads = sorted((r["part"], r["o"]) for r in rows.groupBy("part").agg(F.max("o").alias("o")).collect())
-    before = {o: heads[i - 1][0] for i, (_, o) in enumerate(heads)}
-    guests = (
-        rows.where(F.col("o").isin(*before)).groupBy("o").agg(F.min("t").alias("t"))
-        .select(F.lit(None).cast("long").alias("id"), "o", "t", F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("o")).alias("part"), F.lit(True).alias("guest"))
-        if before else rows.select("id", "o", "t", "part", F.lit(True).alias("guest")).limit(0)
-    )
-    dealt = rows.select("id", "o", "t", "part", F.lit(False).alias("guest")).unionByName(guests).repartition(n, "part").sortWithinPartitions("part", "guest", F.desc("o"), "t")
-    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    roots = spotsigs_components(df, id_col, text_col, similarity)
+    order = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), order(F.col(id_col)).alias("o"), empty_if_null(text_col).alias("t"))
+    cuts = id_cuts(rows, "o")
+    packed = "part int, kind int, o long, tie long, id long, z binary, root long"
+    sent = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("o", pa.int64()), ("tie", pa.int64()), ("id", pa.int64()), ("z", pa.binary()), ("root", pa.int64())])
+
+    def part_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        o = batch.column("o").to_numpy()
+        return o, np.searchsorted(cuts, o).astype(np.int32)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            o, part = part_of(b)
+            z, tie = [], []
+            for t in b.column("t"):
+                t = t.as_py().encode()
+                z.append(squeeze(t))
+                tie.append(xxhash.xxh64_intdigest(t) - (1 << 63))
+            own = pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.ones(len(o), np.int32)), b.column("o"), pa.array(tie, pa.int64()), b.column("id"), pa.array(z, pa.binary()), pa.nulls(len(o), pa.int64())], schema=sent)
+            yield own
+            ends = np.flatnonzero(cuts[part] == o)
+            if len(ends):
+                guests = own.take(pa.array(ends))
+                yield guests.set_column(0, "part", pa.array((part[ends] + 1) % len(cuts), pa.int32())).set_column(1, "kind", pa.array(np.full(len(ends), 2, np.int32)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            o, part = part_of(b)
+            none = np.zeros(len(o), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(none.astype(np.int32)), b.column("o"), pa.array(none), b.column("o"), pa.nulls(len(o), pa.binary()), b.column("root")], schema=sent)
+
+    both = rows.mapInArrow(pack, packed).unionByName(roots.select(F.col(id_col).alias("o"), F.col("component_id").alias("root")).mapInArrow(place, packed))
+    # a part: for each identifier, descending, its component and then its rows; the guests last
+    dealt = both.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", F.col("kind") == 2, F.desc("o"), "kind", "tie")
+    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, last = Signer(), None
+        signer, last, unpack, root = Signer(), None, zstandard.ZstdDecompressor().decompress, (None, None)
 
         def row(item, follower):
-            _, i, t, s = item
-            e = edited(t, follower[2])
+            _, _, i, t, s, component = item
+            e = edited(t, follower[3])
             es = s if e == t else signer.signatures(e)
-            return i, len(t), hashlib.sha256(e.encode()).hexdigest(), as_text(s), as_text(es), likeness(s, es), likeness(s, follower[3])
+            return i, len(t), hashlib.sha256(e.encode()).hexdigest(), as_text(s), as_text(es), likeness(s, es), likeness(s, follower[4]), component
 
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b, out = whole.slice(at, 1024), []
-                for part, i, t in zip(b.column("part").to_pylist(), b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
-                    item = (part, i, t, signer.signatures(t))
-                    if last is not None and last[0] == part:  # else it was a guest
+                for r in b.to_pylist():
+                    if r["kind"] == 0:
+                        root = r["o"], r["root"]
+                        continue
+                    t = unpack(r["z"]).decode()
+                    item = (r["part"], r["kind"], r["id"], t, signer.signatures(t), root[1] if r["id"] is not None and root[0] == r["o"] else r["id"])
+                    if last is not None and last[0] == item[0] and last[1] == 1:
                         out.append(row(last, item))
                     last = item
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(stream, schema).withColumnRenamed("id", id_col)
+    return dealt.mapInArrow(stream, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long")
+
+
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows (part, sig, ..), those whose part and signature an adjacent row shares; holds one row back."""
+    held, again = None, False
+    for b in batches:
+        t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+        if not t.num_rows:
+            continue
+        key = [t.column(c).to_numpy() for c in ("part", "sig")]
+        same = np.logical_and.reduce([k[1:] == k[:-1] for k in key])
+        keep = np.append(again, same) | np.append(same, False)
+        held, again = t.slice(t.num_rows - 1), bool(same[-1]) if len(same) else again
+        yield from t.slice(0, t.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()
+    if again:
+        yield from held.to_batches()
 
 
 def spotsigs_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, hot: int = 2000) -> DataFrame:
     """(id, component_id) of texts whose signature sets are at least ``similarity`` alike; those without a match are left out.
 
-    Equal fingerprints are one class. Sets are partitioned by size, so that only sets of the same or the next partition
-    can match, and within it by their rare signatures: two matching sets share one of their rarest ones, of which
-    ``size - ceil(similarity * size) + 1`` are enough. The holders of a rare signature are compared where they meet, smaller
-    sets first, only with sets that no link has joined yet and whose size allows a match; so a large group of copies gives
-    as many links as it has members. More than ``hot`` holders meet in blocks, every pair of which shares a task.
+    Equal sets are one class. Sets are partitioned by length, so that only sets of the same or the next partition can match,
+    and meet within it by the first ``size - ceil(similarity * size) + 1`` of their signatures, rare ones before frequent
+    ones: two matching sets share one of these. Those that meet are compared shortest first, only with sets that nothing has
+    connected yet and whose length allows a match; so a large group of copies gives as many links as it has members. More than
+    ``hot`` holders of a signature meet in blocks: at first each by itself, then what is not connected yet with all others.
+
+    How frequent a signature is, all texts tell: they are counted in ``COUNTED`` hash buckets. Null texts are empty; repeated rows
+    count once; null identifiers are left out; an empty table gives an empty result.
     """
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("binary")
     def signed(texts: pd.Series) -> pd.Series:
         signer = Signer()
-        return texts.map(lambda t: signer.signatures(t).astype(np.int64), na_action=None)
-
-    own = materialise(df.select(F.col(id_col).cast("long").alias("id"), signed(F.col(text_col)).alias("s")).where("id is not null"), "spotsets")
-    same = own.groupBy("s").agg(F.min("id").alias("id"))
-    sets = materialise(same.withColumn("part", F.floor(F.log(F.size("s").cast("double")) / -np.log(similarity))).select("id", "s", "part"), "classes")
-    flat = sets.select("id", "part", F.size("s").alias("n"), F.explode("s").alias("sig"))
-    often = flat.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "sig"))
-    rare = flat.join(often, "sig").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).where("df > 1")
-    held = rare.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), "id")
-    sizes = held.groupBy("part", "sig").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    key = ["part", "sig", "deal"]
-    met = in_blocks(held.join(sizes, ["part", "sig"]), "holders", "id", hot).select(*key, "id").join(sets.select("id", "s"), "id").repartition(*key).sortWithinPartitions(*key)
+        return texts.map(lambda t: signer.signatures(t).tobytes(), na_action=None)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTED, np.int64)
+        for b in batches:
+            total += np.bincount(bucket(np.frombuffer(b"".join(b.column("s").to_pylist()), np.uint32)), minlength=COUNTED)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+
+    own = materialise(df.select(F.col(id_col).cast("long").alias("id"), signed(empty_if_null(text_col)).alias("s")).where("id is not null").withColumn("d", F.unhex(F.md5("s"))), "spotsets")
+    same = materialise(own.groupBy("d").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").select("d", "b"), "same")
+    copies = own.select("id", "d").join(same, "d").where("id != b").select(F.col("id").alias("a"), "b")
+    sets = own.select("id", "s").join(copies.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+    often = np.zeros(COUNTED, np.int64)
+    for r in own.select("s").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most COUNTED rows
+        often[r["bucket"]] = r["n"]
+    rarity = spark.sparkContext.broadcast(np.log2(often + 1).astype(np.int64))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = rarity.value
+        for b in batches:
+            ids, parts, sigs = [], [], []
+            for i, s in zip(b.column("id").to_pylist(), b.column("s").to_pylist(), strict=True):
+                s = np.frombuffer(s, np.uint32)
+                n = len(s)
+                first = s[np.lexsort((s * np.uint32(0x9E3779B1), rare[bucket(s)]))][: n - math.ceil(similarity * n - 1e-9) + 1]
+                part = length_part(n, similarity)
+                for p in (part, part + 1):
+                    ids.append(np.full(len(first), i, np.int64))
+                    parts.append(np.full(len(first), p, np.int32))
+                    sigs.append(first.astype(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (parts, sigs, ids)], names=["part", "sig", "id"])
+
+    group, key = ["part", "sig"], ["part", "sig", "deal"]
+    held = sets.mapInArrow(prefixes, "part int, sig long, id long").repartition(*group).sortWithinPartitions(*group).mapInArrow(repeated, "part int, sig long, id long")
+    held = materialise(held, "held")
+    held = held.join(held.groupBy(*group).agg(F.count(F.lit(1)).alias("n")), group)
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_runs(frames, key):
             out = []
-            for _, group in frame.groupby(key, sort=False):
-                members = sorted(zip(group["s"], group["id"], strict=True), key=lambda x: (len(x[0]), x[1]))
-                classes: list[list[int]] = []
-                for i, (s, _) in enumerate(members):
-                    hits = []
-                    for c in classes:
-                        j = next((j for j in reversed(c) if len(members[j][0]) >= similarity * len(s) - 1e-9 and likeness(members[j][0], s) >= similarity - 1e-12), None)
-                        if j is not None:
-                            hits.append(c)
-                            out.append((members[i][1], members[j][1]))
-                    classes = [c for c in classes if not any(c is h for h in hits)] + [[x for h in hits for x in h] + [i]]
-            yield pd.DataFrame(out, columns=["a", "b"])
-
-    alike = met.mapInPandas(link, "a long, b long").distinct()
-    copies = own.join(same.withColumnRenamed("id", "b"), "s").where("id != b").select(F.col("id").alias("a"), "b")
-    roots = connected_components(alike.unionByName(copies))
-    return roots.select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+            for (part, *_), one in frame.groupby(key, sort=False):
+                out += links_of([(np.frombuffer(s, np.uint32), i, r) for s, i, r in zip(one["s"], one["id"], one["root"], strict=True)], similarity, int(part))
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    labels = None
+    for first in (True, False):
+        if not first and held.where(F.col("n") > hot).isEmpty():
+            break
+        rooted = held.withColumn("root", F.col("id")) if first else held.where(F.col("n") > hot).join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        met = in_blocks(rooted, group, hot, first).select(*key, "id", "root").join(sets, "id")
+        alike = met.repartition(*key).sortWithinPartitions(*key).mapInPandas(link, "a long, b long").distinct()
+        labels = merged(labels, alike.unionByName(copies) if first else alike)
+    return labels.select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+
+
+def bucket(signatures: np.ndarray) -> np.ndarray:
+    return ((signatures * np.uint32(0x85EBCA6B)) >> np.uint32(32 - COUNTED.bit_length() + 1)).astype(np.int64)
+
+
+def length_part(n: int, similarity: float) -> int:
+    """The partition of a set's length: matching sets are at most one apart."""
+    return math.floor(math.log(n) / -math.log(similarity) + 1e-9)
+
+
+def links_of(members: list[tuple[np.ndarray, int, int]], similarity: float, part: int) -> list[tuple[int, int]]:
+    """Links (id, id) that connect all matching sets (set, id, root) of one length partition and the one below it.
+
+    Members with one root are connected already. Two sets of the partition below are left to their own.
+    """
+    members = sorted(members, key=lambda x: (len(x[0]), x[1]))
+    below = [length_part(len(s), similarity) < part for s, *_ in members]
+    classes: list[tuple[list[int], set[int]]] = []  # members, by length, and their roots
+    out = []
+    for i, (s, mine, root) in enumerate(members):
+        hits = []
+        for c in classes:
+            if root in c[1]:
+                hits.append(c)
+                continue
+            for j in reversed(c[0]):  # the longest first; once one is too short, all are
+                other = members[j][0]
+                if len(other) < similarity * len(s) - 1e-9:
+                    break
+                if not (below[i] and below[j]) and likeness(other, s, similarity) >= similarity - 1e-12:
+                    hits.append(c)
+                    out.append((mine, members[j][1]))
+                    break
+        rest = [c for c in classes if not any(c is h for h in hits)]
+        classes = [*rest, (sorted([x for h in hits for x in h[0]] + [i]), {root}.union(*[h[1] for h in hits]))]
+    return out

@@ -1,5 +1,6 @@
 """Deduplication operators against brute force on small tables, with hot groups and edge cases."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from lotlens.llm.components import connected_components
 from lotlens.llm.exact_dedup import tree_exact_dedup
 from lotlens.llm.gray import GrayIndex, gray_rank
 from lotlens.llm.simhash import hamming_edges, jaccard, near_duplicate_edges, near_duplicates, shingle_hashes, simhash, simhash_components, simhash_fingerprints
-from lotlens.llm.spotsigs import Signer, edited, likeness, spot_neighbours, spotsigs_components
+from lotlens.llm.spotsigs import Signer, edited, likeness, repeated, spot_neighbours, spotsigs_components
 
 DOCS = "doc_id long, text string, source string, keep_id string"
 
@@ -169,19 +170,26 @@ def test_near_duplicates_in_blocks(spark):
 def test_spot_neighbours(spark):
     rng = random.Random(2)
     texts = {i: prose(rng, rng.randrange(0, 200)) for i in range(0, 90, 3)} | {1: None, 2: "😀é" * 50, 4: " ", 7: "one"}
+    texts |= {200: copies(rng, texts[60], 1), 201: texts[60], 300: texts[30] + " w1"}
     rows = {r["doc_id"]: r for r in spot_neighbours(docs(spark, list(texts.items()))).collect()}
+    assert len(rows) == len(texts)
     order = sorted(texts, reverse=True)
     signer = Signer()
     for i, j in zip(order, order[1:] + order[:1], strict=True):
         t, n = texts[i] or "", texts[j] or ""
         e, r = edited(t, n), rows[i]
-        assert r["n_chars"] == len(t)
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+        assert r["fingerprint"] == "".join("%08x" % x for x in sorted(signer.signatures(t).tolist()))
         s, es, ns = (set(signer.signatures(x).tolist()) for x in (t, e, n))
         assert r["near_edited"] == pytest.approx(len(s & es) / len(s | es)) and r["near_next"] == pytest.approx(len(s & ns) / len(s | ns))
+    ids = sorted(texts)
+    sets = [signer.signatures(texts[i] or "") for i in ids]
+    want = roots(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if likeness(sets[i], sets[j]) >= 0.8])
+    assert [rows[i]["component_id"] for i in ids] == [ids[w] for w in want] and len(set(want)) < len(ids) - 1
     one = spot_neighbours(docs(spark, [(5, "the a b c of d e f")])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
-    same = spot_neighbours(docs(spark, [(5, "x"), (5, "x"), (None, "x")])).collect()
-    assert len(same) == 3 and len({r["fingerprint"] for r in same}) == 1
+    same = spot_neighbours(docs(spark, [(5, "x"), (5, "x"), (None, "x"), (9, "x")])).collect()
+    assert len(same) == 4 and len({r["fingerprint"] for r in same}) == 1 and {r["component_id"] for r in same} == {5, None}
     assert spot_neighbours(docs(spark, [])).count() == 0
 
 
@@ -199,6 +207,16 @@ def test_signatures_change_little_with_one_chain_more():
         assert likeness(one, signer.signatures(" ".join(words[:55] + ["the"] + words[55:60]))) > 0.8
 
 
+def test_repeated_rows_across_batches():
+    import pyarrow as pa
+
+    rows = [(0, 1, 5), (0, 2, 6), (0, 2, 7), (0, 2, 8), (1, 2, 9), (1, 3, 4), (1, 3, 5)]
+    for size in (1, 2, 3, 7):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size], strict=True)], names=["part", "sig", "id"]) for i in range(0, len(rows), size)]
+        assert [tuple(r.values()) for b in repeated(iter(batches)) for r in b.to_pylist()] == [*rows[1:4], *rows[5:]]
+    assert list(repeated(iter([]))) == []
+
+
 @pytest.mark.parametrize("hot", [4, 2000])
 def test_spotsigs_components(spark, hot):
     rng = random.Random(4)
