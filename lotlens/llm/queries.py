@@ -44,8 +44,9 @@ def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = secret_crf.secret_spans(docs, secret_crf.train(docs))
-    count = lambda kind: F.size(F.filter(F.split("base", ","), lambda x: x.startswith(kind + ":"))).cast("long")
-    return out.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2("base", 256).alias("base_sha256"), "spans")
+    count = lambda kind, spans="base": F.size(F.filter(F.split(spans, ","), lambda x: x.startswith(kind + ":"))).cast("long")
+    counts = [count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex")]
+    return out.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", count("model", "spans").alias("n_model"))
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,33 +237,33 @@ def made_up_lines(n: int, seed: int = 3) -> list[tuple[str, list[tuple[int, int]
     return out
 
 
-def labelled_windows(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Pieces of a document around its pattern matches, and one without any; the values matched are the secrets."""
-    found = base_spans(text)
+def labelled_windows(text: str, before: int = 60, after: int = 40, calm: int = 160) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Pieces of a document around its pattern matches, whose values are the secrets; of one without any, ``calm`` code points from where a hash says."""
+    values = [(s + ASSIGN.match(text, s).start(2) - s if kind == "assign" else s, e) for s, kind, e in base_spans(text)]
     out, at = [], 0
-    values = []
-    for s, kind, e in found:
-        v = s + ASSIGN.match(text, s).start(2) - s if kind == "assign" else s
-        values.append((v, e))
     for v, e in values:
-        a, b = max(at, v - 60), min(len(text), e + 40)
+        a, b = max(at, v - before), min(len(text), e + after)
         if a < v:
             out.append((text[a:b], [(max(x, a) - a, min(y, b) - a) for x, y in values if a <= x and y <= b]))
         at = e
-    if not found:
-        out.append((text[:160], []))
+    if not values:
+        a = int(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % max(1, len(text) - calm + 1)
+        out.append((text[a : a + calm], []))
     return out
 
 
-def fit(examples: list[tuple[str, list[tuple[int, int]]]], rounds: int = 80, step: float = 0.3, l2: float = 1e-4) -> Field:
-    """Maximum likelihood by full-batch adaptive gradient steps; forward-backward runs over all sequences at once."""
+def fit(examples: list[tuple], rounds: int = 80, step: float = 0.3, l2: float = 1e-4) -> Field:
+    """Maximum likelihood by full-batch adaptive gradient steps; forward-backward runs over all sequences at once.
+
+    examples: (text, secret spans) or (text, secret spans, features of the file it is from, by default its own).
+    """
     names: dict[str, int] = {}
     sequences = []
-    for text, spans in examples:
+    for text, spans, *of in examples:
         matches = list(TOKEN.finditer(text))
         if not matches:
             continue
-        tokens, tags, whole = [m[0] for m in matches], [], file_features(text)
+        tokens, tags, whole = [m[0] for m in matches], [], of[0] if of else file_features(text)
         for m in matches:
             inside = next(((s, e) for s, e in spans if s <= m.start() < e), None)
             tags.append(O if inside is None else B if not tags or tags[-1] == O or m.start() == inside[0] else I)
@@ -328,10 +328,13 @@ def fit(examples: list[tuple[str, list[tuple[int, int]]]], rounds: int = 80, ste
     return Field({k: w[i] for k, i in names.items()}, moves)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000, windows: int = 1500, made_up: int = 1500) -> Field:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000, windows: int = 1500, made_up: int = 1500, a_document: int = 20, longest: int = 300) -> Field:
     """Fit on windows of the ``sample_rows`` documents with the smallest identifier hashes, and on made-up lines.
 
-    Each document gives at most 20 windows of under 300 characters, cut on the executors; ``windows`` bounds their number.
+    Each document gives at most ``a_document`` windows of under ``longest`` code points, cut on the executors from its whole
+    text, with the features of the whole file; ``windows`` bounds their number, by the smallest hashes. Made-up lines take the
+    file features of the windows in turn, as if they stood in these files. Null identifiers are left out, null texts are
+    empty, repeated rows count as often; an empty table leaves the made-up lines.
     """
     ship(docs.sparkSession)
     sample = docs.select(F.col(id_col).alias("id")).dropna().distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
@@ -339,12 +342,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, w, ",".join(f"{s}:{e}" for s, e in spans)) for i, t in zip(f["id"], f["t"], strict=True) for w, spans in labelled_windows(t)[:20] if len(w) < 300]
-            yield pd.DataFrame(rows, columns=["id", "w", "spans"])
+            rows = [(i, w, ",".join(f"{s}:{e}" for s, e in spans), " ".join(file_features(t))) for i, t in zip(f["id"], f["t"], strict=True) for w, spans in labelled_windows(t)[:a_document] if len(w) < longest]
+            yield pd.DataFrame(rows, columns=["id", "w", "spans", "file"])
 
-    found = got.mapInPandas(cut, "id long, w string, spans string").orderBy(F.xxhash64("id", "w"), "w").limit(windows).toPandas()
-    examples = [(w, [tuple(map(int, x.split(":"))) for x in s.split(",") if x]) for w, s in zip(found["w"], found["spans"], strict=True)]
-    return fit(examples + made_up_lines(made_up))
+    found = got.mapInPandas(cut, "id long, w string, spans string, file string").orderBy(F.xxhash64("id", "w"), "w").limit(windows).collect()
+    examples = [(r["w"], [tuple(map(int, x.split(":"))) for x in r["spans"].split(",") if x], tuple(r["file"].split())) for r in found]
+    files = [f for *_, f in examples] or [()]
+    return fit(examples + [(*line, files[i % len(files)]) if files[0] else line for i, line in enumerate(made_up_lines(made_up))])
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:
@@ -364,7 +368,8 @@ def all_spans(texts: list[str], model: Field) -> list[tuple[list[tuple[int, str,
 def secret_spans(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans): ``kind:start:end`` of pattern spans and of all spans, joined by commas; one row per row of ``docs``.
 
-    Whole texts are scanned; null texts count as empty and have no spans.
+    Whole texts are scanned, however long; null texts count as empty and have no spans; ties at one start go by kind. Repeated
+    rows and null identifiers stay; columns other than the two are not carried, so no name clashes; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.moves))

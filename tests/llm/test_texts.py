@@ -68,6 +68,49 @@ def test_base_spans():
     assert [k for _, k, _ in secret_crf.base_spans("x" * 200_000 + " passwd:12345678")] == ["assign"]
 
 
+def test_secret_query_against_plain_patterns(spark):
+    """op4's base spans, by the contract's patterns as they stand there, over all documents."""
+    import re
+    more = DATA.replace("0.001", "0.01")  # the smaller one has no secrets
+
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{more}/documents.parquet").collect()}
+    rows = queries.op4_secret_crf(spark, more).collect()
+    assert len(rows) == len(text)
+    some = 0
+    for r in rows:
+        t, spans = text[r["doc_id"]], []
+        for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
+            spans += [(m.start(), 0, m.end())] * (len(m[2]) >= 8)
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        base = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, k, _ in spans) for x in range(3))
+        assert set(filter(None, base.split(","))) <= set(r["spans"].split(",")) and r["n_model"] == r["spans"].count("model:")
+        some += len(spans)
+    assert some
+
+
+def test_secrets_of_unseen_kinds_in_real_documents(spark):
+    """Lines of forms that no made-up line has, put into real documents of other identifiers than those trained on."""
+    docs_ = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = secret_crf.train(docs_.where("doc_id % 2 = 0"))
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    hit = planted = wrong = 0
+    for t in [r["text"] for r in docs_.where("doc_id % 2 = 1").collect() if r["text"]]:
+        wrong += len([k for k in secret_crf.all_spans([t], model)[0][1] if k[1] == "model"])
+        value = "".join(rng.choice(letters) for _ in range(rng.randrange(16, 40)))
+        line = rng.choice(["export DB_PASSPHRASE={}", "credential => '{}'", "{{pwd: '{}'}}", "login with bearer {}", "client_secret\t{}", "X-Auth: {}", "my private_key ({}) is old"]).format(value)
+        at = rng.randrange(len(t) + 1)
+        whole = f"{t[:at]}\n{line}\n{t[at:]}"
+        start = at + 1 + line.index(value)
+        hit += any(s < start + len(value) and e > start for s, k, e in secret_crf.all_spans([whole], model)[0][1] if k == "model")
+        planted += 1
+    print("unseen forms found:", hit, "of", planted, "; spans in untouched documents:", wrong)
+    assert hit >= 0.8 * planted and wrong <= 0.05 * planted
+
+
 def test_field_on_held_out_lines():
     model = secret_crf.fit(secret_crf.made_up_lines(1200, seed=3))
     hit = wrong = missed = 0
@@ -96,9 +139,9 @@ def test_viterbi_against_all_paths():
 
 
 def test_secret_spans(spark):
-    rows = docs(spark, [(1, "password = hunter2hunter2"), (2, None), (3, ""), (1, "password = hunter2hunter2"), (None, "AKIA" + "Z" * 30)])
+    rows = docs(spark, [(1, "password = hunter2hunter2"), (2, None), (3, ""), (1, "password = hunter2hunter2"), (None, "AKIA" + "Z" * 30), (5, "word " * 200_000 + "passwd: 123456789")]).withColumn("base", F.lit("clash"))
     got = secret_crf.secret_spans(rows, secret_crf.Field()).collect()
-    assert sorted(((r["doc_id"], r["base"]) for r in got), key=str) == sorted([(1, "assign:0:25"), (1, "assign:0:25"), (2, ""), (3, ""), (None, "access:0:34")], key=str)
+    assert sorted(((r["doc_id"], r["base"]) for r in got), key=str) == sorted([(1, "assign:0:25"), (1, "assign:0:25"), (2, ""), (3, ""), (None, "access:0:34"), (5, "assign:1000000:1000017")], key=str)
     assert secret_crf.redact("password = hunter2hunter2 ok", "assign:0:25") == "[assign] ok"
     assert secret_crf.secret_spans(rows.limit(0), secret_crf.Field()).count() == 0
     assert secret_crf.train(rows.limit(0), made_up=50).weights
