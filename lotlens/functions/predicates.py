@@ -100,6 +100,26 @@ SIX_DIGITS = r"^\d{6}$"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 
+PLAN_ID = r"^(free|lite|standard|pro)$"
+
+
+def positive(col: str) -> Column:
+    """Above 0; null is not."""
+    return F.coalesce(F.col(col) > 0, F.lit(False))
+
+
+def account_gate(active: str, credential: str) -> Column:
+    """``ok``, ``invalid`` without a credential, else ``deactivated`` unless the account is active; a null flag is not active."""
+    return F.when(F.coalesce(F.col(credential), F.lit("")) == "", "invalid").when(~is_true(active), "deactivated").otherwise("ok")
+
+
+def dismissed_recently(at: Column, now_ms: Column | int, days: int = 14) -> Column:
+    """Whether a stored time in milliseconds lies under so many days back. Nothing stored: no; text that is no number: yes."""
+    ms = F.trim(at).try_cast("double")
+    now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
+    return F.when(F.coalesce(at, F.lit("")) == "", False).when(ms.isNull(), True).otherwise(now - ms < days * 86_400_000)
+
+
 def page_arguments(page: int = 1, per_page: int = 20) -> tuple[int, int]:
     """(offset, limit) of a page; page from 1, at most 100 rows."""
     if page < 1 or not 1 <= per_page <= 100:

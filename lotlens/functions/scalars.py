@@ -33,6 +33,22 @@ def thousands(n: Column, separator: str = ",") -> Column:
     return F.replace(F.format_number(n, 0), F.lit(","), F.lit(separator))
 
 
+def uk_number(n: Column, unit: str = "") -> Column:
+    """Thousands set apart by no-break spaces, and a unit after a plain one."""
+    text = thousands(n, "\u00a0")
+    return F.concat(text, F.lit(f" {unit}")) if unit else text
+
+
+def without_prefix(text: Column, prefix: str) -> Column:
+    """Without the prefix where the text starts with it; only once."""
+    return F.when(F.startswith(text, F.lit(prefix)), F.substring(text, F.lit(len(prefix) + 1), F.length(text))).otherwise(text)
+
+
+def in_ukrainian_order(text: Column) -> Column:
+    """The text with Ukrainian collation: sorts and comparisons follow its alphabet, upper and lower case together."""
+    return F.collate(text, "uk")
+
+
 def initials(name: Column) -> Column:
     """No words: a question mark; one: its first two letters; else first letters of the first and last; upper case."""
     words = F.filter(F.split(trim_all(name), r"\s+"), lambda w: w != "")
@@ -105,9 +121,20 @@ def safe_filename(text: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(F.regexp_replace(text, r"[^A-Za-z0-9_Ѐ-ӿ\-]+", "_"), 1, 80), F.lit("")), F.lit("export"))
 
 
+def _kept(encoded: Column, chars: str) -> Column:
+    for c in chars:
+        encoded = F.replace(encoded, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return encoded
+
+
 def uri_component(text: Column) -> Column:
-    """Percent-encoded, spaces as %20."""
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """Percent-encoded as browsers encode a component: spaces as %20; letters, digits and -_.!~*'() stay."""
+    return _kept(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), "!~'()")
+
+
+def uri_quoted(text: Column) -> Column:
+    """Percent-encoded as servers quote a value: letters, digits and -_.~ stay."""
+    return F.replace(_kept(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), "~"), F.lit("*"), F.lit("%2A"))
 
 
 def media_type(path: Column, types: dict[str, str], other: str = "image/jpeg") -> Column:
@@ -117,6 +144,16 @@ def media_type(path: Column, types: dict[str, str], other: str = "image/jpeg") -
     return out
 
 
+def card_price(price: Column, currency: Column | str = "UAH") -> Column:
+    """A price as a message card shows it: thousands set apart by spaces, then the currency."""
+    return F.concat(thousands(price, " "), F.lit(" "), F.lit(currency) if isinstance(currency, str) else currency)
+
+
+def listing_line(year: Column, *more: Column) -> Column:
+    """The parts of a listing's short line that are there, year first."""
+    return F.concat_ws(" · ", year.cast("string"), *more)
+
+
 def six_cells(code: Column) -> Column:
     """The digits of a typed code in six cells, filled up with spaces."""
     return F.rpad(F.substring(F.regexp_replace(code, "[^0-9]", ""), 1, 6), 6, " ")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlens.functions.scalars import csv_cell, label, xml_text
@@ -64,8 +66,46 @@ def write_spreadsheet(df: DataFrame, path: str, order: list[Column]) -> bool:
     return True
 
 
+def _commits(spark: SparkSession, path: str):
+    """(Hadoop's paths, the file system, the folder of commits, the numbers there so far)."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{path}/_commits")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return hadoop, fs, folder, sorted(int(n) for n in names if n.isdigit())
+
+
+def commit_tables(tables: dict[str, DataFrame], path: str) -> int:
+    """Write a new state of one or more tables and make it the current one, all at once; returns the commit's number.
+
+    Each version is a folder of its own, written by Spark before anything changes, so a table may be computed from the state it
+    replaces. Then one rename puts the commit in its place in the row; a failure before that leaves the old state as it
+    was, and of two writers at once the second fails.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    hadoop, fs, folder, before = _commits(spark, path)
+    version, number = f"v-{uuid.uuid4().hex}", (before[-1] if before else 0) + 1
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{version}/{name}")
+    fs.mkdirs(folder)
+    fresh, place = hadoop.Path(folder, f"_{version}"), hadoop.Path(folder, str(number))
+    out = fs.create(fresh, True)
+    out.write(version.encode())
+    out.close()
+    if fs.exists(place) or not fs.rename(fresh, place):
+        raise RuntimeError(f"{path} has a commit {number} already: another writer was first")
+    return number
+
+
+def current_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the last version that ``commit_tables`` committed."""
+    last = _commits(spark, path)[-1][-1]
+    version = spark.read.format("binaryFile").load(f"{path}/_commits/{last}").select(F.col("content").cast("string")).first()[0]
+    return spark.read.parquet(f"{path}/{version}/{name}")
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Large results: Spark's own distributed writers."""
+    """Large results: Spark's own distributed writers, to a path that ``df`` is not read from."""
     writer = df.write.mode("overwrite")
     if kind == "csv":
         writer.option("header", True).option("escape", '"').csv(path)

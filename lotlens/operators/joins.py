@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_by_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in a stated order."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+def first_by_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The row of each key with the smallest values of ``order``, nulls first, by partial aggregation: no key's rows are gathered."""
+    least = df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__r"))
+    return least.select("__r.*")
 
 
 def with_counts(rows: DataFrame, facts: DataFrame, key: str, fact_key: str, name: str) -> DataFrame:
@@ -19,10 +20,11 @@ def with_counts(rows: DataFrame, facts: DataFrame, key: str, fact_key: str, name
 
 def with_dimension(df: DataFrame, code: str, dim: DataFrame, dim_key: str, columns: list[str], default: str) -> DataFrame:
     """``df`` with a small dimension's columns; unknown and null codes get the default row's."""
-    known = dim.select(F.col(dim_key).alias("__k"), *columns)
-    # The dimension is a constant relation of a few rows; Spark broadcasts it by its size.
-    coded = df.join(known.select(F.col("__k").alias("__seen")), df[code] == F.col("__seen"), "left").withColumn("__k", F.coalesce("__seen", F.lit(default))).drop("__seen")
-    return coded.join(known, "__k").drop("__k")
+    # The dimension is a constant relation of a few rows; Spark broadcasts it by its size. The default is one row of it.
+    known = dim.select(F.col(dim_key).alias("__k"), F.struct(*columns).alias("__d"))
+    other = dim.where(F.col(dim_key) == default).limit(1).select(F.struct(*columns).alias("__o"))
+    out = df.join(known, df[code] == F.col("__k"), "left").crossJoin(other).withColumn("__d", F.coalesce("__d", "__o"))
+    return out.select(*df.columns, *[F.col(f"__d.{c}").alias(c) for c in columns])
 
 
 def domain_counts(domain: DataFrame, key: str, facts: DataFrame, fact_key: str, name: str = "n") -> DataFrame:
@@ -52,12 +54,19 @@ def fallback_lookup(df: DataFrame, other: DataFrame, keys: list[str], value: str
 
 
 def favourites(favs: DataFrame, listings: DataFrame) -> DataFrame:
-    """A user's favourites with the listing nested; those whose listing is gone are dropped."""
+    """Favourites (id, user_id, listing_id, created_at) with the listing nested; those whose listing is gone are dropped."""
     nested = listings.select(F.col("id").alias("listing_id"), F.struct(*listings.columns).alias("listing"))
-    return favs.join(nested, "listing_id").select(favs["id"], "listing_id", "listing", favs["created_at"])
+    return favs.join(nested, "listing_id").select(favs["id"], "user_id", "listing_id", "listing", favs["created_at"])
+
+
+def favourites_of(favs: DataFrame, listings: DataFrame, user_id: Column | str | int) -> DataFrame:
+    """One user's favourites, newest first; ties by the favourite's id. Only that user's rows are joined."""
+    return favourites(favs.where(F.col("user_id") == user_id), listings).orderBy(F.desc("created_at"), "id")
 
 
 def searches_of(users: DataFrame, searches: DataFrame) -> DataFrame:
-    """Users with their searches as a sorted array of structs."""
-    held = searches.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "name", "is_active"))).alias("searches"))
+    """Users with their searches (id, name, is_active, new_count, total_count) as an array of structs, newest first, ties by the larger id."""
+    shown = ["id", "name", "is_active", "new_count", "total_count"]
+    newest = F.sort_array(F.collect_list(F.struct("created_at", *shown)), False)
+    held = searches.groupBy("user_id").agg(F.transform(newest, lambda x: F.struct(*[x[c].alias(c) for c in shown])).alias("searches"))
     return users.join(held, users["id"] == held["user_id"], "left").drop("user_id").withColumn("searches", F.coalesce("searches", F.array().cast(held.schema["searches"].dataType)))

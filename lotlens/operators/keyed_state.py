@@ -61,6 +61,29 @@ def accepted_sends(log: DataFrame, key: str, ts: str, seconds: int) -> DataFrame
     return rows.repartition("k").sortWithinPartitions("k", "us").mapInPandas(walk, "k string, us long, accepted boolean")
 
 
+def code_tries(log: DataFrame, key: str, order: list[str], at: str, kind: str, ttl: int, limit: int = 5) -> DataFrame:
+    """A log of one-time codes with what each row finds: expires_at, live (before the row), failed_before and, after it, deleted.
+
+    kind: ``register`` starts a code with ``ttl`` seconds; ``refresh`` sets a new one with no failed tries but the time that is
+    left; ``wrong`` counts a failed try and keeps the time too; ``right`` uses the code up, as the ``limit``-th wrong try does.
+    What comes after the end or a deletion finds nothing until the key registers again. at: seconds. ``order`` must be unique in a key.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = log.withColumn("__session", F.count_if(F.col(kind) == "register").over(w))
+    s = Window.partitionBy(key, "__session").orderBy(*order)
+    before = s.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "expires_at": F.first(F.when(F.col(kind) == "register", F.col(at) + ttl)).over(s),
+        "__generation": F.count_if(F.col(kind) == "refresh").over(s),
+    })
+    g = Window.partitionBy(key, "__session", "__generation").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("failed_before", F.coalesce(F.count_if(F.col(kind) == "wrong").over(g), F.lit(0).cast("long")))
+    ends = (F.col(kind) == "right") | ((F.col(kind) == "wrong") & (F.col("failed_before") >= limit - 1))
+    open_ = (F.col("__session") > 0) & (F.col(at) < F.col("expires_at"))
+    rows = rows.withColumn("live", open_ & (F.coalesce(F.count_if(ends & open_).over(before), F.lit(0)) == 0) & (F.col(kind) != "register"))
+    return rows.withColumn("deleted", F.col("live") & ends).drop("__session", "__generation")
+
+
 def attempts(log: DataFrame, key: str, generation: str, order: list[Column], wrong: Column, limit: int) -> DataFrame:
     """Tries with the wrong ones so far in their generation (a refreshed code starts a new one) and whether the code still lives before and after."""
     w = Window.partitionBy(key, generation).orderBy(*order)

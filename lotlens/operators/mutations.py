@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotlens.operators.joins import first_by_key
+
 
 def insert_rows(state: DataFrame, rows: DataFrame) -> DataFrame:
     return state.unionByName(rows, allowMissingColumns=True)
@@ -29,10 +31,10 @@ def delete_owned(state: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
     return state.join(keys.select(*by), by, "left_anti")
 
 
-def insert_missing(state: DataFrame, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Insert rows whose key is new; of several with one key, the first. Applying it again changes nothing."""
-    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
-    return insert_rows(state, first.join(state.select(*keys), keys, "left_anti"))
+def insert_missing(state: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Insert rows whose key is new; of several with one key, that with the smallest values of ``order``. Applying it again changes nothing."""
+    new = rows.join(state.select(*keys), keys, "left_anti").select(*rows.columns)
+    return insert_rows(state, first_by_key(new, keys, order))
 
 
 def increment(state: DataFrame, events: DataFrame, key: str, event_key: str, counters: dict[str, Column]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.functions import predicates as P
-from lotlens.functions.scalars import pages
+from lotlens.functions.scalars import first_filled, pages
 from lotlens.sources.constants import REGION_KEYWORDS, WHOLE_COUNTRY
 
 
@@ -116,6 +116,28 @@ def envelope(df: DataFrame, number: int = 1, per_page: int = 20) -> DataFrame:
     return total.select("total", F.lit(number).alias("page"), F.lit(per_page).alias("per_page"), pages(F.col("total"), per_page).alias("pages"))
 
 
+def page_envelope(df: DataFrame, order: list[Column], number: int = 1, per_page: int = 20, unread: Column | None = None) -> DataFrame:
+    """One row: items (the page's rows, in order), total, unread (rows that pass the test), page, per_page, pages.
+
+    Only the page, bounded by ``per_page``, is gathered; the counts are one aggregation over all rows.
+    """
+    rows = page(df, order, number, per_page).withColumn("__at", F.monotonically_increasing_id())
+    listed = F.sort_array(F.collect_list(F.struct("__at", F.struct(*df.columns).alias("row"))))
+    items = rows.agg(F.transform(listed, lambda x: x["row"]).alias("items"))
+    counts = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(unread if unread is not None else F.lit(False)).alias("unread"))
+    return items.crossJoin(counts).select("items", "total", "unread", F.lit(number).alias("page"), F.lit(per_page).alias("per_page"), pages(F.col("total"), per_page).alias("pages"))
+
+
+def any_one(df: DataFrame, *unique: str) -> DataFrame:
+    """One row where any would do: always the first by a unique key."""
+    return df.orderBy(*unique).limit(1)
+
+
+def described(parts: list[Column], empty: str, separator: str = " · ") -> Column:
+    """The parts that are set (a condition's text, or null) in one line; ``empty`` if none is."""
+    return first_filled(F.concat_ws(separator, *parts), F.lit(empty))
+
+
 def owned(df: DataFrame, user_id: str) -> DataFrame:
     """Rows of one user; another's are as good as missing."""
     return df.where(F.col("user_id") == user_id)

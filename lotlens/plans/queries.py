@@ -18,6 +18,7 @@ from lotlens.operators import metrics as M
 from lotlens.operators import mutations as U
 from lotlens.operators import search as Q
 from lotlens.operators.export import csv_lines, xml_rows
+from lotlens.sources import constants as C
 from lotlens.sources.constants import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,7 +137,7 @@ def composite_lookup(spark, d):
 
 @query("SELECT o_custkey AS user_id, min(o_orderkey) AS id FROM orders GROUP BY 1")
 def first_wins_lookup(spark, d):
-    return J.first_by_key(offers(spark, d), ["user_id"], [F.asc("id")]).select("user_id", "id")
+    return J.first_by_key(offers(spark, d), ["user_id"], ["id"]).select("user_id", "id")
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_brand = 'Brand#13' AND p_size >= 0 AND p_size <= 30 AND p_retailprice >= 901")
@@ -194,10 +195,10 @@ def autocomplete(spark, d):
 def _sorted(sql_order: str, sort: str, columns: list[str]):
     def run(spark, d):
         rows = listings(spark, d).withColumn("pos", F.col("id")).withColumn("mileage", F.col("id") % 37)
-        return rows.orderBy(*Q.catalog_order(sort)).limit(50).select(*columns)
+        return rows.orderBy(*Q.catalog_order(sort)).select(*columns)
 
     run.__name__ = f"sort_{sort}"
-    query(f"SELECT p_partkey AS id FROM part ORDER BY {sql_order}, p_partkey LIMIT 50")(run)
+    query(f"SELECT p_partkey AS id FROM part ORDER BY {sql_order}, p_partkey")(run)
 
     def whole(spark, d):
         rows = listings(spark, d).withColumn("pos", F.col("id")).withColumn("mileage", F.col("id") % 37)
@@ -218,20 +219,75 @@ def notifications_page(spark, d):
     return Q.page(Q.owned(events(spark, d), 3), [F.desc("ts"), F.asc("event_id")], 2).select("event_id", "ts", "event_type")
 
 
+@query("""WITH e AS (SELECT * FROM events WHERE user_id = 3), page AS (SELECT event_id, ts FROM e ORDER BY ts DESC, event_id LIMIT 20 OFFSET 20)
+    SELECT (SELECT string_agg(event_id::VARCHAR, ',' ORDER BY ts DESC, event_id) FROM page) AS items, count(*) AS total, count(*) FILTER (event_type <> 'view') AS unread, 2::INT AS page, 20::INT AS per_page, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM e""")
+def notifications_envelope(spark, d):
+    e = Q.owned(events(spark, d), 3).select("event_id", "ts", "event_type")
+    out = Q.page_envelope(e, [F.desc("ts"), F.asc("event_id")], 2, unread=F.col("event_type") != "view")
+    return out.withColumn("items", F.array_join(F.transform("items", lambda x: x["event_id"].cast("string")), ","))
+
+
+@query("SELECT min(p_partkey) AS id FROM part WHERE p_brand = 'Brand#13'")
+def any_row_made_certain(spark, d):
+    return Q.any_one(listings(spark, d).where("brand = 'Brand#13'"), "id").select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def client_source_filter(spark, d):
+    rows = offers(spark, d).withColumn("src", F.col("source"))
+    return rows.where(Q.CatalogFilter(sources=("F", "P")).predicate()).select("id")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE nullif(c_acctbal, 5000) > 0")
+def positive_filter(spark, d):
+    return users(spark, d).withColumn("balance", F.nullif("balance", F.lit(5000.0))).where(P.positive("balance")).select("id")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'invalid' WHEN c_nationkey % 3 = 0 OR nullif(c_nationkey, 5) IS NULL THEN 'deactivated' ELSE 'ok' END AS gate FROM customer""")
+def account_gate(spark, d):
+    n = F.nullif("nation", F.lit(5))
+    u = users(spark, d).select("id", (n % 3 != 0).alias("active"), F.when(F.col("id") % 7 == 0, "").otherwise("hash").alias("secret"))
+    return u.select("id", P.account_gate("active", "secret").alias("gate"))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN c_custkey * 86400000 < 14 * 86400000 ELSE false END AS dismissed FROM customer""")
+def dismissal_window(spark, d):
+    now, kind = 1705752000000, F.col("id") % 4
+    at = F.when(kind == 0, "").when(kind == 1, "soon").when(kind == 2, (F.lit(now) - F.col("id") * 86_400_000).cast("string"))
+    return users(spark, d).select("id", P.dismissed_recently(at, now).alias("dismissed"))
+
+
+@query(r"""SELECT c_custkey AS id, regexp_matches(lower(c_mktsegment), '^(free|lite|standard|pro)$') AS plan, regexp_matches(lpad(c_custkey::VARCHAR, 6, '0'), '^\d{6}$') AS code FROM customer""")
+def pattern_validate(spark, d):
+    return users(spark, d).select("id", F.lower("plan").rlike(P.PLAN_ID).alias("plan"), S.zero_padded(F.col("id")).rlike(P.SIX_DIGITS).alias("code"))
+
+
 # --- joins ---
 
 
-@query("""SELECT DISTINCT o_custkey AS user_id, l_partkey AS listing_id, p_name AS title, p_retailprice AS price FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey <= 20""")
+@query("""SELECT DISTINCT o_custkey AS user_id, l_partkey AS listing_id, p_name AS title, p_retailprice AS price FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey""")
 def favorites_join(spark, d):
-    favs = offers(spark, d).where("user_id <= 20").join(table(spark, d, "lineitem"), F.col("id") == F.col("l_orderkey")).select("user_id", F.col("l_partkey").alias("listing_id")).distinct().withColumns({"id": F.col("listing_id"), "created_at": F.lit(None)})
-    return J.favourites(favs.select("id", "user_id", "listing_id", "created_at"), listings(spark, d)).join(favs.select("id", "user_id"), "id").select("user_id", "listing_id", "listing.title", "listing.price").distinct()
+    favs = offers(spark, d).join(table(spark, d, "lineitem"), F.col("id") == F.col("l_orderkey")).select("user_id", F.col("l_partkey").alias("listing_id")).distinct().withColumns({"id": F.col("listing_id"), "created_at": F.lit(None)})
+    return J.favourites(favs, listings(spark, d)).select("user_id", "listing_id", "listing.title", "listing.price")
+
 
+def _favs(spark, d) -> DataFrame:
+    """lineitem as favourites: an order's user marked each of its parts when it was placed."""
+    rows = offers(spark, d).join(table(spark, d, "lineitem"), F.col("id") == F.col("l_orderkey"))
+    return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "user_id", F.col("l_partkey").alias("listing_id"), F.col("found_at").alias("created_at"))
 
-@query("SELECT DISTINCT o_custkey AS user_id, l_partkey AS listing_id, p_name AS title, p_retailprice AS price FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey")
+
+@query("SELECT o_custkey AS user_id, l_orderkey * 10 + l_linenumber AS id, l_partkey AS listing_id, p_name AS title, p_retailprice AS price, o_orderdate AS created_at FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey")
 def favorites_join_all(spark, d):
     """Every user's favourites."""
-    favs = offers(spark, d).join(table(spark, d, "lineitem"), F.col("id") == F.col("l_orderkey")).select("user_id", F.col("l_partkey").alias("listing_id")).distinct().withColumns({"id": F.struct("user_id", "listing_id"), "created_at": F.lit(None)})
-    return J.favourites(favs.select("id", "user_id", "listing_id", "created_at"), listings(spark, d)).select("id.user_id", "id.listing_id", "listing.title", "listing.price")
+    return J.favourites(_favs(spark, d), listings(spark, d)).select("user_id", "id", "listing_id", "listing.title", "listing.price", "created_at")
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS user_id, l_partkey AS listing_id, p_name AS title, p_retailprice AS price, o_orderdate AS created_at
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey = 7 ORDER BY created_at DESC, id""")
+def favorites_newest_first(spark, d):
+    """One user's favourites."""
+    return J.favourites_of(_favs(spark, d), listings(spark, d), 7).select("id", "user_id", "listing_id", "listing.title", "listing.price", "created_at")
 
 
 @query("""WITH page AS (SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY id DESC LIMIT 20)
@@ -378,8 +434,8 @@ def delete_keys(spark, d):
 @query("SELECT DISTINCT o_custkey AS user_id, o_orderpriority AS listing FROM orders")
 def first_wins_insert(spark, d):
     rows = offers(spark, d).select("user_id", F.col("fuel").alias("listing"), "id")
-    once = U.insert_missing(rows.limit(0), rows, ["user_id", "listing"], [F.asc("id")])
-    return U.insert_missing(once, rows, ["user_id", "listing"], [F.asc("id")]).select("user_id", "listing")
+    once = U.insert_missing(rows.limit(0), rows, ["user_id", "listing"], ["id"])
+    return U.insert_missing(once, rows, ["user_id", "listing"], ["id"]).select("user_id", "listing")
 
 
 @query("SELECT o_custkey AS user_id, o_orderpriority AS listing, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1")
@@ -427,12 +483,12 @@ def latest_per_key(spark, d):
 
 @query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts < TIMESTAMP '2024-01-29')
     SELECT 'k' || u AS key, CASE WHEN event_type IS NULL OR event_type = 'error' OR event_type = 'view' OR ts + INTERVAL 7 DAYS <= TIMESTAMP '2024-01-29' THEN -1 ELSE floor(epoch(ts) + 604800 - epoch(TIMESTAMP '2024-01-29')) END::BIGINT AS ttl
-    FROM range(0, 40) AS r(u) LEFT JOIN l ON l.user_id = u AND n = 1""")
+    FROM (SELECT DISTINCT user_id AS u FROM events WHERE user_id IS NOT NULL) LEFT JOIN l ON l.user_id = u AND n = 1""")
 def kv_ttl(spark, d):
     now = EPOCH + 8.5 * 86400
-    log = _log(spark, d).where(F.col("ts") < F.lit("2024-01-29").cast("timestamp_ntz"))
-    keys = spark.range(40).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
-    return K.kv_ttl(K.kv_state(log, now), keys, now)
+    log = _log(spark, d)
+    keys = log.select("key").where("key is not null").distinct()
+    return K.kv_ttl(K.kv_state(log.where(F.col("ts") < F.lit("2024-01-29").cast("timestamp_ntz")), now), keys, now)
 
 
 @query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts < TIMESTAMP '2024-01-29')
@@ -455,6 +511,19 @@ def one_time_tokens(spark, d):
     return K.open_tokens(log, EPOCH)
 
 
+@query("""WITH l AS (SELECT *, epoch(ts) AS sec, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events WHERE event_type <> 'click'),
+    r AS (SELECT *, first_value(CASE WHEN event_type = 'signup' THEN sec + 864000 END) OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS expires, count(*) FILTER (event_type = 'view') OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS g FROM l),
+    f AS (SELECT *, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id, s, g ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS failed FROM r),
+    e AS (SELECT *, s > 0 AND coalesce(sec < expires, false) AS open, event_type = 'purchase' OR (event_type = 'error' AND failed >= 2) AS ends FROM f),
+    o AS (SELECT *, open AND event_type <> 'signup' AND count(*) FILTER (ends AND open) OVER (PARTITION BY user_id, s ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 AS live FROM e)
+    SELECT event_id, floor(expires)::BIGINT AS expires_at, failed AS failed_before, live, live AND ends AS deleted FROM o""")
+def code_tries(spark, d):
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in {"signup": "register", "view": "refresh", "error": "wrong", "purchase": "right"}.items() for x in kv]), F.col("event_type"))
+    log = events(spark, d).where("event_type <> 'click'").withColumns({"kind": kind, "at": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6})
+    out = K.code_tries(log, "user_id", ["ts", "event_id"], "at", "kind", 864000, 3)
+    return out.select("event_id", F.floor("expires_at").cast("bigint").alias("expires_at"), "failed_before", "live", "deleted")
+
+
 @query("SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 60 MINUTES, false) AS too_soon FROM events")
 def cooldown(spark, d):
     return K.within_cooldown(events(spark, d), "user_id", "ts", 3600, "event_id").select("event_id", "too_soon")
@@ -486,10 +555,11 @@ def dto_projection(spark, d):
     return listings(spark, d).select("id", "title", "year")
 
 
-@query("""SELECT c_custkey AS id, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey), '') AS searches FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+@query("""SELECT c_custkey AS id, coalesce(string_agg(concat_ws(':', o_orderkey, o_orderpriority, o_orderstatus = 'O', o_custkey % 7, o_orderkey % 11), ',' ORDER BY o_orderdate DESC, o_orderkey DESC), '') AS searches FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def array_of_struct(spark, d):
-    s = offers(spark, d).select("user_id", F.col("found_at").alias("created_at"), "id", F.col("fuel").alias("name"), (F.col("source") == "O").alias("is_active"))
-    return J.searches_of(users(spark, d).select("id"), s).select("id", F.array_join(F.transform("searches", lambda x: x["id"].cast("string")), ",").alias("searches"))
+    s = offers(spark, d).select("user_id", F.col("found_at").alias("created_at"), "id", F.col("fuel").alias("name"), (F.col("source") == "O").alias("is_active"), (F.col("user_id") % 7).alias("new_count"), (F.col("id") % 11).alias("total_count"))
+    text = lambda x: F.concat_ws(":", *[x[c].cast("string") for c in ("id", "name", "is_active", "new_count", "total_count")])
+    return J.searches_of(users(spark, d).select("id"), s).select("id", F.array_join(F.transform("searches", text), ",").alias("searches"))
 
 
 @query("SELECT p_partkey AS id, replace(replace('title=' || p_name || ';price=' || floor(p_retailprice)::INT, ';', ' | '), '=', ': ') AS listing FROM part")
@@ -506,13 +576,13 @@ def mask(spark, d):
 @query("SELECT o_orderkey AS id, format('{:,}', floor(o_totalprice)::BIGINT) AS comma, replace(format('{:,}', floor(o_totalprice)::BIGINT), ',', ' ') || ' UAH' AS card, year(o_orderdate)::VARCHAR || ' · ' || o_orderpriority AS body FROM orders")
 def row_text(spark, d):
     n = F.floor("price").cast("bigint")
-    return offers(spark, d).select("id", S.thousands(n).alias("comma"), F.concat(S.thousands(n, " "), F.lit(" UAH")).alias("card"), F.concat_ws(" · ", F.year("found_at").cast("string"), "fuel").alias("body"))
+    return offers(spark, d).select("id", S.thousands(n).alias("comma"), S.card_price(n).alias("card"), S.listing_line(F.year("found_at"), F.col("fuel")).alias("body"))
 
 
 @query("""SELECT p_partkey AS id, coalesce(nullif(concat_ws(' · ', CASE WHEN p_size > 25 THEN p_brand END, CASE WHEN p_size > 40 THEN p_type END), ''), 'no filters') AS description FROM part""")
 def search_description(spark, d):
-    parts = F.concat_ws(" · ", F.when(F.col("year") > 25, F.col("brand")), F.when(F.col("year") > 40, F.col("model")))
-    return listings(spark, d).select("id", S.first_filled(parts, F.lit("no filters")).alias("description"))
+    parts = [F.when(F.col("year") > 25, F.col("brand")), F.when(F.col("year") > 40, F.col("model"))]
+    return listings(spark, d).select("id", Q.described(parts, "no filters").alias("description"))
 
 
 @query("""SELECT c_custkey AS id, concat_ws(',', CASE WHEN contains(t, ',') OR contains(t, '"') THEN '"' || replace(t, '"', '""') || '"' ELSE t END, c_nationkey::VARCHAR, '', '', '', '', '', '', 'Брати', '', '', '') AS line
@@ -539,10 +609,10 @@ def json_without_nulls(spark, d):
     return listings(spark, d).select("id", F.to_json(F.struct("brand", F.when(F.col("year") > 25, F.col("year")).alias("year_from"))).alias("filters"))
 
 
-@query(r"""SELECT doc_id, lower(left(text, 60)) AS low, upper(source) AS up, left(regexp_replace(text, '[^A-Za-z0-9_Ѐ-ӿ\-]+', '_', 'g'), 80) AS filename, md5(replace(text, 'a', 'b')) AS replaced FROM documents""")
+@query(r"""SELECT doc_id, lower(text) AS low, upper(source) AS up, left(regexp_replace(text, '[^A-Za-z0-9_Ѐ-ӿ\-]+', '_', 'g'), 80) AS filename, md5(replace(text, 'a', 'b')) AS replaced FROM documents""")
 def string_functions(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.lower(F.left(t, F.lit(60))).alias("low"), F.upper("source").alias("up"), S.safe_filename(t).alias("filename"), F.md5(F.replace(t, F.lit("a"), F.lit("b"))).alias("replaced"))
+    return table(spark, d, "documents").select("doc_id", F.lower(t).alias("low"), F.upper("source").alias("up"), S.safe_filename(t).alias("filename"), F.md5(F.replace(t, F.lit("a"), F.lit("b"))).alias("replaced"))
 
 
 @query("SELECT doc_id, lower(text) AS low FROM documents")
@@ -556,6 +626,26 @@ def string_forms(spark, d):
     return u.select("id", F.substring_index("name", "#", 1).alias("first"), S.zero_padded(F.col("id")).alias("padded"), S.initials(F.col("name")).alias("initials"), S.media_type(F.concat("name", F.when(F.col("id") % 2 == 0, ".PNG").otherwise(".x")), {"png": "image/png"}).alias("media"), S.uri_component(F.concat("name", F.lit(" x"))).alias("encoded"))
 
 
+@query("""SELECT c_custkey AS id, trim(c_mktsegment) AS trimmed, 'u' || c_custkey AS handle, split_part(c_name, '#', 2) AS token, rpad(left(c_custkey::VARCHAR, 6), 6, ' ') AS cells,
+    replace(format('{:,}', c_custkey * 1000 + 5), ',', chr(160)) || ' грн' AS uk, replace(c_name, '#', '%23') || '%20~!''()*' AS component, replace(c_name, '#', '%23') || '%20~%21%27%28%29%2A' AS quoted FROM customer""")
+def string_edges(spark, d):
+    u, n, odd = users(spark, d), F.col("id"), F.concat("name", F.lit(" ~!'()*"))
+    return u.select(
+        "id", S.trim_all(F.concat(F.lit("\t "), "plan", F.lit(" \n"))).alias("trimmed"), S.strip_handle(F.concat(F.lit("@@u"), n.cast("string"), F.lit("//"))).alias("handle"),
+        S.without_prefix(F.col("name"), "Customer#").alias("token"), S.six_cells(F.concat_ws("-", F.split(n.cast("string"), ""))).alias("cells"),
+        S.uk_number(n * 1000 + 5, "грн").alias("uk"), S.uri_component(odd).alias("component"), S.uri_quoted(odd).alias("quoted"),
+    )
+
+
+@query("SELECT p_brand AS brand, row_number() OVER (ORDER BY p_brand) AS place FROM (SELECT DISTINCT p_brand FROM part)")
+def brands_in_ukrainian_order(spark, d):
+    """A dimension of a few rows."""
+    from pyspark.sql import Window
+
+    brands = listings(spark, d).select("brand").distinct()
+    return brands.select("brand", F.row_number().over(Window.orderBy(S.in_ukrainian_order(F.col("brand")))).cast("bigint").alias("place"))
+
+
 @query("""SELECT c_custkey AS id, (list_sum(list_transform(string_split(c_name, ''), lambda c: ascii(c))) % 8)::INT AS bucket FROM customer""")
 def colour_bucket(spark, d):
     return users(spark, d).select("id", S.colour_bucket(F.col("name")).alias("bucket"))
@@ -597,6 +687,44 @@ def coalesce_filled(spark, d):
     return users(spark, d).select("id", S.first_filled(F.when(F.col("nation") > 10, "").otherwise(F.col("name")), F.col("plan")).alias("shown"))
 
 
+# --- constant relations ---
+
+
+def _values(rows, names: str) -> str:
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({names})"
+
+
+@query(f"SELECT * FROM {_values([(*p[:7], '|'.join(p[7])) for p in C.PLANS], 'id, name, searches_limit, requests_month, requests_hour, price_uah, description, features')}")
+def plan_catalogue(spark, d):
+    return C.plans(spark).withColumn("features", F.array_join("features", "|"))
+
+
+@query(f"SELECT id, title, price, 'UAH' AS currency, 'private' AS seller, 0 AS history FROM {_values([(r[0], r[2], r[6]) for r in C.DEMO_LISTINGS], 'id, title, price')}")
+def demo_rows(spark, d):
+    return C.demo_listings(spark).select(F.col("external_id").alias("id"), "title", "price", "currency", F.col("seller_type").alias("seller"), F.size("price_history").alias("history"))
+
+
+@query(f'SELECT id, title, price, time, "desc" FROM {_values([(r[0], r[3], r[6], r[12], r[13]) for r in C.CATALOG], "id, title, price, time, " + chr(34) + "desc" + chr(34))} WHERE price <= 700000')
+def catalogue_rows(spark, d):
+    return C.catalog(spark).where(Q.CatalogFilter(price_to=700000).predicate()).select("id", "title", "price", "time", "desc")
+
+
+@query(f"SELECT region, keywords FROM {_values([(r, '|'.join(k)) for r, k in C.REGION_KEYWORDS.items()], 'region, keywords')}")
+def region_catalogue(spark, d):
+    return C.region_keywords(spark).withColumn("keywords", F.array_join("keywords", "|"))
+
+
+@query("SELECT brand, coalesce(string_agg(model, '|' ORDER BY model), '') AS models FROM (SELECT DISTINCT p_brand AS brand, p_type AS model FROM part UNION ALL SELECT 'no such brand', NULL) GROUP BY brand")
+def models_of_brands(spark, d):
+    from pyspark.sql import Window
+
+    pairs = listings(spark, d).select("brand", "model").distinct()
+    models = pairs.withColumn("pos", F.row_number().over(Window.partitionBy("brand").orderBy("model")))
+    asked = pairs.select("brand").distinct().unionByName(spark.range(1).select(F.lit("no such brand").alias("brand")))
+    return C.models_for_brand(models, asked).withColumn("models", F.array_join("models", "|"))
+
+
 # --- extensions ---
 
 

@@ -78,8 +78,8 @@ def test_revenue(spark, counts, mrr, paid, arpu):
 
 def test_seeding_twice(spark):
     none = C.demo_listings(spark).limit(0)
-    once = U.insert_missing(none, C.demo_listings(spark), ["external_id"], [F.asc("external_id")])
-    assert (once.count(), U.insert_missing(once, C.demo_listings(spark), ["external_id"], [F.asc("external_id")]).count()) == (3, 3)
+    once = U.insert_missing(none, C.demo_listings(spark), ["external_id"], ["external_id"])
+    assert (once.count(), U.insert_missing(once, C.demo_listings(spark), ["external_id"], ["external_id"]).count()) == (3, 3)
     body = U.seed_notifications(once.where("external_id = 'demo-001'"), "u", "s", C.SOURCE_LABELS).first()
     assert body["body"] == "2021 · 45,000 км · 780,000 грн · Київ"
     assert body["payload"]["source_label"] == "AUTO.RIA"
@@ -131,7 +131,7 @@ def test_exports(spark, tmp_path):
     assert E.write_csv(rows, str(tmp_path / "a.csv"), [F.asc("pos")])
     raw = (tmp_path / "a.csv").read_bytes().decode()
     assert raw.startswith("﻿Назва,Рік,") and raw.count("\r\n") == 15 and not raw.endswith("\r\n")
-    assert 'Брати,,"<a> ""b"", c",' in raw
+    assert 'Брати,12 хв тому,"<a> ""b"", c",' in raw
     assert E.write_spreadsheet(rows, str(tmp_path / "a.xls"), [F.asc("pos")])
     text = (tmp_path / "a.xls").read_text()
     assert text.count("<Row>") == 16 and '<Data ss:Type="Number">2021</Data>' in text and "&lt;a&gt; &quot;b&quot;, c" in text
@@ -159,3 +159,55 @@ def test_stored_tables_keep_their_schema(spark, tmp_path):
     spark.createDataFrame([("1", "a@x")], "id string, email string").write.parquet(str(tmp_path / "users"))
     got = C.stored(spark, str(tmp_path / "users"), "users").first()
     assert got["email"] == "a@x" and got["telegram_avatar_path"] is None
+
+
+def test_states_are_committed_at_once(spark, tmp_path):
+    path = "file://" + str(tmp_path / "state")
+    a = spark.createDataFrame([(1, "x")], "id int, name string")
+    E.commit_tables({"a": a, "b": a.withColumn("id", F.lit(5))}, path)
+    new = U.insert_rows(E.current_table(spark, path, "a"), spark.createDataFrame([(2, "y")], "id int, name string"))
+    E.commit_tables({"a": new, "b": E.current_table(spark, path, "b").limit(0)}, path)  # from the state it replaces
+    assert {tuple(r) for r in E.current_table(spark, path, "a").collect()} == {(1, "x"), (2, "y")} and E.current_table(spark, path, "b").count() == 0
+    with pytest.raises(Exception):  # noqa: B017
+        E.commit_tables({"a": new.limit(0), "b": new.select(F.raise_error(F.lit("no")).alias("id"))}, path)
+    assert E.current_table(spark, path, "a").count() == 2
+
+
+def test_ukrainian_order(spark):
+    words = ["Яблуко", "ґава", "Гай", "їжак", "Іва", "єдність", "Ель", "жук", "азбука"]
+    got = [r["w"] for r in spark.createDataFrame([(w,) for w in words], "w string").orderBy(S.in_ukrainian_order(F.col("w"))).collect()]
+    assert got == ["азбука", "Гай", "ґава", "Ель", "єдність", "жук", "Іва", "їжак", "Яблуко"]
+
+
+def test_more_scalars(spark):
+    from lotlens.functions import predicates as P
+
+    assert values(spark, S.uri_component, ["a b&~!'()*é", None]) == ["a%20b%26~!'()*%C3%A9", None]
+    assert values(spark, S.uri_quoted, ["a b&~!'()*+"]) == ["a%20b%26~%21%27%28%29%2A%2B"]
+    assert values(spark, lambda t: S.without_prefix(t, "connect_"), ["connect_connect_x", "xconnect_", ""]) == ["connect_x", "xconnect_", ""]
+    assert values(spark, lambda t: S.uk_number(t.cast("int"), "км"), ["1234567", "12"]) == ["1\u00a0234\u00a0567 км", "12 км"]
+    assert values(spark, S.strip_handle, ["@@me//", "a@b/"]) == ["me", "a@b"]
+    assert values(spark, lambda t: P.dismissed_recently(t, 14 * 86_400_000), ["", None, "x", "0", " 1 "]) == [False, False, True, False, True]
+    users = spark.createDataFrame([(1, True, "h"), (2, None, "h"), (3, True, ""), (4, False, None)], "id int, active boolean, secret string")
+    assert [r["g"] for r in users.orderBy("id").select(P.account_gate("active", "secret").alias("g")).collect()] == ["ok", "deactivated", "invalid", "invalid"]
+
+
+def test_codes_keep_their_time(spark):
+    kinds = ["wrong", "register", "wrong", "refresh", "wrong", "wrong", "right", "refresh", "register", "right", "right", "register", "refresh", "wrong"]
+    at = [0, 10, 20, 50, 60, 61, 62, 63, 200, 210, 220, 300, 350, 400]
+    log = spark.createDataFrame([("u", i, float(t), k) for i, (t, k) in enumerate(zip(at, kinds, strict=True))], "k string, n int, at double, kind string")
+    rows = K.code_tries(log, "k", ["n"], "at", "kind", 100, 2).orderBy("n").collect()
+    assert [r["expires_at"] for r in rows] == [None] + [110.0] * 7 + [300.0] * 3 + [400.0] * 3
+    assert [r["live"] for r in rows] == [False, False, True, True, True, True, False, False, False, True, False, False, True, False]
+    assert [i for i, r in enumerate(rows) if r["deleted"]] == [5, 9] and rows[4]["failed_before"] == 0
+
+
+def test_saved_search_of_its_owner(spark):
+    stored = spark.createDataFrame([("s", "u", ("Toyota", 2019))], "id string, user_id string, filters struct<brand:string,year_from:int>")
+    assert Q.search_for(stored, "u", "s") == Q.SearchSpec(brand="Toyota", year_from=2019) and Q.search_for(stored, "v", "s") is None
+
+
+def test_models_of_a_brand(spark):
+    models = C.brand_models(spark, {"A": ["z", "b"], "B": []})
+    asked = spark.createDataFrame([("A",), ("B",), ("C",)], "brand string")
+    assert {r["brand"]: r["models"] for r in C.models_for_brand(models, asked).collect()} == {"A": ["z", "b"], "B": [], "C": []}
