@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,9 +29,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of our own on a single machine, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_lotlens_shared", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lotlens-shared-")
         spark.sparkContext._lotlens_shared = folder
     return folder.rstrip("/")
@@ -49,6 +52,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    _written(spark).add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lotlens_path = path
     return out
@@ -58,9 +62,25 @@ def discard(df: DataFrame | None) -> None:
     """Delete what ``materialise`` wrote for ``df``, if anything."""
     path = getattr(df, "_lotlens_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that ``materialise`` wrote in this session: once results that read it are saved elsewhere."""
+    for path in list(_written(spark)):
+        _delete(spark, path)
+
+
+def _written(spark: SparkSession) -> set[str]:
+    sc = spark.sparkContext
+    sc._lotlens_written = getattr(sc, "_lotlens_written", set())
+    return sc._lotlens_written
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written(spark).discard(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

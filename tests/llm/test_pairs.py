@@ -231,3 +231,17 @@ def test_spotsigs_components(spark, hot):
     want = {i: r for i, r in enumerate(roots(len(texts), links)) if any(i in x for x in links)}
     got = {r["doc_id"]: r["component_id"] for r in spotsigs_components(docs(spark, list(enumerate(texts))), hot=hot).collect()}
     assert got == want
+
+
+def test_written_state_is_released(spark):
+    from lotlens.llm import common
+
+    df = common.materialise(spark.range(3), "test")
+    assert df._lotlens_path in common._written(spark) and df.count() == 3
+    common.discard(df)
+    common.discard(None)
+    other = common.materialise(spark.range(3), "test")
+    common.release(spark)
+    assert not common._written(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        other.count()

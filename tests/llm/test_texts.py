@@ -528,3 +528,28 @@ def test_pipeline(spark):
                 alike = {k: a if v == b else v for k, v in alike.items()}
     assert set(rows[3]) == set(alike.values())
     assert p.run(spark, DATA).count() == len(rows[5])
+
+
+def test_pipeline_on_odd_corpora(spark):
+    """Nulls in any column, repeated rows, empty and long texts, clashing columns, an empty table: each stage's stated result."""
+    import corpus_pipeline as p
+
+    from lotlens.llm.common import materialise
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, token_ids string, root long"
+    prose = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one", "en", None, 3), (3, "one", "en", None, 3), (4, "one", None, "a", 3), (None, "lone text of its own", "en", "a", 1),
+            (5, prose, "en", "a", 1), (6, prose + " more", "en", "a", 1), (7, "long " * 100_000, "en", "b", 1), (None, "one", "fr", "b", 3)]
+    df = materialise(spark.createDataFrame([(*r, "x", "x", "x", 9) for r in rows], kind), "test")
+    said = {}
+    for name, stage in p.STAGES:
+        assert materialise(stage(spark, df.limit(0), DATA), "test").count() == 0
+        df = materialise(stage(spark, df, DATA), "test")
+        said[name] = df.collect()
+        if name != "byte-level BPE":
+            assert df.columns == p.COLUMNS
+    assert len(said["toxicity"]) == len(rows)
+    exact = sorted(((r["doc_id"], (r["text"] or "")[:5]) for r in said["exact dedup"]), key=str)
+    assert exact == sorted([(2, ""), (4, "one"), (None, "lone "), (5, "w0 w1"), (6, "w0 w1"), (7, "long ")], key=str)
+    assert sorted((r["doc_id"] for r in said["SimHash near-dedup"]), key=str) == sorted([2, 4, None, 5, 7], key=str)
+    assert {r["doc_id"] for r in said["byte-level BPE"]} <= {2, 4, None, 5, 7} and len({r["doc_id"] for r in said["byte-level BPE"]}) == len(said["byte-level BPE"])
