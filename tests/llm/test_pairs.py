@@ -6,12 +6,13 @@ import random
 import numpy as np
 import pytest
 
-from lotlens.llm import exact_dedup
+from lotlens.llm import exact_dedup, queries
 from lotlens.llm.components import connected_components
 from lotlens.llm.exact_dedup import tree_exact_dedup
 from lotlens.llm.gray import GrayIndex, gray_rank
 from lotlens.llm.simhash import hamming_edges, jaccard, near_duplicate_edges, near_duplicates, shingle_hashes, simhash, simhash_components, simhash_fingerprints
 from lotlens.llm.spotsigs import Signer, edited, likeness, repeated, spot_neighbours, spotsigs_components
+from tests.conftest import DATA
 
 DOCS = "doc_id long, text string, source string, keep_id string"
 
@@ -245,3 +246,48 @@ def test_written_state_is_released(spark):
     assert not common._written(spark)
     with pytest.raises(Exception):  # noqa: B017
         other.count()
+
+
+def _documents(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+
+
+def test_simhash_query_against_all_pairs(spark):
+    """op3 against the contract in plain Python, over all documents."""
+    import re
+
+    import xxhash
+
+    texts, prints = _documents(spark), {}
+    for i, t in texts.items():
+        words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))
+        shingles = [b" ".join(words[j : j + 3]) for j in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    ids = sorted(prints)
+    links = [(x, y) for x in range(len(ids)) for y in range(x) if (prints[ids[x]] ^ prints[ids[y]]).bit_count() <= 2]
+    want = {i: ids[r] for i, r in zip(ids, roots(len(ids), links), strict=True)}
+    rows = queries.op3_simhash_gray_index(spark, DATA).collect()
+    assert len(rows) == len(ids) and {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {i: ("%016x" % prints[i], want[i]) for i in ids}
+    assert len(set(want.values())) < len(ids)
+
+
+def test_spotsigs_query_against_all_pairs(spark):
+    """op5's columns and components in plain Python, over all documents: every matching pair is connected."""
+    texts, signer = _documents(spark), Signer()
+    ids = sorted(texts)
+    sets = {i: set(signer.signatures(texts[i]).tolist()) for i in ids}
+    like = lambda a, b: len(a & b) / len(a | b)
+    links = [(x, y) for x in range(len(ids)) for y in range(x) if like(sets[ids[x]], sets[ids[y]]) >= 0.8]
+    want = {i: ids[r] for i, r in zip(ids, roots(len(ids), links), strict=True)}
+    rows = {r["doc_id"]: r for r in queries.op5_spotsigs(spark, DATA).collect()}
+    assert set(rows) == set(ids)
+    for i, j in zip(ids, ids[-1:] + ids[:-1], strict=True):
+        r, t = rows[i], texts[i]
+        n = len(t) // 3
+        e = t[: len(t) - n] + texts[j][:n]
+        es = set(signer.signatures(e).tolist())
+        assert (r["n_chars"], r["edited_sha256"], r["component_id"]) == (len(t), hashlib.sha256(e.encode()).hexdigest(), want[i])
+        assert r["fingerprint"] == "".join("%08x" % x for x in sorted(sets[i])) and r["edited_fingerprint"] == "".join("%08x" % x for x in sorted(es))
+        assert r["near_edited"] == pytest.approx(like(sets[i], es)) and r["near_next"] == pytest.approx(like(sets[i], sets[j]))
+    assert links

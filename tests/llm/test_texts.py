@@ -553,3 +553,15 @@ def test_pipeline_on_odd_corpora(spark):
     assert exact == sorted([(2, ""), (4, "one"), (None, "lone "), (5, "w0 w1"), (6, "w0 w1"), (7, "long ")], key=str)
     assert sorted((r["doc_id"] for r in said["SimHash near-dedup"]), key=str) == sorted([2, 4, None, 5, 7], key=str)
     assert {r["doc_id"] for r in said["byte-level BPE"]} <= {2, 4, None, 5, 7} and len({r["doc_id"] for r in said["byte-level BPE"]}) == len(said["byte-level BPE"])
+
+
+def test_bpe_query_equals_the_library(spark):
+    """op9 over all documents."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in queries.op9_bpe_merge_replay(spark, DATA).collect()}
+    assert set(rows) == set(texts)
+    for i, t in texts.items():
+        ids = want.encode_ordinary(t)
+        assert (rows[i]["n_tokens"], rows[i]["ids_sha256"], rows[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
