@@ -149,11 +149,12 @@ def search_for(searches: DataFrame, user_id: str, search_id: str) -> SearchSpec
     return SearchSpec.of(row["filters"].asDict() if row and row["filters"] else {}) if row else None
 
 
-def match_all_searches(searches: DataFrame, listings: DataFrame) -> DataFrame:
+def match_all_searches(searches: DataFrame, listings: DataFrame, spread: int = 16) -> DataFrame:
     """(search_id, listing_id) for every active search and listing (an extension).
 
     Searches and listings join on what both fix: each search is dealt to its sources, or to all of them where it names none, so
-    that the join has an equality; the other conditions are residual.
+    that the join has an equality; the other conditions are residual. There are few sources, so each one's listings are dealt to
+    ``spread`` groups by their key, and its searches, the smaller side, are sent to all of these.
     """
     f = F.col("filters")
     s = searches.where("is_active").select(F.col("id").alias("search_id"), f.alias("f"), F.explode(F.when(F.size(f["sources"]) > 0, f["sources"]).otherwise(F.array(*[F.lit(x) for x in ("auto_ria", "olx", "telegram")]))).alias("source"))
@@ -167,4 +168,6 @@ def match_all_searches(searches: DataFrame, listings: DataFrame) -> DataFrame:
         & (unset(q["price_from"]) | (F.col("price") >= q["price_from"])) & (unset(q["price_to"]) | (F.col("price") <= q["price_to"]))
         & some("fuel", q["fuel"]) & some("transmission", q["transmission"])
     )
-    return s.join(listings.where(P.is_false("is_duplicate")), "source").where(condition).select("search_id", F.col("id").alias("listing_id"))
+    s = s.withColumn("__group", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    dealt = listings.where(P.is_false("is_duplicate")).withColumn("__group", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int"))
+    return s.join(dealt, ["source", "__group"]).where(condition).select("search_id", F.col("id").alias("listing_id"))
