@@ -18,23 +18,22 @@ def _star(edges: DataFrame) -> DataFrame:
     return lowest.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node long, root long): every node that has an edge, with the smallest node reachable from it.
 
     Only neighbour minima move, never a neighbour list, so a hub costs its edges and no task holds a group;
-    Spark splits a hub's join partition at run time. Each round is written to the shared folder, which bounds lineage.
+    Spark splits a hub's join partition at run time. Each round is written to the shared folder, which bounds lineage; rounds go on until nothing changes.
     Null ends and self-loops are ignored; no edges give an empty result.
     """
     e = edges.where(f"{a} != {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e, seen = materialise(e, "cc"), None
-    for _ in range(max_rounds):
+    while True:
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen or not state[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen, old = tuple(state), e
         e = materialise(_star(e), "cc")
         discard(old)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:

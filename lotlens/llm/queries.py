@@ -25,6 +25,7 @@ CONTROL = "\\### Assistant: </turn> ok"
 
 
 def op1_schema_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one listed record, each by the mapping of its layout, formatted and read back."""
     listed = json.dumps({"messages": [{"role": r, "content": CONTROL} for r in ("user", "assistant")]})
     more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(listed).alias("record"))
     rows = canonical_rows(table(spark, sf_dir, "conversations"), "conv_id", "turn")
@@ -32,16 +33,19 @@ def op1_schema_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through ARC files into WARC archives, and what is read from these."""
     out = archive_pages(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
 
 
 def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' fingerprints over three-word shingles, linked at two bits."""
     out = simhash_components(table(spark, sf_dir, "documents"), k=3, radius=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern spans of all documents, and those that the trained field adds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = secret_crf.secret_spans(docs, secret_crf.train(docs))
     count = lambda kind, spans="base": F.size(F.filter(F.split(spans, ","), lambda x: x.startswith(kind + ":"))).cast("long")
@@ -50,6 +54,7 @@ def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' signatures, next to those of their edited and following texts, and the components of matching sets."""
     return spot_neighbours(table(spark, sf_dir, "documents"))
 
 
@@ -68,6 +73,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model that two thirds of the labels train."""
     out = toxicity(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
@@ -79,10 +85,12 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op7_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their raked weight, copies in the mix, and whether a sample without copies keeps them."""
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept", "copies")
 
 
 def op8_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sixteen leaves of equal bytes."""
     out = kd_tree_shards(table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -99,10 +107,12 @@ def bpe_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def op9_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, and what they decode to, as digests."""
     return bpe_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_tree_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the row that stays of their equal texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tree_exact_dedup(docs, keep="max").drop("text")
 

@@ -66,7 +66,11 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def simhash_fingerprints(df: DataFrame, text_col: str = "text", k: int = 3) -> F.Column:
-    """The text's SimHash as a signed long column."""
+    """The text's SimHash as a signed long column.
+
+    Whole texts of any length count, one shingle of each at a time in memory besides 8 bytes a shingle; null and empty texts and
+    those without words give zero. It is a function of the text alone: repeated rows agree, and no other column plays a part.
+    """
     ship(df.sparkSession)
 
     @F.pandas_udf(T.LongType())
