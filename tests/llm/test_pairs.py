@@ -291,3 +291,27 @@ def test_spotsigs_query_against_all_pairs(spark):
         assert r["fingerprint"] == "".join("%08x" % x for x in sorted(sets[i])) and r["edited_fingerprint"] == "".join("%08x" % x for x in sorted(es))
         assert r["near_edited"] == pytest.approx(like(sets[i], es)) and r["near_next"] == pytest.approx(like(sets[i], sets[j]))
     assert links
+
+
+def test_work_grows_with_the_copies(spark, monkeypatch):
+    """Five times the near copies give about five times the rows at every step, not their square; identifiers may be large."""
+    from lotlens.llm import simhash as module
+
+    rng = random.Random(21)
+    base, seen, write = prose(rng, 200), {}, module.materialise
+    big = (1 << 60) + 1
+
+    def counted(df, name):
+        out = write(df, name)
+        seen[name] = max(seen.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(module, "materialise", counted)
+    rows = {}
+    for n in (40, 200):
+        texts = [(big + i, copies(rng, base, i % 4)) for i in range(n)] + [(big + 1000 + i, prose(rng, 40)) for i in range(5)]
+        seen.clear()
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, texts)).collect()}
+        assert got == dict.fromkeys([big + i for i in range(n)], big)
+        rows[n] = dict(seen)
+    assert all(rows[200][k] <= 8 * max(v, 40) for k, v in rows[40].items())
