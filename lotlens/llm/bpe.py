@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from lotlens.llm.common import ship
 
 #: Pre-tokens that a task remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Pairs whose merge a task remembers before it starts anew.
-PAIRS = 1_000_000
+PAIRS = 250_000
 #: Documents that are one corpus, at most.
 BATCH = 512
 
@@ -166,30 +166,37 @@ def _schema(df: DataFrame, out: T.StructField) -> tuple[T.StructType, list[str]]
     return T.StructType([*keep, out]), [f.name for f in keep]
 
 
-def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """``df`` with ``out_col`` (array<int>): ids of the whole text; special tokens are ordinary text.
+def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", keep_text: bool = True) -> DataFrame:
+    """``df`` with ``out_col`` (array<int>): ids of the whole text; special tokens are ordinary text. Without ``keep_text``, ids take the text's place.
 
-    A null or empty text has no ids. A column named ``out_col`` is replaced; all other columns and repeated rows stay.
+    A null or empty text has no ids; texts may be of any length. A column named ``out_col`` is replaced; all other columns and
+    repeated rows stay; an empty table gives an empty result.
     """
     ship(df.sparkSession)
-    schema, names = _schema(df, T.StructField(out_col, T.ArrayType(T.IntegerType(), False)))
+    schema, names = _schema(df if keep_text else df.drop(text_col), T.StructField(out_col, T.ArrayType(T.IntegerType(), False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         gc.disable()  # no cycles here, and many small objects to walk
-        for whole in batches:
-            for i in range(0, whole.num_rows, BATCH):
-                b = whole.slice(i, BATCH)
-                ids = bpe.ids([t or "" for t in b.column(text_col).to_pylist()])
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), column], names=[*names, out_col])
+        try:
+            for whole in batches:
+                for i in range(0, whole.num_rows, BATCH):
+                    b = whole.slice(i, BATCH)
+                    ids = bpe.ids([t or "" for t in b.column(text_col).to_pylist()])
+                    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                    column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                    yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), column], names=[*names, out_col])
+        finally:
+            gc.enable()  # the worker goes on to other tasks
 
     return df.mapInArrow(run, schema)
 
 
 def bpe_decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """``df`` with ``out_col`` (binary): the bytes that the ids stand for; null ids give empty bytes, an unknown id is an error."""
+    """``df`` with ``out_col`` (binary): the bytes that the ids stand for; null ids give empty bytes, an unknown id is an error.
+
+    A column named ``out_col`` is replaced; all other columns and repeated rows stay; an empty table gives an empty result.
+    """
     ship(df.sparkSession)
     schema, names = _schema(df, T.StructField(out_col, T.BinaryType()))
 

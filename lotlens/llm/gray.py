@@ -80,19 +80,19 @@ class GrayIndex:
             q, node, acc, seen = q[keep], child[keep], acc[keep], seen[keep]
         raise AssertionError
 
-    def tree_edges(self, radius: int | np.ndarray, block: int = 1024, forests: int = 1, label: np.ndarray | None = None, barred: np.ndarray | None = None):
-        """Edges (position, position, distance) of shortest spanning forests of all links: no link is lost, no group is paired out.
+    def tree_edges(self, radius: int | np.ndarray, block: int = 1024, label: np.ndarray | None = None, barred: np.ndarray | None = None, holds=None):
+        """Edges (position, position, distance) of a shortest spanning forest of all links: no link is lost, no group is paired out.
 
-        forests: how many edge-disjoint ones. label: positions with equal ones are connected already, and only links between
-        different ones count; so all but the members of each run's commonest label are the queries. barred: (a, b) positions,
-        a > b, that are no links after all. Queries go through the index in blocks; after each, the forests so far and the new
-        links are thinned by Kruskal's rule.
+        label: positions with equal ones are connected already, and only links between different ones count; so all but the
+        members of each run's commonest label are the queries. barred: (a, b) positions, a > b, that are no links after all.
+        holds: a further test of links, (a, b) position arrays -> which are some. Queries go through the index in blocks; after
+        each, the forest so far and the new links are thinned by Kruskal's rule.
         """
         n = len(self.codes)
         done = [np.zeros((0, 3), dtype=np.int64)]
         if not n:
             return done[0]
-        kept = done * forests
+        kept = done[0]
         label = np.arange(n) if label is None else label
         low_of_run = self._run_starts()
         run = np.searchsorted(low_of_run, np.arange(n), "right") - 1  # also the run's root
@@ -112,25 +112,17 @@ class GrayIndex:
             if len(no) and len(e):
                 code = e[:, 0] * n + e[:, 1]
                 e = e[no[np.minimum(np.searchsorted(no, code), len(no) - 1)] != code]
-            # so many forests hold every link of a small run
-            small = size[run[e[:, 0]]] <= 2 * forests
-            if forests > 1:
-                done.append(e[small])
-                e = e[~small]
-            for i in range(forests):
-                if not len(e):
-                    break
-                e = np.concatenate([kept[i], e])
-                chosen = spanning(e, label)
-                kept[i], e = e[chosen], e[~chosen]
+            if holds is not None and len(e):
+                e = e[holds(e[:, 0], e[:, 1])]
+            if len(e):
+                e = np.concatenate([kept, e])
+                kept = e[spanning(e, label)]
             at += take
             # runs that are over need not be thinned again
             now = run[busy[at]] if at < len(busy) else n
-            for i in range(forests):
-                if len(kept[i]):
-                    over = run[kept[i][:, 0]] < now
-                    done.append(kept[i][over])
-                    kept[i] = kept[i][~over]
+            over = run[kept[:, 0]] < now
+            done.append(kept[over])
+            kept = kept[~over]
         return np.concatenate(done)
 
     def _run_starts(self) -> np.ndarray:

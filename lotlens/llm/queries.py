@@ -98,7 +98,7 @@ def op8_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 of its texts, encoded and decoded again, in place of the texts."""
     path, pattern = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe_encode(docs, path, pattern).drop("text").withColumns({
+    ids = bpe_encode(docs, path, pattern, keep_text=False).withColumns({
         "n_tokens": F.size("token_ids").cast("long"),
         "ids_sha256": F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256),
     })

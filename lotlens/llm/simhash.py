@@ -80,11 +80,12 @@ def simhash_fingerprints(df: DataFrame, text_col: str = "text", k: int = 3) -> F
     return fingerprint(F.col(text_col))
 
 
-def _linker(radius: int | str, key: list[str], code_cols: list[str], id_col: str, forests: int = 1):
+def _linker(radius: int | str, key: list[str], code_cols: list[str], id_col: str, similarity: float | None = None):
     """mapInPandas function: rows sorted by ``key`` in, links (key, a, b) between ``id_col`` values out.
 
     radius: a number or a column. Rows with equal ``root`` (a column that may be there) are connected already. A row that is
-    ``told`` (a column that may be there) says that the pair (id, ``other``) is no link.
+    ``told`` (a column that may be there) says that the pair (id, ``other``) is no link. With a similarity, the Jaccard similarity
+    of the rows' ``hashes`` (sorted uint64, as bytes) decides, so that no further pair has to be told.
     """
 
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,12 +114,35 @@ def _linker(radius: int | str, key: list[str], code_cols: list[str], id_col: str
             both = told[[*key, id_col, "other"]].merge(at, on=[*key, id_col]).merge(at.rename(columns={id_col: "other", "pos": "pos2"}), on=[*key, "other"])
             barred = np.sort(both[["pos", "pos2"]].to_numpy(dtype=np.int64), axis=1)[:, ::-1]
         reach = frame[radius].to_numpy() if isinstance(radius, str) else radius
-        e = GrayIndex(codes, starts).tree_edges(reach, forests=forests, label=label, barred=barred)
+        holds = None
+        if similarity is not None:
+            sets = [np.frombuffer(h, np.uint64) for h in frame["hashes"]]
+            holds = lambda a, b: alike_sets(sets, a, b, similarity)
+        e = GrayIndex(codes, starts).tree_edges(reach, label=label, barred=barred, holds=holds)
         return pd.DataFrame({**{k: frame[k].to_numpy()[e[:, 0]] for k in key}, "a": ids[e[:, 0]], "b": ids[e[:, 1]]})
 
     return links
 
 
+def alike_sets(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of positions have sets of at least that Jaccard similarity; each set of ``a`` is looked up once for all its partners."""
+    out = np.zeros(len(a), dtype=bool)
+    order = np.argsort(a, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(a[order]) != 0)), len(a))
+    for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        at = order[start:end]
+        mine, others = sets[a[at[0]]], [sets[x] for x in b[at].tolist()]
+        sizes = np.array([len(x) for x in others])
+        whole = np.concatenate(others)
+        hit = mine[np.minimum(np.searchsorted(mine, whole), len(mine) - 1)] == whole if len(mine) else np.zeros(len(whole), bool)
+        ends = np.cumsum(sizes)
+        found = np.append(0, np.cumsum(hit))
+        common = found[ends] - found[ends - sizes]
+        both = len(mine) + sizes - common
+        out[at] = np.where(both == 0, True, common >= similarity * both - 1e-9)
+    return out
+
+
 def thirds(mask: int) -> list[int]:
     """Three masks that each add a third of the bits that ``mask`` leaves; codes alike under it and 2 bits apart agree under one of them."""
     free = [b for b in range(64) if not mask >> b & 1]
@@ -210,8 +234,9 @@ def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, k: int = 5,
 
     The first bands are searched, each giving a shortest spanning forest of its SimHash links, whose edges are checked on whole
     texts; then the other bands, for links between what is not connected yet. Groups where a check failed are searched again
-    without the pairs that failed there, with sixteen times as many disjoint forests, until every link holds; then no pair
-    that shares a band and is alike is left unconnected, and only pairs that no link could spare were compared.
+    without the pairs that failed there, now with the members' shingle hashes at hand, so that the search itself drops links
+    that don't hold; this goes on until every link holds. Then no pair that shares a band and is alike is left unconnected, and
+    what is written and joined grows with the members, not with their pairs.
 
     Rows of one identifier count as one document, whose text is the smallest; null texts are empty, null identifiers are left out.
     """
@@ -231,6 +256,13 @@ def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, k: int = 5,
                 out["id"] = np.repeat(part["id"].to_numpy(), BANDS)
                 yield out
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                sets = [np.unique(shingle_hashes(t.as_py(), k)).tobytes() for t in part.column("t")]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hashes = None, None  # pairs come ordered by b
         for batch in batches:
@@ -249,7 +281,7 @@ def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, k: int = 5,
     discard(bands)
     # Few bytes, much work: a stated number of tasks, which Spark does not merge by size.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    active, labels, forests, judged, failed = met.where(F.col("band") < FIRST), None, 1, [], []
+    active, labels, exact, judged, failed = met.where(F.col("band") < FIRST), None, None, [], []
     while True:
         if labels is not None:
             active = active.drop("root").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -261,7 +293,10 @@ def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, k: int = 5,
             no = no.where("deal < 0").unionByName(no.where("deal >= 0").drop("deal").distinct().join(blocks, [*group, "a"]))
             nothing = [F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in member if c != "id"]
             rows = rows.unionByName(no.select(*key, *nothing, F.col("a").alias("id"), F.lit(True).alias("told"), F.col("b").alias("other")))
-        found = rows.repartition(tasks, *key).sortWithinPartitions(*key).mapInPandas(_linker("reach", key, code, "id", forests), "band int, value long, deal long, a long, b long")
+        if exact is not None:
+            sets = linked.join(active.select("id").distinct(), "id", "left_semi").select("id", "t").mapInArrow(hashed, "id long, hashes binary")
+            rows = rows.join(sets, "id", "left").withColumn("hashes", F.when(F.col("told"), F.lit(b"")).otherwise(F.col("hashes")))
+        found = rows.repartition(tasks, *key).sortWithinPartitions(*key).mapInPandas(_linker("reach", key, code, "id", exact), "band int, value long, deal long, a long, b long")
         found = materialise(found.select(*key, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"), "found")
         if labels is not None and found.isEmpty():
             break
@@ -284,7 +319,7 @@ def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, k: int = 5,
         again = failed[-1].select(*group).distinct()
         active = met.join(again.withColumn("again", F.lit(True)), group, "left")
         active = active.where(F.col("again") | (F.lit(first) & ((F.col("band") >= FIRST) | (F.col("n") > hot)))).drop("again")
-        forests *= 1 if first else 16
+        exact = None if first else similarity
     for df in [met, linked, found, *failed]:
         discard(df)
     return reduce(DataFrame.unionByName, judged).where("alike").select("a", "b"), labels

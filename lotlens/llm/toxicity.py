@@ -91,7 +91,7 @@ class Model:
 
     def score(self, text: str | None) -> float:
         cache, z = self.cache, self.bias
-        if len(cache) > 1_000_000:
+        if len(cache) > 250_000:
             cache.clear()
         for w in words_of(text):
             v = cache.get(w)
