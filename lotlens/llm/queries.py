@@ -54,7 +54,7 @@ def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' signatures, next to those of their edited and following texts, and the components of matching sets."""
+    """All documents' signatures, next to those of their edited and following texts."""
     return spot_neighbours(table(spark, sf_dir, "documents"))
 
 

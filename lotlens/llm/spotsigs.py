@@ -118,13 +118,13 @@ def id_cuts(rows: DataFrame, order: str) -> np.ndarray:
     return np.array(sorted({*(got[0] or []), got[1] or 0}), dtype=np.int64)
 
 
-def spot_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+def spot_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", components: DataFrame | None = None) -> DataFrame:
     """Each text's fingerprint, that of its edited text, their likeness and that of the next text, and the texts it matches.
 
     (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, component_id), one row per row of
     ``df``. The next text is that of the next smaller identifier (after the smallest comes the largest; repeated identifiers
-    follow each other by a hash of their texts; null identifiers come last). component_id: as in ``spotsigs_components``, else
-    the row's own identifier. Null texts count as empty, and texts without words have a fingerprint too; texts may be of any
+    follow each other by a hash of their texts; null identifiers come last). component_id: from ``components``, as
+    ``spotsigs_components`` gives them, else the row's own identifier; without them the column is left out. Null texts count as empty, and texts without words have a fingerprint too; texts may be of any
     length; other columns are not carried, so no name clashes; a lone row is its own next; an empty table gives an empty result.
 
     Texts are packed and dealt once by identifier range, and compared as a stream within each part, so memory holds one batch.
@@ -132,7 +132,6 @@ def spot_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = df.sparkSession
     ship(spark)
-    roots = spotsigs_components(df, id_col, text_col, similarity)
     order = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
     rows = df.select(F.col(id_col).cast("long").alias("id"), order(F.col(id_col)).alias("o"), empty_if_null(text_col).alias("t"))
     cuts = id_cuts(rows, "o")
@@ -165,7 +164,9 @@ def spot_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             none = np.zeros(len(o), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(none.astype(np.int32)), b.column("o"), pa.array(none), b.column("o"), pa.nulls(len(o), pa.binary()), b.column("root")], schema=sent)
 
-    both = rows.mapInArrow(pack, packed).unionByName(roots.select(F.col(id_col).alias("o"), F.col("component_id").alias("root")).mapInArrow(place, packed))
+    both = rows.mapInArrow(pack, packed)
+    if components is not None:
+        both = both.unionByName(components.select(F.col(id_col).alias("o"), F.col("component_id").alias("root")).mapInArrow(place, packed))
     # a part: for each identifier, descending, its component and then its rows; the guests last
     dealt = both.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", F.col("kind") == 2, F.desc("o"), "kind", "tie")
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"]
@@ -195,7 +196,8 @@ def spot_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return dealt.mapInArrow(stream, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long")
+    out = dealt.mapInArrow(stream, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long")
+    return out if components is not None else out.drop("component_id")
 
 
 def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
