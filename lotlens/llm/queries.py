@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlens.llm import secret_crf
-from lotlens.llm.bpe import bpe_decode, bpe_encode
+from lotlens.llm.bpe import bpe_encode
 from lotlens.llm.chat import canonical_records, canonical_rows, conversation_digests, format_turns
 from lotlens.llm.common import table
 from lotlens.llm.exact_dedup import tree_exact_dedup
@@ -98,12 +98,12 @@ def op8_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 of its texts, encoded and decoded again, in place of the texts."""
     path, pattern = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe_encode(docs, path, pattern, keep_text=False).withColumns({
+    coded = bpe_encode(docs, path, pattern, decoded_col="decoded")
+    return coded.withColumns({
         "n_tokens": F.size("token_ids").cast("long"),
         "ids_sha256": F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256),
-    })
-    decoded = bpe_decode(ids, path, pattern).drop("token_ids")
-    return decoded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+        "decoded_sha256": F.sha2("decoded", 256),
+    }).drop("token_ids", "decoded")
 
 
 def op9_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
