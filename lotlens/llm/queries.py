@@ -12,12 +12,15 @@ from lotlens.llm import secret_crf
 from lotlens.llm.bpe import bpe_encode
 from lotlens.llm.chat import canonical_records, canonical_rows, conversation_digests, format_turns
 from lotlens.llm.common import table
+from lotlens.llm.divergence import source_divergence
 from lotlens.llm.exact_dedup import tree_exact_dedup
 from lotlens.llm.kdshard import kd_tree_shards
 from lotlens.llm.mixing import approximate_tokens, mix, surface_topic
+from lotlens.llm.periodic import collapse_runs, strongest
 from lotlens.llm.simhash import simhash_components
 from lotlens.llm.spotsigs import spot_neighbours
 from lotlens.llm.toxicity import toxicity_scores, train
+from lotlens.llm.urlfilter import judge_urls
 from lotlens.llm.warc import archive_pages
 
 
@@ -117,6 +120,40 @@ def op10_tree_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_exact_dedup(docs, keep="max").drop("text")
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` where a tenth of the texts, picked and shaped by crc32 of doc_id, repeats a stretch of its words up to its end; rows without a doc_id stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    picked = docs.withColumns({"__g": F.floor(h / 10), "__words": F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))})
+    n = F.size("__words").cast("long")
+    picked = picked.withColumn("__a", F.when(n > 0, F.col("__g") % n))
+    picked = picked.withColumn("__p", (1 + F.floor((n - F.col("__a")) / (3 + F.col("__g") % 8))))
+    int_ = lambda c: c.cast("int")
+    times = F.ceil((n - F.col("__a")) / F.col("__p"))
+    again = F.slice(F.flatten(F.array_repeat(F.slice("__words", int_(F.col("__a") + 1), int_(F.col("__p"))), int_(times))), F.lit(1), int_(n - F.col("__a")))
+    edited = F.array_join(F.concat(F.slice("__words", F.lit(1), int_(F.col("__a"))), again), " ")
+    return picked.withColumn("text", F.when(n > 0, edited).otherwise(F.col("text"))).drop("__g", "__words", "__a", "__p")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a tenth of them with a planted run: their runs, the strongest, and what is left of the text without repeats."""
+    out = collapse_runs(with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("best", strongest("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source against the others of its language, and the words that mark it, over all documents."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by the listed rules, and by those of their aliases."""
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_schema_fingerprint_chat": op1_schema_fingerprint_chat,
     "op2_arc_to_warc": op2_arc_to_warc,
@@ -128,6 +165,9 @@ QUERIES = {
     "op8_kd_tree_shards": op8_kd_tree_shards,
     "op9_bpe_merge_replay": op9_bpe_merge_replay,
     "op10_tree_exact_dedup": op10_tree_exact_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_url_filters": op13_url_filters,
 }
 
 ORACLES = {
@@ -159,4 +199,46 @@ ORACLES = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op12_source_divergence": """
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{80}-\\x{10FFFF}]+') AS terms FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) GROUP BY ALL),
+        k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+        lc AS (SELECT k.lang, k.term, sum(n) AS n FROM k JOIN c USING (lang, term) GROUP BY ALL),
+        l AS (SELECT lang, sum(n) AS n, count(*) AS v FROM lc GROUP BY ALL),
+        gn AS (SELECT g.lang, g.source, coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0) AS n FROM g LEFT JOIN c USING (lang, source) LEFT JOIN k ON k.lang = g.lang AND k.term = c.term GROUP BY ALL),
+        p AS (SELECT gn.lang, gn.source, lc.term, coalesce(c.n, 0) AS n,
+                     1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (gn.n + 5 * l.v)::HUGEINT AS p,
+                     1 + (1000000000::HUGEINT * (lc.n + 5)) // (l.n + 5 * l.v)::HUGEINT AS q
+              FROM gn JOIN l USING (lang) JOIN lc USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = lc.term),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value
+                  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y USING (lang, term) GROUP BY ALL) f
+                  ON f.lang = a.lang AND f.source = a.source AND f.other = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+        SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pairs
+        UNION ALL
+        SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM terms QUALIFY rank <= 50
+    """,
+    "op13_url_filters": r"""
+        WITH RECURSIVE u AS (
+            SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+                   array_to_string(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid)(=|$)')), '&') AS own
+            FROM pages),
+        r(rule, verdict, h, s) AS (VALUES ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'), ('www.example.com/en/', 'allow', 'www.example.com', '/en/'),
+                                          ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')),
+        n AS (SELECT u.*, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') || CASE WHEN own <> '' THEN '?' || own ELSE '' END END AS place,
+                     (SELECT arg_max(rule, length(rule)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)) AS rule,
+                     (SELECT arg_max(verdict, length(rule)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)) AS own_verdict FROM u),
+        tags AS (SELECT place, host, unnest(regexp_extract_all(html, '(?is)<link\s[^>]*>')) AS tag FROM n WHERE html ILIKE '%canonical%'),
+        links AS (SELECT place AS a, translate(regexp_extract(tag, '(?is)\shref\s*=\s*"[a-z]+://([^"/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(tag, '(?is)\shref\s*=\s*"[a-z]+://[^"/?#]*([^"?#]*?)/*["?#]', 1) AS b
+                  FROM tags WHERE regexp_matches(tag, '(?i)\srel\s*=\s*"canonical"')),
+        ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT DISTINCT place AS node, place AS other FROM n WHERE place IS NOT NULL UNION SELECT reach.node, ways.b FROM reach JOIN ways ON reach.other = ways.a),
+        said AS (SELECT node, bool_or(own_verdict = 'block') AS blocked, bool_or(own_verdict = 'allow') AS allowed FROM reach JOIN n ON n.place = reach.other GROUP BY node)
+        SELECT page_id, host, path, rule, coalesce(own_verdict, CASE WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM n LEFT JOIN said ON said.node = n.place
+    """,
 }
