@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotlens.operators.paging import placed
+from lotlens.sources.shared import written
+
 
 def latest(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Each key's last row, by partial aggregation: no key's history is gathered."""
@@ -32,6 +32,20 @@ def open_tokens(log: DataFrame, now: float) -> DataFrame:
     return latest(log, "key", ["ts", "seq"]).where((F.col("op") == "set") & (F.col("expires_at") > now)).select("key", "value")
 
 
+def token_uses(log: DataFrame, key: str, order: list[str], at: str, kind: str, name: str, ttl: float) -> DataFrame:
+    """The ``consume`` rows of a log of one-time tokens with ``served`` and ``set_by``, the ``name`` of the ``set`` row whose token it got (else null).
+
+    A token lives ``ttl`` seconds and is gone with its first use; a new one takes its place. at: seconds. ``order`` must be unique in a key.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    is_set = F.col(kind) == "set"
+    rows = log.withColumns({"__token": F.count_if(is_set).over(w), "__by": F.last(F.when(is_set, F.col(name)), ignorenulls=True).over(w), "__end": F.last(F.when(is_set, F.col(at) + ttl), ignorenulls=True).over(w)})
+    first = F.row_number().over(Window.partitionBy(key, "__token", kind).orderBy(*order)) == 1
+    served = (F.col("__token") > 0) & first & F.coalesce(F.col(at) < F.col("__end"), F.lit(False))
+    uses = rows.withColumn("served", served).where(F.col(kind) == "consume")
+    return uses.withColumn("set_by", F.when(F.col("served"), F.col("__by"))).drop("__token", "__by", "__end")
+
+
 def within_cooldown(log: DataFrame, key: str, ts: str, seconds: int, unique: str) -> DataFrame:
     """Requests with ``too_soon``: less than so many seconds after the key's request before, whether or not that one passed."""
     w = Window.partitionBy(key).orderBy(ts, unique)
@@ -39,26 +53,40 @@ def within_cooldown(log: DataFrame, key: str, ts: str, seconds: int, unique: str
     return log.withColumn("too_soon", F.coalesce(gap < seconds * 1_000_000, F.lit(False)))
 
 
-def accepted_sends(log: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """The exact gate: a request passes if the key's last one that passed lies at least so many seconds back.
+def accepted_sends(log: DataFrame, key: str, ts: str, seconds: int, unique: str) -> DataFrame:
+    """The exact gate: ``log`` with ``accepted``, true if the key's last request that passed lies at least so many seconds back.
+
+    Rejected requests don't restart the timer. Each request points to its key's first one that could pass after it did, by two sorts: of
+    the requests, and of requests merged with the moments at which their timers end. Whoever follows a gap of the whole time passes in any
+    case, which cuts a key's requests into sessions; from there the pointers are followed by doubling, so that one key's
+    requests, however many, are spread over all tasks, and a session of n that pass takes log n joins. Pointers that
+    nothing leads to are left behind at each step. Of requests at one moment the one with the smallest ``unique`` passes, if any.
 
-    Rejected requests don't restart the timer, so each key's requests are walked in order; they arrive sorted and are walked as a stream.
+    Rows without key or time don't pass. With no seconds all others do. An empty log gives an empty result.
     """
-    rows = log.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, last = None, None
-        for f in frames:
-            passed = []
-            for k, us in zip(f["k"], f["us"], strict=True):
-                if k != at:
-                    at, last = k, None
-                ok = last is None or us - last >= seconds * 1_000_000
-                last = us if ok else last
-                passed.append(ok)
-            yield f.assign(accepted=passed)
-
-    return rows.repartition("k").sortWithinPartitions("k", "us").mapInPandas(walk, "k string, us long, accepted boolean")
+    rows = log.withColumns({"__us": F.unix_micros(F.col(ts).cast("timestamp"))})
+    given = F.col(key).isNotNull() & F.col("__us").isNotNull()
+    if seconds <= 0:
+        return rows.withColumn("accepted", given).drop("__us")
+    moments = rows.where(given).groupBy(F.col(key).alias("k"), F.col("__us").alias("us")).agg(F.min(unique).alias("one"))
+    moments = placed(moments, [F.asc("k"), F.asc("us")], "r")
+    ends = moments.select("k", (F.col("us") + seconds * 1_000_000).alias("us"), F.col("r").alias("of"))
+    merged = placed(ends.unionByName(moments.select("k", "us", F.lit(None).cast("long").alias("of"))), [F.asc("k"), F.asc("us"), F.asc_nulls_last("of")], "m")
+    # before the end of r's timer come r such ends (its own among them) and all requests that are too soon or of earlier keys
+    after = written(merged.where("of IS NOT NULL").select(F.col("of").alias("r"), (F.col("m") - F.col("of") + 1).alias("next")), "gate")
+    starts = after.where("next = r + 1").select(F.col("next").alias("r")).unionByName(after.where("r = 1").select("r"))
+    jumps = written(after.join(starts.withColumnRenamed("r", "next"), "next", "left_anti").join(after.select(F.col("r").alias("next")), "next", "left_semi").select("r", "next"), "gate")
+    levels = []
+    while not jumps.isEmpty():
+        levels.append(jumps)
+        reached = jumps.select(F.col("next").alias("r")).unionByName(starts).distinct()
+        led = jumps.join(reached, "r", "left_semi")
+        jumps = written(led.alias("a").join(led.alias("b"), F.col("a.next") == F.col("b.r")).select("a.r", "b.next"), "gate")
+    passed = starts
+    for level in reversed(levels):
+        passed = written(passed.unionByName(passed.join(level, "r").select(F.col("next").alias("r"))), "gate")
+    firsts = moments.join(passed, "r", "left_semi").select(F.col("k").alias(key), F.col("us").alias("__us"), F.col("one").alias("__one"))
+    return rows.join(firsts, [key, "__us"], "left").withColumn("accepted", F.coalesce(F.col(unique) == F.col("__one"), F.lit(False))).select(*log.columns, "accepted")
 
 
 def code_tries(log: DataFrame, key: str, order: list[str], at: str, kind: str, ttl: int, limit: int = 5) -> DataFrame:

@@ -90,25 +90,6 @@ def page(df: DataFrame, order: list[Column], number: int = 1, per_page: int = 20
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def placed(df: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
-    """All rows with their place in the sort, from 1; ``order`` must end in a unique key.
-
-    Rows are sorted in ranges, not in one task; a row's place is its place in its range after the rows of the ranges before. The
-    sorted rows are kept in ``spark.checkpoint.dir``, so that ranges and places are of one run.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows = rows.withColumns({"__at": F.monotonically_increasing_id()}).checkpoint()
-    rows = rows.withColumns({"__range": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
-    before, at = {}, 0
-    for r in sorted(rows.groupBy("__range").count().collect()):
-        before[r["__range"]], at = at, at + r["count"]
-    if not before:
-        return rows.withColumn(place, F.lit(None).cast("long")).drop("__range", "__at")
-    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]), F.col("__range"))
-    return rows.withColumn(place, offset + F.col("__at") + 1).drop("__range", "__at")
-
-
 def envelope(df: DataFrame, number: int = 1, per_page: int = 20) -> DataFrame:
     """One row: total, page, per_page, pages."""
     P.page_arguments(number, per_page)
@@ -147,27 +128,3 @@ def search_for(searches: DataFrame, user_id: str, search_id: str) -> SearchSpec
     """A user's saved search by its key; None if it isn't theirs."""
     row = owned(searches, user_id).where(F.col("id") == search_id).select("filters").first()
     return SearchSpec.of(row["filters"].asDict() if row and row["filters"] else {}) if row else None
-
-
-def match_all_searches(searches: DataFrame, listings: DataFrame, spread: int = 16) -> DataFrame:
-    """(search_id, listing_id) for every active search and listing (an extension).
-
-    Searches and listings join on what both fix: each search is dealt to its sources, or to all of them where it names none, so
-    that the join has an equality; the other conditions are residual. There are few sources, so each one's listings are dealt to
-    ``spread`` groups by their key, and its searches, the smaller side, are sent to all of these.
-    """
-    f = F.col("filters")
-    s = searches.where("is_active").select(F.col("id").alias("search_id"), f.alias("f"), F.explode(F.when(F.size(f["sources"]) > 0, f["sources"]).otherwise(F.array(*[F.lit(x) for x in ("auto_ria", "olx", "telegram")]))).alias("source"))
-    unset = lambda c: c.isNull() | (c == 0)
-    text = lambda c, v: v.isNull() | (v == "") | F.contains(F.lower(F.col(c)), F.lower(v))
-    some = lambda c, v: (F.coalesce(F.size(v), F.lit(0)) <= 0) | F.array_contains(v, F.col(c))
-    q = F.col("f")
-    condition = (
-        text("brand", q["brand"]) & text("model", q["model"]) & text("region", q["region"])
-        & (unset(q["year_from"]) | (F.col("year") >= q["year_from"])) & (unset(q["year_to"]) | (F.col("year") <= q["year_to"]))
-        & (unset(q["price_from"]) | (F.col("price") >= q["price_from"])) & (unset(q["price_to"]) | (F.col("price") <= q["price_to"]))
-        & some("fuel", q["fuel"]) & some("transmission", q["transmission"])
-    )
-    s = s.withColumn("__group", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    dealt = listings.where(P.is_false("is_duplicate")).withColumn("__group", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int"))
-    return s.join(dealt, ["source", "__group"]).where(condition).select("search_id", F.col("id").alias("listing_id"))

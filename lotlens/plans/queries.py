@@ -18,6 +18,8 @@ from lotlens.operators import metrics as M
 from lotlens.operators import mutations as U
 from lotlens.operators import search as Q
 from lotlens.operators.export import csv_lines, xml_rows
+from lotlens.operators.paging import placed
+from lotlens.operators.saved_searches import match_all_searches
 from lotlens.sources import constants as C
 from lotlens.sources.constants import table
 
@@ -202,7 +204,7 @@ def _sorted(sql_order: str, sort: str, columns: list[str]):
 
     def whole(spark, d):
         rows = listings(spark, d).withColumn("pos", F.col("id")).withColumn("mileage", F.col("id") % 37)
-        return Q.placed(rows, Q.catalog_order(sort)).select(*columns, "place")
+        return placed(rows, Q.catalog_order(sort)).select(*columns, "place")
 
     whole.__name__ = f"sort_{sort}_all"
     query(f"SELECT p_partkey AS id, row_number() OVER (ORDER BY {sql_order}, p_partkey) AS place FROM part")(whole)
@@ -534,7 +536,8 @@ def cooldown(spark, d):
       UNION ALL SELECT e.user_id, e.n, CASE WHEN e.ts - w.last >= INTERVAL 1 DAY THEN e.ts ELSE w.last END, e.ts - w.last >= INTERVAL 1 DAY FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
     SELECT user_id::VARCHAR AS k, count(*) FILTER (accepted) AS sent, count(*) FILTER (NOT accepted) AS rejected FROM w GROUP BY 1""")
 def cooldown_exact(spark, d):
-    return K.accepted_sends(events(spark, d), "user_id", "ts", 86400).groupBy("k").agg(F.count_if("accepted").alias("sent"), F.count_if(~F.col("accepted")).alias("rejected"))
+    sends = K.accepted_sends(events(spark, d), "user_id", "ts", 86400, "event_id")
+    return sends.groupBy(F.col("user_id").cast("string").alias("k")).agg(F.count_if("accepted").alias("sent"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
 @query("""WITH g AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS generation FROM events),
@@ -741,4 +744,34 @@ def ext_matches_per_search(spark, d):
     empty = F.array().cast("array<string>")
     filters = F.struct(F.col("brand"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("int").alias("year_from"), F.lit(0).alias("year_to"), F.lit(905.0000001).alias("price_from"), F.lit(None).cast("int").alias("price_to"), empty.alias("fuel"), empty.alias("transmission"), F.lit("").alias("region"), F.array(F.lit("olx")).alias("sources"))
     searches = parts.select("brand").distinct().select(F.col("brand").alias("id"), filters.alias("filters"), F.lit(True).alias("is_active"))
-    return Q.match_all_searches(searches, parts).groupBy(F.col("search_id").alias("brand")).agg(F.count(F.lit(1)).alias("n"))
+    return match_all_searches(searches, parts).groupBy(F.col("search_id").alias("brand")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _asked(spark, d) -> DataFrame:
+    """A saved search for each customer: of narrow and wide ranges, with and without brand, model and sources."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    filters = F.struct(
+        F.when(k % 4 < 3, F.concat(F.lit("rand#"), (k % 5 + 1).cast("string"), F.when(k % 3 == 0, "_").otherwise(""))).alias("brand"),
+        F.when(k % 7 == 0, "s").otherwise("").alias("model"),
+        F.when(k % 6 > 0, k % 50).otherwise(0).cast("int").alias("year_from"), F.when(k % 6 > 1, k % 50 + 3 + k % 5).cast("int").alias("year_to"),
+        F.when(k % 25 > 0, 900 + k % 15).otherwise(0).cast("int").alias("price_from"), F.when(k % 25 > 1, 901 + k % 15 + k % 3).cast("int").alias("price_to"),
+        F.when(k % 9 == 0, F.array(F.lit("petrol"), F.lit("gas"))).alias("fuel"), F.array().cast("array<string>").alias("transmission"), F.lit(None).cast("string").alias("region"),
+        F.when(k % 8 == 0, F.array(F.lit("olx"))).otherwise(F.array().cast("array<string>")).alias("sources"),
+    )
+    return c.select(k.alias("id"), filters.alias("filters"), (k % 11 > 0).alias("is_active"))
+
+
+@query("""WITH l AS (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'olx' WHEN 1 THEN 'auto_ria' END AS source, CASE p_partkey % 4 WHEN 0 THEN 'petrol' WHEN 1 THEN 'gas' WHEN 2 THEN 'diesel' END AS fuel FROM part WHERE p_partkey % 13 > 0),
+    s AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 11 > 0)
+    SELECT k AS search_id, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM s JOIN l
+    ON (k % 4 = 3 OR p_brand ILIKE '%rand#' || (k % 5 + 1) || CASE WHEN k % 3 = 0 THEN '_' ELSE '' END || '%') AND (k % 7 > 0 OR p_type ILIKE '%s%')
+    AND (k % 6 = 0 OR k % 50 = 0 OR p_size >= k % 50) AND (k % 6 <= 1 OR p_size <= k % 50 + 3 + k % 5) AND (k % 25 = 0 OR p_retailprice >= 900 + k % 15) AND (k % 25 <= 1 OR p_retailprice <= 901 + k % 15 + k % 3)
+    AND (k % 9 > 0 OR fuel IN ('petrol', 'gas')) AND (k % 8 > 0 OR source = 'olx') GROUP BY 1""")
+def saved_search_matches(spark, d):
+    """A saved search of every customer against all listings that are no duplicates."""
+    k = F.col("id")
+    rows = listings(spark, d).withColumns({
+        "source": F.when(k % 3 == 0, "olx").when(k % 3 == 1, "auto_ria"), "fuel": F.when(k % 4 == 0, "petrol").when(k % 4 == 1, "gas").when(k % 4 == 2, "diesel"),
+        "transmission": F.lit(None).cast("string"), "is_duplicate": k % 13 == 0,
+    })
+    return match_all_searches(_asked(spark, d), rows).groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.min("listing_id").alias("first"), F.max("listing_id").alias("last"))
