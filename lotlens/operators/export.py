@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlens.functions.scalars import csv_cell, label, xml_text
+from lotlens.sources.commits import commit, commit_numbers, committed, forget
 from lotlens.sources.constants import EXPORT_COLUMNS, EXPORT_NUMBERS, EXPORT_SHEET, RISK_LABELS
 
 
@@ -66,15 +67,6 @@ def write_spreadsheet(df: DataFrame, path: str, order: list[Column]) -> bool:
     return True
 
 
-def _commits(spark: SparkSession, path: str):
-    """(Hadoop's paths, the file system, the folder of commits, the numbers there so far)."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(f"{path}/_commits")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
-    return hadoop, fs, folder, sorted(int(n) for n in names if n.isdigit())
-
-
 def commit_tables(tables: dict[str, DataFrame], path: str) -> int:
     """Write a new state of one or more tables and make it the current one, all at once; returns the commit's number.
 
@@ -83,25 +75,21 @@ def commit_tables(tables: dict[str, DataFrame], path: str) -> int:
     was, and of two writers at once the second fails.
     """
     spark = next(iter(tables.values())).sparkSession
-    hadoop, fs, folder, before = _commits(spark, path)
-    version, number = f"v-{uuid.uuid4().hex}", (before[-1] if before else 0) + 1
+    before = commit_numbers(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{path}/{version}/{name}")
-    fs.mkdirs(folder)
-    fresh, place = hadoop.Path(folder, f"_{version}"), hadoop.Path(folder, str(number))
-    out = fs.create(fresh, True)
-    out.write(version.encode())
-    out.close()
-    if fs.exists(place) or not fs.rename(fresh, place):
-        raise RuntimeError(f"{path} has a commit {number} already: another writer was first")
-    return number
-
-
-def current_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of the last version that ``commit_tables`` committed."""
-    last = _commits(spark, path)[-1][-1]
-    version = spark.read.format("binaryFile").load(f"{path}/_commits/{last}").select(F.col("content").cast("string")).first()[0]
-    return spark.read.parquet(f"{path}/{version}/{name}")
+    return commit(spark, path, version, before[-1] if before else 0)
+
+
+def current_table(spark: SparkSession, path: str, name: str, number: int | None = None) -> DataFrame:
+    """A table as of a commit of ``commit_tables``, by default the last; an older one stays as it was while new ones land."""
+    return spark.read.parquet(f"{path}/{committed(spark, path, number)}/{name}")
+
+
+def forget_tables(spark: SparkSession, path: str, keep: int = 1, minutes: float = 60) -> list[str]:
+    """Delete all but the last ``keep`` commits with their versions, and what failed writers left; versions younger than so many minutes stay, as their writer may be about to commit."""
+    return forget(spark, path, keep, lambda text: {text}, minutes=minutes)
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:

@@ -5,7 +5,9 @@ Listings stand on ``part`` and ``orders``, users on ``customer``, notifications
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +19,15 @@ from lotlens.operators import keyed_state as K
 from lotlens.operators import metrics as M
 from lotlens.operators import mutations as U
 from lotlens.operators import search as Q
+from lotlens.operators.compaction import apply_batch, kv_live
 from lotlens.operators.export import csv_lines, xml_rows
-from lotlens.operators.paging import placed
+from lotlens.operators.paging import placed, sorted_page, write_sorted
 from lotlens.operators.saved_searches import match_all_searches
+from lotlens.operators.text_index import keyword_hits, search_text, write_text_index
 from lotlens.sources import constants as C
 from lotlens.sources.constants import table
+from lotlens.sources.shared import shared_dir
+from lotlens.streaming.keyed import entries, keyed_changes, start
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -775,3 +781,80 @@ def saved_search_matches(spark, d):
         "transmission": F.lit(None).cast("string"), "is_duplicate": k % 13 == 0,
     })
     return match_all_searches(_asked(spark, d), rows).groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.min("listing_id").alias("first"), F.max("listing_id").alias("last"))
+
+
+# --- keyed state over batches and streams, far pages, text indexes ---
+
+
+def _week_slices(log: DataFrame) -> list[DataFrame]:
+    """A log in four slices of time."""
+    cuts = ["1970-01-01", "2024-01-08", "2024-01-16", "2024-01-24", "2100-01-01"]
+    at = lambda c: F.lit(c).cast("timestamp_ntz")
+    return [log.where((F.col("ts") >= at(a)) & (F.col("ts") < at(b))) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+@query(ORACLES["ttl_live_keys"])
+def kv_compacted(spark, d):
+    """The log as four batches, not in order and one of them twice, merged into a map in buckets."""
+    path = f"{shared_dir(spark)}/kv-{uuid.uuid4().hex}"
+    first, second, third, fourth = _week_slices(_log(spark, d))
+    for batch in (third, first, fourth, second, first):
+        apply_batch(batch, path, buckets=16)
+    return kv_live(spark, path, EPOCH + 15.5 * 86400).select("key", "value")
+
+
+@query(ORACLES["ttl_live_keys"])
+def kv_streamed(spark, d):
+    """The log as a stream of four files, stopped and started again on its checkpoint between the second and the third; its state, read as a table."""
+    path, log = f"{shared_dir(spark)}/kv-stream-{uuid.uuid4().hex}", _log(spark, d)
+    for i, part in enumerate(_week_slices(log)):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        if i % 2:
+            stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+            start(keyed_changes(stream), f"{path}/changes", f"{path}/checkpoint").awaitTermination()
+    return entries(spark, f"{path}/checkpoint", EPOCH + 15.5 * 86400).select("key", "value")
+
+
+@query("""WITH l AS (SELECT *, epoch(ts) AS sec, count(*) FILTER (event_type = 'signup') OVER w AS token FROM events WHERE event_type IN ('signup', 'click') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    u AS (SELECT *, row_number() OVER (PARTITION BY user_id, token, event_type ORDER BY ts, event_id) AS n FROM l),
+    s AS (SELECT user_id, token, sec AS set_at, event_id AS set_by FROM u WHERE event_type = 'signup')
+    SELECT event_id, coalesce(n = 1 AND sec < set_at + 86400, false) AS served, CASE WHEN n = 1 AND sec < set_at + 86400 THEN set_by END AS set_by FROM u LEFT JOIN s USING (user_id, token) WHERE event_type = 'click'""")
+def token_uses(spark, d):
+    log = events(spark, d).where("event_type IN ('signup', 'click')").withColumns({"at": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "op": F.when(F.col("event_type") == "signup", "set").otherwise("consume")})
+    return K.token_uses(log, "user_id", ["ts", "event_id"], "at", "op", "event_id", 86400).select("event_id", "served", "set_by")
+
+
+@query("SELECT (n - 1) // 50 + 1 AS page, count(*) AS on_page, arg_min(event_id, n) AS first, arg_max(event_id, n) AS last FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS n FROM events) GROUP BY 1")
+def pages_newest_first(spark, d):
+    """What stands on every page of all events, newest first."""
+    at = placed(events(spark, d).select("event_id", "ts"), [F.desc("ts"), F.asc("event_id")])
+    paged = at.withColumn("page", F.floor((F.col("place") - 1) / 50))
+    return paged.groupBy((F.col("page") + 1).alias("page")).agg(F.count(F.lit(1)).alias("on_page"), F.min_by("event_id", "place").alias("first"), F.max_by("event_id", "place").alias("last"))
+
+
+@query("SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id LIMIT 20 OFFSET 180")
+def far_page(spark, d):
+    """The tenth page of what is stored sorted: only the ranges that it lies in are opened."""
+    path = f"{shared_dir(spark)}/sorted-{uuid.uuid4().hex}"
+    write_sorted(events(spark, d).select("event_id", "ts", "user_id"), [F.desc("ts"), F.asc("event_id")], path)
+    return sorted_page(spark, path, 10, 20)
+
+
+SOUGHT = ("ción t", "th%tion_", "ER", "benchm_rk%the")
+
+
+@query(" UNION ALL ".join(f"SELECT '{s}' AS sought, doc_id FROM documents WHERE text ILIKE '%{s}%' OR source ILIKE '%{s}%'" for s in SOUGHT))
+def indexed_substrings(spark, d):
+    """Texts and sources that contain some patterns, through a posting table of their grams."""
+    path = f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}"
+    write_text_index(table(spark, d, "documents").select("doc_id", "text", "source"), ["text", "source"], path, "doc_id", blocks=64)
+    return reduce(DataFrame.unionByName, [search_text(spark, path, ["text", "source"], s).select(F.lit(s).alias("sought"), "doc_id") for s in SOUGHT])
+
+
+@query("""WITH k AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE length(w) >= 7)
+    SELECT doc_id, count(*) AS hits, min(w) AS first, max(w) AS last FROM documents JOIN k ON contains(lower(text), w) GROUP BY 1""")
+def keywords_in_documents(spark, d):
+    """Which long words of the benchmark occur in which documents, inside of words too."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("keyword")).where(F.length("keyword") >= 7)
+    out = keyword_hits(table(spark, d, "documents").select("doc_id", "text"), "text", words).where(F.size("hits") > 0)
+    return out.select("doc_id", F.size("hits").cast("long").alias("hits"), F.array_min("hits").alias("first"), F.array_max("hits").alias("last"))
