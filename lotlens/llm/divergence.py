@@ -55,20 +55,22 @@ def source_divergence(docs: DataFrame, keep: int = KEEP, listed: int = LISTED) -
     Repeated rows count each time, identifiers are not read. Other columns than lang, source and text are ignored, whatever their
     names. An empty table gives an empty result.
     """
-    counts = materialise(term_counts(docs), "terms")
-    kept = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= keep).drop("docs")
-    kept = materialise(kept, "vocabulary")
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
-    totals = counts.join(kept, ["lang", "term"]).groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    of_lang = Window.partitionBy("lang", "term")  # a row for each source
+    counts = term_counts(docs).withColumns({"lang_n": F.sum("n").over(of_lang), "lang_docs": F.sum("docs").over(of_lang)})
+    counts = materialise(counts.where((F.col("lang_docs") >= keep) | F.col("term").isNull()).drop("docs", "lang_docs"), "terms")
+    kept = counts.where("term IS NOT NULL")
+    vocabulary = kept.groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n"))
+    sizes = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
+    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = counts.where("term IS NULL").select("lang", "source").join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["total", "terms", "lang_total"])
 
     # the empty term stands for the language itself: it brings each two sources together where no term is kept
-    vocabulary = kept.unionByName(groups.select("lang").distinct().select("lang", F.lit("").alias("term"), F.lit(0).cast("long").alias("lang_n")))
+    vocabulary = vocabulary.unionByName(groups.select("lang").distinct().select("lang", F.lit("").alias("term"), F.lit(0).cast("long").alias("lang_n")))
     part = F.pmod(F.xxhash64("term"), F.lit(SPREAD)).cast("int")
     dealt = groups.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     cells = vocabulary.withColumn("__part", part).join(dealt, ["lang", "__part"]).drop("__part")
     real = F.col("term") != ""
-    dense = cells.join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").fillna(0, ["n"]).select(
+    dense = cells.join(kept.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").fillna(0, ["n"]).select(
         "lang", "source", "term", "n",
         F.when(real, share(F.col("n"), F.col("total"), F.col("terms"))).otherwise(F.lit(0)).alias("p"),
         F.when(real, share(F.col("lang_n"), F.col("lang_total"), F.col("terms"))).otherwise(F.lit(0)).alias("q"),
