@@ -78,9 +78,34 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, half_up(part / whole * 100)).otherwise(F.lit(0)).cast("bigint")
 
 
+def round_exact(x: Column, digits: int = 0) -> Column:
+    """A double rounded on its exact binary value, exact halves to the even digit: 2.675 is below the half and gives 2.67, 0.125 gives 0.12.
+
+    The double is a whole number m of steps of 2 ** -k; m * 10 ** digits is divided by 2 ** k in whole decimals, so nothing is lost on the
+    way. Null, NaN, infinities and doubles without a fraction stay as they are. digits: 0 to 10.
+    """
+    if not 0 <= digits <= 10:
+        raise ValueError("digits must be 0 to 10")
+    whole = "decimal(38,0)"
+    size = F.abs(x)
+    k = F.lit(53) - F.floor(F.log2(size)).cast("int")
+    m = (size * F.pow(F.lit(2.0), k)).cast("bigint").cast(whole)
+    power = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n).cast("decimal(19,0)")
+    half = F.floor(k / 2).cast("int")
+    steps = (power(half) * power(k - half)).cast(whole)
+    parts = (m * F.lit(10**digits).cast("decimal(11,0)")).cast(whole)
+    rest = (parts % steps).cast(whole)
+    down = ((parts - rest) / steps).cast(whole)
+    twice = (rest * F.lit(2).cast("decimal(1,0)")).cast(whole)
+    up = (twice > steps) | ((twice == steps) & (down % 2 == 1))
+    value = F.concat((down + F.when(up, 1).otherwise(0)).cast(whole).cast("string"), F.lit(f"E-{digits}")).cast("double")
+    tiny = size < F.lit(10.0 ** -(digits + 1))
+    return F.when(F.isnan(x) | (size >= F.lit(2.0**52)) | (size == 0), x).when(tiny, F.lit(0.0) * F.signum(x)).otherwise(value * F.signum(x))
+
+
 def guarded_ratio(part: Column, count: Column, digits: int = 2) -> Column:
-    """part / count, a count of 0 standing for 1."""
-    return F.round(part / F.greatest(count, F.lit(1)), digits)
+    """part / count, a count of 0 standing for 1, rounded on its exact value."""
+    return round_exact((part / F.greatest(count, F.lit(1))).cast("double"), digits)
 
 
 def pages(total: Column, per_page: int) -> Column:
@@ -161,3 +186,15 @@ def six_cells(code: Column) -> Column:
 
 def masked_email(email: Column, placeholder: str) -> Column:
     return F.when(F.endswith(email, F.lit(placeholder)), "").otherwise(email)
+
+
+def avatar_path(connected: Column, picture: Column, path: str = "/auth/me/avatar") -> Column:
+    """Where a user's picture is served: null unless the account is connected and has one."""
+    return F.when(F.coalesce(connected, F.lit(False)) & (F.coalesce(picture, F.lit("")) != ""), path)
+
+
+def json_get(text: Column, path: list[str | int], kind: str, default: Column | None = None) -> Column:
+    """A nested value of a JSON text by names and positions, as ``kind``; ``default`` where a step is missing or null, or text or type don't fit."""
+    where = "$" + "".join(f"[{p}]" if isinstance(p, int) else "['" + p.replace("'", "\\'") + "']" for p in path)
+    found = F.try_variant_get(F.try_parse_json(text), where, kind)
+    return found if default is None else F.coalesce(found, default)

@@ -36,37 +36,134 @@ def xml_rows(df: DataFrame) -> Column:
     return F.concat(F.lit("<Row>"), *parts, F.lit("</Row>"))
 
 
+def _csv_head() -> str:
+    return "\ufeff" + ",".join(h for _, h in EXPORT_COLUMNS)
+
+
+def _sheet_head() -> str:
+    spaces = {"": "spreadsheet", ":o": "office", ":x": "excel", ":ss": "spreadsheet"}
+    attributes = " ".join(f'xmlns{p}="urn:schemas-microsoft-com:office:{n}"' for p, n in spaces.items())
+    header = "".join(f'<Cell><Data ss:Type="String">{h}</Data></Cell>' for _, h in EXPORT_COLUMNS)
+    return f'<?xml version="1.0"?>\n<?mso-application progid="Excel.Sheet"?>\n<Workbook {attributes}>\n<Worksheet ss:Name="{EXPORT_SHEET}"><Table>\n<Row>{header}</Row>\n'
+
+
+SHEET_FOOT = "</Table></Worksheet>\n</Workbook>\n"
+
+
 def write_csv(df: DataFrame, path: str, order: list[Column]) -> bool:
-    """One CSV file for a spreadsheet: byte order mark, CRLF between rows, none at the end. Nothing to write: False.
+    """One CSV file for a spreadsheet on the driver's disk: byte order mark, CRLF between rows, none at the end. Nothing to write: False.
 
-    Rows are formatted by Spark and streamed to the file; memory holds one partition at a time.
+    Rows are formatted by Spark and streamed to the file; memory holds one partition at a time. ``write_one_file`` is for large results.
     """
     lines = df.orderBy(*order).select(csv_lines(df).alias("line"))
     if lines.isEmpty():
         return False
     with open(path, "w", encoding="utf-8", newline="") as f:
-        f.write("\ufeff" + ",".join(h for _, h in EXPORT_COLUMNS))
+        f.write(_csv_head())
         for row in lines.toLocalIterator():
             f.write("\r\n" + row["line"])
     return True
 
 
 def write_spreadsheet(df: DataFrame, path: str, order: list[Column]) -> bool:
-    """One workbook in the 2003 XML format. Nothing to write: False."""
+    """One workbook in the 2003 XML format on the driver's disk. Nothing to write: False."""
     rows = df.orderBy(*order).select(xml_rows(df).alias("row"))
     if rows.isEmpty():
         return False
-    spaces = {"": "spreadsheet", ":o": "office", ":x": "excel", ":ss": "spreadsheet"}
-    attributes = " ".join(f'xmlns{p}="urn:schemas-microsoft-com:office:{n}"' for p, n in spaces.items())
-    header = "".join(f'<Cell><Data ss:Type="String">{h}</Data></Cell>' for _, h in EXPORT_COLUMNS)
     with open(path, "w", encoding="utf-8") as f:
-        f.write(f'<?xml version="1.0"?>\n<?mso-application progid="Excel.Sheet"?>\n<Workbook {attributes}>\n<Worksheet ss:Name="{EXPORT_SHEET}"><Table>\n<Row>{header}</Row>\n')
+        f.write(_sheet_head())
         for row in rows.toLocalIterator():
             f.write(row["row"] + "\n")
-        f.write("</Table></Worksheet>\n</Workbook>\n")
+        f.write(SHEET_FOOT)
     return True
 
 
+def write_one_file(df: DataFrame, path: str, order: list[Column], kind: str = "csv") -> bool:
+    """The bytes of ``write_csv`` (or, kind ``xml``, ``write_spreadsheet``) as one file at a path that driver and executors share, however large. Nothing to write: False.
+
+    Executors write the ranges of the sort as files beside the target; their sizes say where each one's bytes belong. File systems that
+    can join files by name do so, on a shared disk executors copy their range to its place in the target; elsewhere the driver's
+    JVM copies the bytes, file after file. The target appears under its name once it is whole, in place of what was there.
+    """
+    spark = df.sparkSession
+    end, line = ("\r\n", csv_lines(df)) if kind == "csv" else ("\n", xml_rows(df))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    aside = f"{path}.{uuid.uuid4().hex}"
+    df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(line.alias("line")).write.option("lineSep", end).text(f"{aside}/rows")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, folder = hadoop.Path(path), hadoop.Path(aside)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        parts = sorted((f.getPath().toString(), f.getLen()) for f in fs.listStatus(hadoop.Path(f"{aside}/rows")) if f.getPath().getName().startswith("part-") and f.getLen())
+        if not parts:
+            return False
+        head, foot = (_csv_head() + end, "") if kind == "csv" else (_sheet_head(), SHEET_FOOT)
+        if kind == "csv":  # no line break after the last row
+            parts[-1] = (parts[-1][0], parts[-1][1] - len(end))
+        whole = hadoop.Path(f"{aside}/whole")
+        _joined(spark, fs, parts, head.encode(), foot.encode(), whole)
+        fs.delete(target, False)
+        if not fs.rename(whole, target):
+            raise RuntimeError(f"{path} cannot be written")
+        return True
+    finally:
+        fs.delete(folder, True)
+
+
+def _joined(spark: SparkSession, fs, parts: list[tuple[str, int]], head: bytes, foot: bytes, whole) -> None:
+    """Make ``whole`` of head, the first so many bytes of each part, and foot."""
+    if fs.getScheme() == "file":
+        at, places = len(head), []
+        for name, size in parts:
+            places.append((name, at, size))
+            at += size
+        out = fs.create(whole, True)
+        out.write(head)
+        out.close()
+        name = whole.toUri().getPath()
+        rows = spark.createDataFrame(places, "part string, at long, size long").repartition(len(places), "part")
+        rows.mapInPandas(lambda frames: _copied(frames, name), "size long").agg(F.sum("size")).collect()
+        with open(name, "r+b") as f:
+            f.seek(at)
+            f.write(foot)
+        return
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p, _ in parts]
+    sizes = [fs.getFileStatus(p).getLen() for p in paths]
+    joins = fs.getScheme() == "hdfs"
+    copied = list(zip(paths, [s for _, s in parts], strict=True))[-1:] if joins and sizes[-1] != parts[-1][1] else [] if joins else list(zip(paths, [s for _, s in parts], strict=True))
+    out = fs.create(whole, True)
+    out.write(head)
+    if joins:
+        out.close()
+        array = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(paths) - len(copied))
+        for i, p in enumerate(paths[: len(array)]):
+            array[i] = p
+        if len(array):
+            fs.concat(whole, array)
+        out = fs.append(whole)
+    for p, size in copied:
+        source = fs.open(p)
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, size, False)
+        source.close()
+    out.write(foot)
+    out.close()
+
+
+def _copied(frames, name: str):
+    """Copy each part's bytes to their place in a file; done twice it gives the same file."""
+    import pandas as pd
+
+    for frame in frames:
+        for part, at, size in frame.itertuples(index=False):
+            with open(part.removeprefix("file:"), "rb") as source, open(name, "r+b") as f:
+                f.seek(at)
+                left = size
+                while left and (block := source.read(min(left, 1 << 20))):
+                    f.write(block)
+                    left -= len(block)
+        yield pd.DataFrame({"size": frame["size"]})
+
+
 def commit_tables(tables: dict[str, DataFrame], path: str) -> int:
     """Write a new state of one or more tables and make it the current one, all at once; returns the commit's number.
 

@@ -19,11 +19,11 @@ def with_counts(rows: DataFrame, facts: DataFrame, key: str, fact_key: str, name
 
 
 def with_dimension(df: DataFrame, code: str, dim: DataFrame, dim_key: str, columns: list[str], default: str) -> DataFrame:
-    """``df`` with a small dimension's columns; unknown and null codes get the default row's."""
+    """``df`` with a small dimension's columns; unknown and null codes get the default row's, or nulls where the dimension lacks that row."""
     # The dimension is a constant relation of a few rows; Spark broadcasts it by its size. The default is one row of it.
     known = dim.select(F.col(dim_key).alias("__k"), F.struct(*columns).alias("__d"))
-    other = dim.where(F.col(dim_key) == default).limit(1).select(F.struct(*columns).alias("__o"))
-    out = df.join(known, df[code] == F.col("__k"), "left").crossJoin(other).withColumn("__d", F.coalesce("__d", "__o"))
+    other = dim.where(F.col(dim_key) == default).limit(1).select(F.lit(1).alias("__one"), F.struct(*columns).alias("__o"))
+    out = df.withColumn("__one", F.lit(1)).join(known, df[code] == F.col("__k"), "left").join(other, "__one", "left").withColumn("__d", F.coalesce("__d", "__o"))
     return out.select(*df.columns, *[F.col(f"__d.{c}").alias(c) for c in columns])
 
 

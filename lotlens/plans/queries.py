@@ -22,11 +22,13 @@ from lotlens.operators import search as Q
 from lotlens.operators.compaction import apply_batch, kv_live
 from lotlens.operators.export import csv_lines, xml_rows
 from lotlens.operators.paging import placed, sorted_page, write_sorted
+from lotlens.operators.rollup import activity, add_batch, daily_sums
 from lotlens.operators.saved_searches import match_all_searches
 from lotlens.operators.text_index import keyword_hits, search_text, write_text_index
 from lotlens.sources import constants as C
 from lotlens.sources.constants import table
 from lotlens.sources.shared import shared_dir
+from lotlens.streaming.delivery import listing_card
 from lotlens.streaming.keyed import entries, keyed_changes, start
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,7 +381,7 @@ def dashboard_admin(spark, d):
 
 
 @query(f"""WITH g AS (SELECT p.id, count(c_custkey) AS users, count(c_custkey) * p.price_uah AS rev FROM {PLAN_SQL} LEFT JOIN customer ON c_mktsegment = p.id GROUP BY p.id, p.price_uah)
-    SELECT sum(rev)::BIGINT AS mrr, (sum(rev) * 12)::BIGINT AS arr, (sum(users) FILTER (id <> 'AUTOMOBILE'))::BIGINT AS paid_users, sum(users)::BIGINT AS total_users, round(sum(rev)::DOUBLE / greatest(sum(users), 1), 2) AS arpu FROM g""")
+    SELECT sum(rev)::BIGINT AS mrr, (sum(rev) * 12)::BIGINT AS arr, (sum(users) FILTER (id <> 'AUTOMOBILE'))::BIGINT AS paid_users, sum(users)::BIGINT AS total_users, printf('%.2f', sum(rev)::DOUBLE / greatest(sum(users), 1))::DOUBLE AS arpu FROM g""")
 def revenue_summary(spark, d):
     return M.revenue_summary(M.revenue_by_plan(users(spark, d), plan_prices(spark)), free="AUTOMOBILE")
 
@@ -608,6 +610,19 @@ def xml_export_rows(spark, d):
     return rows.select("id", xml_rows(rows).alias("row"))
 
 
+@query("""SELECT event_id, coalesce((props::JSON ->> '$.k')::BIGINT, -1) AS k, coalesce((json_object('result', json_object('photos', json_array(json_object('file', event_id)))) ->> CASE event_type WHEN 'view' THEN '$.result.photos[0].file' ELSE '$.result.none' END)::BIGINT, 0) AS nested,
+    CASE WHEN event_type = 'view' AND user_id % 2 = 0 THEN '/auth/me/avatar' END AS avatar FROM events""")
+def json_nested(spark, d):
+    """Nested values with defaults, and an address that depends on two fields."""
+    photo = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("event_id").alias("file"))).alias("photos")).alias("result")))
+    seen = F.col("event_type") == "view"
+    held = F.when(seen, S.json_get(photo, ["result", "photos", 0, "file"], "bigint")).otherwise(S.json_get(photo, ["result", "none"], "bigint"))
+    return events(spark, d).select(
+        "event_id", S.json_get(F.col("props"), ["k"], "bigint", F.lit(-1).cast("bigint")).alias("k"), F.coalesce(held, F.lit(0).cast("bigint")).alias("nested"),
+        S.avatar_path(seen, F.when(F.col("user_id") % 2 == 0, "p").otherwise("")).alias("avatar"),
+    )
+
+
 @query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
 def json_get(spark, d):
     return events(spark, d).select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
@@ -667,7 +682,7 @@ def date_functions(spark, d):
     return events(spark, d).select("event_id", F.date_format(ts, "dd.MM").alias("label"), F.date_format(F.date_trunc("day", ts), "yyyy-MM-dd").alias("day"), F.date_format(ts + F.expr("INTERVAL 30 DAYS"), "yyyy-MM-dd").alias("expires"), S.relative_age(ts, F.lit("2024-02-02")).alias("age"))
 
 
-@query("SELECT c_custkey AS id, floor(c_acctbal + 0.5)::BIGINT AS half_up, ceil(c_acctbal)::BIGINT AS up, floor(c_acctbal)::BIGINT AS down, greatest(c_acctbal, 0) AS floored, round(c_acctbal / greatest(c_nationkey, 1), 1) AS ratio FROM customer")
+@query("SELECT c_custkey AS id, floor(c_acctbal + 0.5)::BIGINT AS half_up, ceil(c_acctbal)::BIGINT AS up, floor(c_acctbal)::BIGINT AS down, greatest(c_acctbal, 0) AS floored, printf('%.1f', c_acctbal / greatest(c_nationkey, 1))::DOUBLE AS ratio FROM customer")
 def math_functions(spark, d):
     b = F.col("balance")
     return users(spark, d).select("id", S.half_up(b).cast("bigint").alias("half_up"), F.ceil(b).cast("bigint").alias("up"), F.floor(b).cast("bigint").alias("down"), F.greatest(b, F.lit(0.0)).alias("floored"), S.guarded_ratio(b, F.col("nation"), 1).alias("ratio"))
@@ -704,24 +719,47 @@ def _values(rows, names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({names})"
 
 
-@query(f"SELECT * FROM {_values([(*p[:7], '|'.join(p[7])) for p in C.PLANS], 'id, name, searches_limit, requests_month, requests_hour, price_uah, description, features')}")
+PLAN_IDS = [p[0] for p in C.PLANS]
+REGIONS = list(C.REGION_KEYWORDS)
+
+
+def _member(values: list[str], key: str):
+    """A member of a list by a key, in turn."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+
+
+@query(f"""SELECT c_custkey, t.* FROM customer JOIN {_values([(i, *p[:7], '|'.join(p[7])) for i, p in enumerate(C.PLANS)], 'n, id, name, searches_limit, requests_month, requests_hour, price_uah, description, features')} ON c_custkey % {len(C.PLANS)} = n""".replace("t.*", "t.* EXCLUDE (n)"))
 def plan_catalogue(spark, d):
-    return C.plans(spark).withColumn("features", F.array_join("features", "|"))
+    """Every customer with all that their plan says."""
+    plans = C.plans(spark).withColumn("features", F.array_join("features", "|"))
+    return table(spark, d, "customer").select("c_custkey", _member(PLAN_IDS, "c_custkey").alias("id")).join(plans, "id")
 
 
-@query(f"SELECT id, title, price, 'UAH' AS currency, 'private' AS seller, 0 AS history FROM {_values([(r[0], r[2], r[6]) for r in C.DEMO_LISTINGS], 'id, title, price')}")
+@query(f"""SELECT c_custkey AS user_id, id, title, price, 'UAH' AS currency, 'private' AS seller, 0 AS history FROM customer CROSS JOIN {_values([(r[0], r[2], r[6]) for r in C.DEMO_LISTINGS], 'id, title, price')} WHERE price >= 400000 + 1000 * (c_custkey % 300)""")
 def demo_rows(spark, d):
-    return C.demo_listings(spark).select(F.col("external_id").alias("id"), "title", "price", "currency", F.col("seller_type").alias("seller"), F.size("price_history").alias("history"))
+    """Each customer's demo listings, from the price that they ask for."""
+    demo = C.demo_listings(spark).select(F.col("external_id").alias("id"), "title", "price", "currency", F.col("seller_type").alias("seller"), F.size("price_history").alias("history"))
+    listed = demo.agg(F.collect_list(F.struct(*demo.columns)).alias("listed"))  # three rows
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (400_000 + 1000 * (F.col("c_custkey") % 300)).alias("least"))
+    return asked.join(listed).select("user_id", "least", F.inline("listed")).where("price >= least").drop("least")
 
 
-@query(f'SELECT id, title, price, time, "desc" FROM {_values([(r[0], r[3], r[6], r[12], r[13]) for r in C.CATALOG], "id, title, price, time, " + chr(34) + "desc" + chr(34))} WHERE price <= 700000')
+@query(f"""WITH t AS (SELECT * FROM {_values([(int(r[0]), r[3], r[6]) for r in C.CATALOG], 'id, title, price')})
+    SELECT c_custkey, count(*) AS n, arg_min(title, (price, id)) AS cheapest, arg_max(title, (price, -id)) AS dearest FROM customer JOIN t ON price <= 390000 + 20000 * (c_custkey % 40) GROUP BY 1""")
 def catalogue_rows(spark, d):
-    return C.catalog(spark).where(Q.CatalogFilter(price_to=700000).predicate()).select("id", "title", "price", "time", "desc")
+    """What each customer can afford in the catalogue."""
+    rows = C.catalog(spark).where(Q.CatalogFilter().predicate()).select(F.col("id").cast("int").alias("id"), "title", "price")
+    listed = rows.agg(F.collect_list(F.struct("price", "id", "title")).alias("listed"))  # fifteen rows
+    asked = table(spark, d, "customer").select("c_custkey", (390_000 + 20_000 * (F.col("c_custkey") % 40)).alias("most"))
+    found = asked.join(listed).select("c_custkey", "most", F.inline("listed")).where("price <= most")
+    return found.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.min_by("title", F.struct("price", "id")).alias("cheapest"), F.max_by("title", F.struct("price", -F.col("id"))).alias("dearest"))
 
 
-@query(f"SELECT region, keywords FROM {_values([(r, '|'.join(k)) for r, k in C.REGION_KEYWORDS.items()], 'region, keywords')}")
+@query(f"SELECT c_custkey, region, keywords FROM customer JOIN {_values([(i, r, '|'.join(k)) for i, (r, k) in enumerate(C.REGION_KEYWORDS.items())], 'i, region, keywords')} ON c_custkey % {len(C.REGION_KEYWORDS)} = i")
 def region_catalogue(spark, d):
-    return C.region_keywords(spark).withColumn("keywords", F.array_join("keywords", "|"))
+    """Every customer's region with the keywords that it is found by."""
+    keywords = C.region_keywords(spark).withColumn("keywords", F.array_join("keywords", "|"))
+    return table(spark, d, "customer").select("c_custkey", _member(REGIONS, "c_custkey").alias("region")).join(keywords, "region")
 
 
 @query("SELECT brand, coalesce(string_agg(model, '|' ORDER BY model), '') AS models FROM (SELECT DISTINCT p_brand AS brand, p_type AS model FROM part UNION ALL SELECT 'no such brand', NULL) GROUP BY brand")
@@ -858,3 +896,29 @@ def keywords_in_documents(spark, d):
     words = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("keyword")).where(F.length("keyword") >= 7)
     out = keyword_hits(table(spark, d, "documents").select("doc_id", "text"), "text", words).where(F.size("hits") > 0)
     return out.select("doc_id", F.size("hits").cast("long").alias("hits"), F.array_min("hits").alias("first"), F.array_max("hits").alias("last"))
+
+
+@query(ORACLES["dashboard_user"])
+def dashboard_from_batches(spark, d):
+    """The user dashboard from daily sums to which five batches were added, two of them twice."""
+    path, facts = f"{shared_dir(spark)}/sums-{uuid.uuid4().hex}", _notices(spark, d)
+    measures = {"total": F.lit(1), "unread": F.when(~F.col("is_read"), 1)}
+    for batch in (3, 0, 4, 3, 2, 1, 0):
+        add_batch(facts.where(F.pmod(F.xxhash64("user_id", "created_at"), F.lit(5)) == batch), path, batch, ["user_id"], "created_at", measures, merge=3)
+    return activity(daily_sums(spark, path, list(measures)), AS_OF)
+
+
+@query(r"""SELECT o_orderkey AS id, '🚗 <b>' || o_orderpriority || '</b>' || chr(10) || '📅 ' || year(o_orderdate) || ' · 🛣 ' || CASE WHEN o_custkey >= 1000 THEN (o_custkey // 1000) || ',' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') ELSE o_custkey::VARCHAR END || ' км · 📍 ' || o_orderstatus
+    || chr(10) || '💰 <b>' || replace(format('{:,}', o_orderkey), ',', ' ') || ' UAH</b>' || chr(10) || '🔍 Запит: «' || o_custkey || '»' || chr(10) || '📡 ' || CASE o_orderstatus WHEN 'O' THEN 'OLX' ELSE o_orderstatus END AS text FROM orders""")
+def message_cards(spark, d):
+    """Every order as a listing's message card."""
+    o = offers(spark, d)
+    card = listing_card(F.col("fuel"), F.year("found_at"), F.col("user_id"), F.col("id"), F.col("source"), F.col("user_id"), S.label(F.col("source"), {"O": "OLX"}))
+    return o.select("id", card.alias("text"))
+
+
+@query("""SELECT o_orderkey AS id, printf('%.0f', o_totalprice / 3)::DOUBLE AS units, printf('%.2f', o_totalprice / 7)::DOUBLE AS cents, printf('%.2f', (o_orderkey % 4000)::DOUBLE / 1000)::DOUBLE AS ties, printf('%.1f', (o_orderkey % 1000)::DOUBLE / 8)::DOUBLE AS eighths FROM orders""")
+def rounded_exactly(spark, d):
+    """Ratios and ties rounded on their exact binary values."""
+    k, price = F.col("id"), F.col("price")
+    return offers(spark, d).select("id", S.round_exact(price / 3).alias("units"), S.round_exact(price / 7, 2).alias("cents"), S.round_exact((k % 4000).cast("double") / 1000, 2).alias("ties"), S.round_exact((k % 1000).cast("double") / 8, 1).alias("eighths"))

@@ -211,3 +211,31 @@ def test_models_of_a_brand(spark):
     models = C.brand_models(spark, {"A": ["z", "b"], "B": []})
     asked = spark.createDataFrame([("A",), ("B",), ("C",)], "brand string")
     assert {r["brand"]: r["models"] for r in C.models_for_brand(models, asked).collect()} == {"A": ["z", "b"], "B": [], "C": []}
+
+
+def test_exact_rounding(spark):
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(2)
+    xs = [2.675, 1.005, 0.125, -0.125, 2.5, 1e-30, 0.0, -0.0, 0.005, 1e15 + 0.5, 1e300, float("inf"), None] + [rng.randrange(10**7) / 1000 for _ in range(300)] + [rng.randrange(-(10**6), 10**6) / 2 ** rng.randrange(12) for _ in range(300)] + [rng.uniform(-1, 1) * 10 ** rng.randrange(-12, 18) for _ in range(300)]
+    assert any(Fraction(x) * 1000 % 10 == 5 for x in xs if x and abs(x) < 1e9)
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for digits in (0, 2, 3, 10):
+        want = [x if x is None or x in (float("inf"),) else round(x, digits) for x in xs]
+        assert [r[0] for r in df.select(S.round_exact(F.col("x"), digits)).collect()] == want
+
+
+def test_defaults_of_lookups(spark):
+    from lotlens.operators.joins import with_dimension
+
+    dim = spark.createDataFrame([("lite", 3)], "id string, most int")
+    rows = spark.createDataFrame([("lite",), ("other",), (None,)], "plan string")
+    assert [tuple(r) for r in with_dimension(rows, "plan", dim, "id", ["most"], "free").collect()] == [("lite", 3), ("other", None), (None, None)]
+    both = dim.unionByName(spark.createDataFrame([("free", 1)], "id string, most int"))
+    assert sorted(r["most"] for r in with_dimension(rows, "plan", both, "id", ["most"], "free").collect()) == [1, 1, 3]
+    texts = spark.createDataFrame([('{"result": {"photos": [[{"file_id": 7}]], "a.b\'c": "x"}}',), ('{"result": null}',), ("no json",), (None,)], "t string")
+    got = texts.select(S.json_get(F.col("t"), ["result", "photos", 0, 0, "file_id"], "int", F.lit(-1)), S.json_get(F.col("t"), ["result", "a.b'c"], "string")).collect()
+    assert [tuple(r) for r in got] == [(7, "x"), (-1, None), (-1, None), (-1, None)]
+    users = spark.createDataFrame([(True, "p"), (True, ""), (False, "p"), (None, "p"), (True, None)], "c boolean, p string")
+    assert [r[0] for r in users.select(S.avatar_path(F.col("c"), F.col("p"))).collect()] == ["/auth/me/avatar", None, None, None, None]

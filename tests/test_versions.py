@@ -58,3 +58,37 @@ def test_only_touched_buckets_are_read(spark, tmp_path):
     assert V.kv_rows(spark, path).count() == 0
     V.apply_batch(batch([("z", "set", "1", None, 300, 1)]), path)
     assert V.kv_live(spark, path, 300.0).count() == 1 and len(V.forget_versions(spark, path, minutes=0)) == 3 and V.kv_live(spark, path, 300.0).count() == 1
+
+
+@pytest.mark.parametrize("kind", ["csv", "xml"])
+def test_one_file_is_what_the_driver_would_write(spark, tmp_path, kind):
+    from lotlens.sources import constants as C
+
+    more = spark.range(400).withColumnRenamed("id", "n")
+    rows = C.catalog(spark).join(more).withColumn("desc", F.when(F.col("n") % 3 == 0, F.lit('<a> "b",\r\nc')).otherwise(F.col("n").cast("string")))
+    order, own, want = [F.asc("n"), F.asc("pos")], tmp_path / f"own.{kind}", tmp_path / f"want.{kind}"
+    write = E.write_csv if kind == "csv" else E.write_spreadsheet
+    assert write(rows, str(want), order) and E.write_one_file(rows, f"file://{own}", order, kind)
+    assert own.read_bytes() == want.read_bytes() and own.stat().st_size > 100_000
+    assert E.write_one_file(rows.where("n = 7 AND pos = 3"), f"file://{own}", order, kind) and write(rows.where("n = 7 AND pos = 3"), str(want), order)
+    assert own.read_bytes() == want.read_bytes()
+    assert not E.write_one_file(rows.limit(0), f"file://{own}", order, kind) and own.read_bytes() == want.read_bytes()
+    assert {p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")} == {own.name, want.name}
+
+
+def test_one_file_where_bytes_are_copied(spark, tmp_path, monkeypatch):
+    """A file system that is no shared disk."""
+    from pyspark.sql import functions as F
+
+    class Elsewhere:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return (lambda: "store") if name == "getScheme" else getattr(self.fs, name)
+
+    joined, rows = E._joined, spark.range(300).selectExpr("id AS year", "'x,y' AS title")
+    monkeypatch.setattr(E, "_joined", lambda spark, fs, *a: joined(spark, Elsewhere(fs), *a))
+    for kind, write in (("csv", E.write_csv), ("xml", E.write_spreadsheet)):
+        assert E.write_one_file(rows, f"file://{tmp_path}/own", [F.asc("year")], kind) and write(rows, str(tmp_path / "want"), [F.asc("year")])
+        assert (tmp_path / "own").read_bytes() == (tmp_path / "want").read_bytes()
