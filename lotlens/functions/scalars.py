@@ -194,7 +194,8 @@ def avatar_path(connected: Column, picture: Column, path: str = "/auth/me/avatar
 
 
 def json_get(text: Column, path: list[str | int], kind: str, default: Column | None = None) -> Column:
-    """A nested value of a JSON text by names and positions, as ``kind``; ``default`` where a step is missing or null, or text or type don't fit."""
-    where = "$" + "".join(f"[{p}]" if isinstance(p, int) else "['" + p.replace("'", "\\'") + "']" for p in path)
+    """A nested value of a JSON text by names and positions, as ``kind``; ``default`` where a step is missing or null, or text or type don't fit. A name has one kind of quotes at most."""
+    quote = lambda p: f'["{p}"]' if "'" in p else f"['{p}']"
+    where = "$" + "".join(f"[{p}]" if isinstance(p, int) else quote(p) for p in path)
     found = F.try_variant_get(F.try_parse_json(text), where, kind)
     return found if default is None else F.coalesce(found, default)

@@ -143,7 +143,7 @@ def _joined(spark: SparkSession, fs, parts: list[tuple[str, int]], head: bytes,
         out = fs.append(whole)
     for p, size in copied:
         source = fs.open(p)
-        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, size, False)
+        spark._jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, size)
         source.close()
     out.write(foot)
     out.close()
