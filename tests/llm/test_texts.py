@@ -262,6 +262,49 @@ def test_empty_long_and_clashing_layouts(spark):
     assert chat.canonical_rows(table, "i", "n").count() == 0 and chat.canonical_records(df.limit(0), "conv_id", "record").count() == 0
 
 
+def test_the_hash_selects_the_mapping(spark):
+    rows = [(0, json.dumps({"prompt": "p", "response": "r"})), (1, json.dumps({"prompt": "p", "completion": "c", "system": "s"})), (2, json.dumps({"prompt": "p", "completion": "c", "system": {"odd": 1}}))]
+    df = spark.createDataFrame(rows, "i long, r string")
+    turns = lambda table=None: [tuple(x) for x in chat.canonical_records(df, "i", "r", table=table).orderBy("i", "turn").collect()]
+    assert turns() == [(0, 0, "user", "p"), (0, 1, "assistant", "r"), (1, 0, "system", "s"), (1, 1, "user", "p"), (1, 2, "assistant", "c")]
+    table = chat.fingerprint_table()
+    assert len(table) == sum(len(m.fingerprints()) for m in chat.MAPPINGS)
+    other = dict(table) | {chat.fingerprint({"prompt", "response"}): "prompt completion"}
+    assert turns(other)[:2] == [(0, 0, "user", "p"), (0, 1, "assistant", "")]
+    gone = {f: n for f, n in table.items() if f != chat.fingerprint({"prompt", "completion", "system"})}
+    assert {r[0] for r in turns(gone)} == {0} and {r["i"] for r in chat.unmapped_records(df, "r", table=gone).collect()} == {1, 2}
+    assert [chat.plain_turns(r, table=gone) is None for _, r in rows] == [False, True, True]
+
+
+def test_python_reads_what_the_jvm_reads(spark):
+    values = ["t", None, 5, True, 1.5, {"x": 1}, ["y"]]
+    rng, records = random.Random(4), []
+    for _ in range(300):
+        r = {k: rng.choice(values) for k in rng.sample(["prompt", "response", "completion", "system", "instruction", "input", "output", "question", "answer", "system_prompt", "z"], rng.randrange(1, 5))}
+        for name in rng.sample(["messages", "conversations", "dialog"], rng.randrange(2)):
+            r[name] = [rng.choice([rng.choice(values), {k: rng.choice(values[:5]) for k in rng.sample(["role", "content", "from", "value", "text"], rng.randrange(4))}]) for _ in range(rng.randrange(3))]
+        records.append(json.dumps(r))
+    records += ["[]", "5", "null", '{"messages": {}}', '{"messages": []}', '{"dialog": [null]}']
+    got: dict[int, list] = {}
+    for i, _, role, text in chat.canonical_records(spark.createDataFrame(list(enumerate(records)), "i long, r string"), "i", "r").orderBy("i", "turn").collect():
+        got.setdefault(i, []).append((role, text))
+    want = {i: t for i, r in enumerate(records) if (t := chat.plain_turns(r))}
+    assert got == want and len(want) > 20
+
+
+def test_records_that_the_jvm_refuses(spark):
+    """A text of 25 million characters, in a record and in a nested column, and names that are repeated."""
+    long = "lang " * 5_000_000
+    df = spark.createDataFrame([(1, json.dumps({"prompt": "p", "response": long})), (2, '{"prompt": "a", "x": 1, "x": 2, "response": "r", "prompt": "b"}'), (3, '{"x": 1, "x": 2}')], "conv_id long, record string")
+    turns = chat.canonical_records(df, "conv_id", "record")
+    digests = {r["conv_id"]: r for r in chat.conversation_digests(chat.format_turns(turns)).collect()}
+    assert set(digests) == {1, 2} and digests[1]["loss_chars"] == len(long) and digests[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert [(r["role"], r["text"]) for r in turns.where("conv_id = 2").orderBy("turn").collect()] == [("user", "b"), ("assistant", "r")]
+    assert [r["conv_id"] for r in chat.unmapped_records(df, "record").collect()] == [3]
+    nested = df.where("conv_id = 2").select("conv_id", F.lit(0).alias("n"), F.array(F.struct(F.lit("user").alias("role"), F.repeat(F.lit("lang "), 5_000_000).alias("content"))).alias("messages"))
+    assert chat.canonical_rows(nested, "conv_id", "n").select(F.length("text")).first()[0] == len(long)
+
+
 def test_template_round_trip(spark):
     rng = random.Random(8)
     nasty = ["".join(rng.choice(["\\", "<", "/", "turn", ">", "\n", "</turn>\n", '<turn role="a">\n', "n", "é"]) for _ in range(rng.randrange(12))) for _ in range(300)]
