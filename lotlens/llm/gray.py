@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 FAN = 16
+#: Queries of one step, whose runs hold at most as many pairs as the square of its block.
+QUERIES = 1 << 14
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -80,7 +82,7 @@ class GrayIndex:
             q, node, acc, seen = q[keep], child[keep], acc[keep], seen[keep]
         raise AssertionError
 
-    def tree_edges(self, radius: int | np.ndarray, block: int = 1024, label: np.ndarray | None = None, barred: np.ndarray | None = None, holds=None):
+    def tree_edges(self, radius: int | np.ndarray, block: int = 256, label: np.ndarray | None = None, barred: np.ndarray | None = None, holds=None):
         """Edges (position, position, distance) of a shortest spanning forest of all links: no link is lost, no group is paired out.
 
         label: positions with equal ones are connected already, and only links between different ones count; so all but the
@@ -103,7 +105,7 @@ class GrayIndex:
         at = 0
         while at < len(busy):
             # a block of queries whose runs hold at most so many pairs
-            cost = np.cumsum(size[run[busy[at : at + block * 16]]])
+            cost = np.cumsum(size[run[busy[at : at + QUERIES]]])
             take = max(1, int(np.searchsorted(cost, block * block, "right")))
             q = busy[at : at + take]
             e = np.column_stack(self.pairs(radius, q, run[q], asked)).astype(np.int64)
