@@ -193,7 +193,8 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", o
                     more = [pa.array([bpe.text_bytes(x.tolist()) for x in ids], pa.binary())] if decoded_col else []
                     yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), column, *more], names=schema.names)
         finally:
-            gc.enable()  # the worker goes on to other tasks
+            gc.enable()
+            load.cache_clear()  # the worker goes on to other tasks, whose memory this one's words would take
 
     return df.mapInArrow(run, schema)
 
