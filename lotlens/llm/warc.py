@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import fresh_path, ship
+from lotlens.llm.common import fresh_path, materialise, ship
 
 #: Header fields of a URL record by ARC version.
 FIELDS = {
@@ -42,6 +42,61 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+class _Stream:
+    """Bytes of a file, gzip ones (of one member or many) unpacked piece by piece."""
+
+    def __init__(self, data: bytes, piece: int = 1 << 18):
+        packed = data[:2] == b"\x1f\x8b"
+        self.data, self.piece, self.at, self.left, self.z = data if packed else b"", piece, 0, b"" if packed else data, zlib.decompressobj(31)
+        self.from_ = 0  # of what is left, unread from here on
+
+    def more(self) -> bool:
+        while True:
+            if self.z.eof:  # archives may have a gzip member for each record
+                self.at -= len(self.z.unused_data)
+                self.z = zlib.decompressobj(31)
+            if self.at >= len(self.data):
+                return False
+            part = self.data[self.at : self.at + self.piece]
+            self.at += len(part)
+            got = self.z.decompress(part)
+            if got:
+                self.left, self.from_ = self.left[self.from_ :] + got, 0
+                return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before the next mark, which is passed over; None, with nothing read, without one."""
+        seen = 0
+        while (end := self.left.find(mark, self.from_ + seen)) < 0:
+            seen = max(0, len(self.left) - self.from_ - len(mark))
+            if not self.more():
+                return None
+        out, self.from_ = self.left[self.from_ : end], end + len(mark)
+        return out
+
+    def some(self, n: int) -> bytes:
+        """The next n bytes, or all that are left."""
+        parts, have = [], 0
+        while True:
+            part = self.left[self.from_ : self.from_ + n - have]
+            parts.append(part)
+            have, self.from_ = have + len(part), self.from_ + len(part)
+            if have == n or not self.more():
+                return b"".join(parts)
+
+    def take(self, n: int) -> bytes:
+        out = self.some(n)
+        if len(out) < n:
+            raise ValueError("archive ends within a record")
+        return out
+
+
+def split_http(content: bytes) -> tuple[bytes, bytes]:
+    """(HTTP header with the empty line that ends it, what follows); lines may end in LF alone. No such line: all of it follows."""
+    end = re.search(rb"\r?\n\r?\n", content)
+    return (content[: end.end()], content[end.end() :]) if end else (b"", content)
+
+
 # --- ARC ---
 
 
@@ -67,46 +122,74 @@ def as_text(line: bytes) -> str:
         return re.sub(rb"[\x80-\xff]", lambda m: b"%%%02X" % m[0][0], line).decode()
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
-    """(header fields, content, whether the file ends early) of each record after the version block.
+#: How a header line goes on after the address: its IP and date are told by their form, as addresses and content types may hold spaces.
+_ANCHOR = r"(?P<url>.+?) (?P<ip>\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]+|-) (?P<date>\d{4,17}) (?P<type>.*?)"
+HEADER = {
+    b"1": re.compile(_ANCHOR + r" (?P<length>\d+)"),
+    b"2": re.compile(_ANCHOR + r" (?P<status>\S+) (?P<checksum>\S+) (?P<location>\S+) (?P<offset>\S+) (?P<filename>\S+) (?P<length>\d+)"),
+}
+
 
-    Header lines are split from the right, as old writers left spaces in URLs. A line that is no header, or has no length, is an error.
+def header_fields(line: str, version: bytes) -> dict[str, str] | None:
+    """The fields of a header line; where IP and date don't have their form, it is split from the right. None: no header."""
+    if m := HEADER[version].fullmatch(line):
+        return m.groupdict()
+    names = FIELDS[version]
+    parts = line.rsplit(" ", len(names) - 1)
+    return dict(zip(names, parts, strict=True)) if len(parts) == len(names) and parts[-1].isdigit() else None
+
+
+def parse_arc(data: bytes, lenient: bool = False) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """(header fields, content, whether the file ends early) of each record after the version block of an ARC file, packed by gzip or not.
+
+    A line that is no header or has no length, and a file without a version block, are errors; if lenient, a record with the one
+    field ``bad``, the line, stands for them, and reading goes on at the next line whose IP and date have their form.
     """
-    end = data.find(b"\n")
-    first = data[:end].split(b" ")
-    if end < 0 or not first[0].startswith(b"filedesc://"):
-        raise ValueError("not an ARC file: no version block")
-    about = data[end + 1 : end + 1 + int(first[-1])]
+    s = _Stream(data)
+    first = (s.until(b"\n") or b"").rstrip(b"\r")
+    told = first.split(b" ")
+    about = s.some(int(told[-1])) if first.startswith(b"filedesc://") and told[-1].isdigit() else b""
     version = about[:1]
     if version not in FIELDS:
-        raise ValueError(f"unknown ARC version {version!r}")
-    names, at = FIELDS[version], end + 1 + len(about)
-    while at < len(data):
-        if data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
+        if not lenient:
+            raise ValueError(f"unknown ARC version {version!r}" if about else "not an ARC file: no version block")
+        yield {"bad": as_text(first)}, b"", False
+        return
+    lost = False
+    while True:
+        raw = s.until(b"\n")
+        last = raw is None
+        line = as_text((s.some(1 << 16) if last else raw).rstrip(b"\r"))
+        if not line:
+            if last:
+                return
             continue
-        end = data.find(b"\n", at)
-        line = as_text(data[at : end if end >= 0 else len(data)].rstrip(b"\r"))
-        parts = line.rsplit(" ", len(names) - 1)
-        if end < 0 or len(parts) < len(names) or not parts[-1].isdigit():
-            raise ValueError(f"bad ARC header line: {line[:80]!r}")
-        head, n = dict(zip(names, parts, strict=True)), int(parts[-1])
-        content = data[end + 1 : end + 1 + n]
-        yield head, content, len(content) < n
-        at = end + 1 + n
+        head = None if last else HEADER[version].fullmatch(line) if lost else header_fields(line, version)
+        if head is None:
+            if not lenient:
+                raise ValueError(f"bad ARC header line: {line[:80]!r}")
+            if not lost:
+                yield {"bad": line}, b"", last
+            lost = True
+            if last:
+                return
+            continue
+        head, lost = head if isinstance(head, dict) else head.groupdict(), False
+        content = s.some(int(head["length"]))
+        yield head, content, len(content) < int(head["length"])
 
 
 def as_warc(head: dict[str, str], content: bytes, cut: bool) -> tuple[tuple, bytes]:
     """(fields of RECORD, payload) that stand for an ARC record.
 
     Content that starts with an HTTP status line is a response, its payload what follows the HTTP header, whose bytes are kept
-    as they are; other content is a resource of the record's content type.
+    as they are; other content is a resource of the record's content type. A bad line has type ``bad``, and the line as its address.
     """
-    http, payload = b"", content
-    if content.startswith(b"HTTP/") and (end := content.find(b"\r\n\r\n")) >= 0:
-        http, payload = content[: end + 4], content[end + 4 :]
+    if "bad" in head:
+        return (None, "bad", head["bad"], None, None, None, b"", 0, None, None, cut), b""
+    http, payload = split_http(content) if content.startswith(b"HTTP/") else (b"", content)
     d = (head["date"] + "00000101000000"[len(head["date"]) :])[:14] if head["date"].isdigit() else "19700101000000"
-    page = re.search(rb"(?im)^x-page-id: (-?\d+)\r$", http)
+    page = re.search(rb"(?im)^x-page-id: (-?\d+)\r?$", http)
     digest = sha1_base32(payload)
     name = uuid.uuid5(uuid.NAMESPACE_URL, "\n".join([head["url"], d, digest, http.decode("latin-1")]))
     media = "application/http; msgtype=response" if http else head["type"] if "/" in head["type"] else "application/octet-stream"
@@ -114,10 +197,12 @@ def as_warc(head: dict[str, str], content: bytes, cut: bool) -> tuple[tuple, byt
     return fields, payload
 
 
-def arc_to_warc(arcs: DataFrame, content_col: str = "content", payloads: bool = True) -> DataFrame:
-    """WARC record fields, and the payload (binary) if asked for, of whole ARC files such as the ``binaryFile`` source reads.
+def arc_to_warc(arcs: DataFrame, content_col: str = "content", payloads: bool = True, lenient: bool = False) -> DataFrame:
+    """WARC record fields, and the payload (binary) if asked for, of whole ARC files such as the ``binaryFile`` source reads, packed by gzip or not.
 
-    A file is held by one task at a time; an empty or null one has no records. A record that its file cuts short is marked.
+    A file is held by one task at a time, unpacked piece by piece; an empty or null one has no records. A record that its file cuts
+    short is marked. A bad header line fails the job, or, if lenient, becomes a row of type ``bad`` with the line as its uri: leave these
+    out before writing. Other columns than the content aren't read, whatever their names; an empty table gives an empty result.
     """
     ship(arcs.sparkSession)
     names = [x.split()[0] for x in RECORD.split(", ")] + ["payload"] * payloads
@@ -125,7 +210,7 @@ def arc_to_warc(arcs: DataFrame, content_col: str = "content", payloads: bool =
     def convert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for data in f["content"]:
-                rows = [(*fields, payload) if payloads else fields for fields, payload in (as_warc(*r) for r in parse_arc(bytes(data)))] if data else []
+                rows = [(*fields, payload) if payloads else fields for fields, payload in (as_warc(*r) for r in parse_arc(bytes(data), lenient))] if data else []
                 yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
 
     return arcs.select(F.col(content_col).alias("content")).mapInPandas(convert, RECORD + ", payload binary" * payloads)
@@ -134,18 +219,23 @@ def arc_to_warc(arcs: DataFrame, content_col: str = "content", payloads: bool =
 # --- WARC ---
 
 
-def mark_revisits(records: DataFrame, with_payload: DataFrame) -> DataFrame:
+def mark_revisits(records: DataFrame, with_payload: DataFrame, few: int = 100_000) -> DataFrame:
     """``with_payload`` with refers_to: null for the record that keeps its payload, else that record's identifier.
 
     Of equal payloads (digest and length), the record of the smallest page_id keeps it, null ones last, then the smallest
-    identifier; repeats of the same capture share an identifier and all keep it. A payload that a third of all records hold is
-    reduced before it is shuffled, and its join partition is split by Spark at run time.
+    identifier; repeats of the same capture share an identifier and all keep it. Only digests meet to find that out; a payload that a
+    third of all records hold is one of them. Up to ``few`` repeated payloads are then sent to the records, which stay where they are;
+    more of them are joined, the partition of a very common one split by Spark at run time. Columns named like an output column or
+    ``first`` are replaced; no records give an empty result.
     """
     key = ["payload_digest", "payload_bytes"]
     order = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "record_id", "uri", "date")
     first = records.groupBy(*key).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    first = materialise(first, "repeated")
+    if first.count() <= few:
+        first = F.broadcast(first)
     again = F.col("first.record_id") != F.col("record_id")
-    return with_payload.join(first, key, "left").withColumns({
+    return with_payload.drop("first", "refers_to", "refers_uri", "refers_date").join(first, key, "left").withColumns({
         "record_type": F.when(again, "revisit").otherwise(F.col("record_type")),
         "refers_to": F.when(again, F.col("first.record_id")),
         "refers_uri": F.when(again, F.col("first.uri")),
@@ -186,48 +276,6 @@ def write_warc(records: DataFrame, path: str, records_per_file: int) -> None:
     records.select(record.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-class _Stream:
-    """Bytes of a gzip file, unpacked piece by piece."""
-
-    def __init__(self, data: bytes, piece: int = 1 << 18):
-        self.data, self.piece, self.at, self.left, self.z = data, piece, 0, b"", zlib.decompressobj(31)
-
-    def more(self) -> bool:
-        while True:
-            if self.z.eof:  # archives may have a gzip member for each record
-                self.at -= len(self.z.unused_data)
-                self.z = zlib.decompressobj(31)
-            if self.at >= len(self.data):
-                return False
-            part = self.data[self.at : self.at + self.piece]
-            self.at += len(part)
-            got = self.z.decompress(part)
-            if got:
-                self.left += got
-                return True
-
-    def until(self, mark: bytes) -> bytes | None:
-        seen = 0
-        while (end := self.left.find(mark, seen)) < 0:
-            seen = max(0, len(self.left) - len(mark))
-            if not self.more():
-                return None
-        out, self.left = self.left[:end], self.left[end + len(mark) :]
-        return out
-
-    def take(self, n: int) -> bytes:
-        parts, have = [self.left], len(self.left)
-        while have < n:
-            self.left = b""
-            if not self.more():
-                raise ValueError("archive ends within a record")
-            parts.append(self.left)
-            have += len(self.left)
-        whole = b"".join(parts)
-        self.left = whole[n:]
-        return whole[:n]
-
-
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields by lower-case name, block) of each record of a gzip WARC file."""
     s = _Stream(data)
@@ -252,7 +300,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     schema = "record_id string, record_type string, uri string, date string, page_id long, payload_bytes long, payload_digest string, refers_to string, block_bytes long"
 
     def row(f: dict[str, str], block: bytes) -> tuple:
-        http, payload = (block.partition(b"\r\n\r\n")[::2]) if f.get("content-type", "").startswith("application/http") else (b"", block)
+        http, payload = split_http(block) if f.get("content-type", "").startswith("application/http") else (b"", block)
         told, n = f.get("warc-payload-digest"), len(payload)
         digest = told.removeprefix("sha1:") if told and re.fullmatch("sha1:[A-Z2-7]{32}", told) else None
         if f.get("warc-type") == "revisit":

@@ -393,6 +393,57 @@ def test_lawful_archives_of_other_kinds(spark):
     assert rows == sorted([("warcinfo", 11, warc.sha1_base32(b"software: x")), ("resource", 4, warc.sha1_base32(b"body")), ("revisit", 4, warc.sha1_base32(b"body")), ("revisit", None, None)], key=str)
 
 
+def test_arc_lines_with_spaces_and_line_feeds():
+    http = b"HTTP/1.0 200 OK\nX-Page-Id: 8\nContent-Type: text/html\n\n<p>\n\nx"
+    records = [("http://a/ b 5", "1.2.3.4", "20010203040506", "text/html; charset=utf-8; a 1", http), ("http://b/", "::1", "20010203040506", "", b"plain"), ("http://c/", "-", "2001", "no type 7", b"")]
+    for version in (b"1", b"2"):
+        got = [(h, warc.as_warc(h, c, cut)) for h, c, cut in warc.parse_arc(warc.write_arc(records, version, "f.arc"))]
+        assert [(h["url"].replace("%20", " "), h["ip"], h["date"], h["type"]) for h, _ in got] == [r[:4] for r in records]
+        assert [p for _, (_, p) in got] == [b"<p>\n\nx", b"plain", b""] and got[0][1][0][1] == "response" and got[0][1][0][9] == 8
+    raw = warc.write_arc(records[:1], b"1", "f").replace(b"http://a/%20b%205", b"http://a/ b 5")
+    assert next(warc.parse_arc(raw))[0]["url"] == "http://a/ b 5"
+
+
+@pytest.mark.parametrize("members", [False, True])
+def test_packed_arcs(spark, members):
+    import gzip
+
+    rng = random.Random(6)
+    records = [(f"http://a/{i}", "1.2.3.4", "20010203040506", "text/html", b"HTTP/1.1 200 OK\r\n\r\n" + rng.randbytes(rng.randrange(200_000))) for i in range(8)]
+    whole = warc.write_arc(records, b"1", "f")
+    cuts = [0, *sorted(whole.find(f"http://a/{i} ".encode()) for i in range(8)), len(whole)]
+    packed = b"".join(gzip.compress(whole[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)) if members else gzip.compress(whole)
+    rows = spark.createDataFrame([(bytearray(packed), "x"), (None, "y"), (bytearray(), "z")], "content binary, uri string")
+    got = {r["uri"]: (r["payload_digest"], r["payload_bytes"]) for r in warc.arc_to_warc(rows).collect()}
+    assert got == {u: (warc.sha1_base32(c.partition(b"\r\n\r\n")[2]), len(c.partition(b"\r\n\r\n")[2])) for u, *_, c in records}
+    assert warc.arc_to_warc(rows.limit(0)).count() == 0
+
+
+def test_bad_lines_become_rows(spark):
+    good = [("http://a/", "1.2.3.4", "20010203040506", "text/plain", b"one"), ("http://b/", "1.2.3.4", "20010203040506", "text/plain", b"two")]
+    data = warc.write_arc(good, b"1", "f")
+    at = data.find(b"http://b/")
+    broken = data[:at] + b"neither header\nnor any 7\n" + data[at:] + b"tail"
+    rows = spark.createDataFrame([(bytearray(broken),), (bytearray(b"no arc\n"),), (bytearray(b"filedesc://x 0 0 t 2\n9\n"),)], "content binary")
+    got = [(r["record_type"], r["uri"]) for r in warc.arc_to_warc(rows, lenient=True).collect()]
+    assert sorted(got) == sorted([("resource", "http://a/"), ("bad", "neither header"), ("resource", "http://b/"), ("bad", "tail"), ("bad", "no arc"), ("bad", "filedesc://x 0 0 t 2")])
+    with pytest.raises(Exception):  # noqa: B017
+        warc.arc_to_warc(rows).collect()
+
+
+def test_digests_meet_without_payloads(spark):
+    """Repeated payloads that are few are sent to the records, and more of them joined: with the same result, and other columns kept or replaced."""
+    records = [(f"http://a/{i}", "1.2.3.4", "20010203040506", "text/plain", b"same" if i % 3 else b"own %d" % i) for i in range(30)]
+    made = warc.arc_to_warc(spark.createDataFrame([(bytearray(warc.write_arc(records, b"2", "f")),)], "content binary")).withColumns({"first": F.lit("clash"), "refers_to": F.lit(1), "mine": F.lit(2)})
+    results = []
+    for few in (100, 0):
+        marked = warc.mark_revisits(made.drop("payload"), made, few)
+        assert ("BroadcastHashJoin" in marked._jdf.queryExecution().executedPlan().toString()) == bool(few) or not few
+        results.append(sorted((r["uri"], r["record_type"], r["refers_to"], r["mine"]) for r in marked.collect() if r["refers_to"]) + [marked.where("refers_to IS NULL").count()])
+    assert results[0] == results[1] and len(results[0]) == 20 and results[0][-1] == 11
+    assert warc.mark_revisits(made.limit(0).drop("payload"), made.limit(0)).count() == 0
+
+
 # --- mixing and sharding ---
 
 
