@@ -114,8 +114,8 @@ def account_gate(active: str, credential: str) -> Column:
 
 
 def dismissed_recently(at: Column, now_ms: Column | int, days: int = 14) -> Column:
-    """Whether a stored time in milliseconds lies under so many days back. Nothing stored: no; text that is no number: yes."""
-    ms = F.trim(at).try_cast("double")
+    """Whether a stored time in milliseconds lies under so many days back. Nothing stored: no; blanks count as 0; text that is no number: yes."""
+    ms = F.when(F.trim(at) == "", F.lit(0.0)).otherwise(F.trim(at).try_cast("double"))
     now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
     return F.when(F.coalesce(at, F.lit("")) == "", False).when(ms.isNull(), True).otherwise(now - ms < days * 86_400_000)
 

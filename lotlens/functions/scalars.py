@@ -57,8 +57,9 @@ def initials(name: Column) -> Column:
 
 
 def colour_bucket(name: Column, colours: int = 8) -> Column:
-    """Rolling sum of code points, modulo the number of colours."""
-    return F.aggregate(F.filter(F.split(trim_all(name), ""), lambda c: c != ""), F.lit(0), lambda h, c: (h + F.ascii(c)) % colours)
+    """Rolling sum of characters' first UTF-16 units, modulo the number of colours."""
+    unit = lambda c: F.when(F.ascii(c) > 0xFFFF, 0xD800 + F.shiftright(F.ascii(c) - 0x10000, 10)).otherwise(F.ascii(c))
+    return F.aggregate(F.filter(F.split(trim_all(name), ""), lambda c: c != ""), F.lit(0), lambda h, c: (h + unit(c)) % colours)
 
 
 def relative_age(then: Column, now: Column) -> Column:

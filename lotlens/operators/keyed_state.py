@@ -90,26 +90,50 @@ def accepted_sends(log: DataFrame, key: str, ts: str, seconds: int, unique: str)
 
 
 def code_tries(log: DataFrame, key: str, order: list[str], at: str, kind: str, ttl: int, limit: int = 5) -> DataFrame:
-    """A log of one-time codes with what each row finds: expires_at, live (before the row), failed_before and, after it, deleted.
+    """A log of one-time codes with what each row finds: live and failed_before (0 unless live), and what it leaves: expires_at and deleted.
 
-    kind: ``register`` starts a code with ``ttl`` seconds; ``refresh`` sets a new one with no failed tries but the time that is
-    left; ``wrong`` counts a failed try and keeps the time too; ``right`` uses the code up, as the ``limit``-th wrong try does.
-    What comes after the end or a deletion finds nothing until the key registers again. at: seconds. ``order`` must be unique in a key.
+    kind: ``register`` starts a code with ``ttl`` seconds; ``refresh`` sets a new one with no failed tries; ``wrong`` counts a failed try;
+    ``right`` uses the code up, as the ``limit``-th wrong try does. refresh and wrong keep the time that is left, in whole seconds, so each
+    moves the end forward by the fraction; in a code's last second nothing is left to keep: a wrong try isn't counted there, and a
+    refresh starts the whole time again. What comes after the end or a deletion finds nothing until the key registers again, and
+    leaves expires_at as it was. at: seconds, exact to a microsecond. ``order`` must be unique in a key.
+
+    Within a time that runs on, ends follow from the times' fractions alone, by window sums; each pass over the log finds the first refresh in a last
+    second after each start, which starts a time of its own in the next pass, until there is none.
     """
+    second = 1_000_000
     w = Window.partitionBy(key).orderBy(*order)
-    rows = log.withColumn("__session", F.count_if(F.col(kind) == "register").over(w))
-    s = Window.partitionBy(key, "__session").orderBy(*order)
-    before = s.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({
-        "expires_at": F.first(F.when(F.col(kind) == "register", F.col(at) + ttl)).over(s),
-        "__generation": F.count_if(F.col(kind) == "refresh").over(s),
-    })
-    g = Window.partitionBy(key, "__session", "__generation").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("failed_before", F.coalesce(F.count_if(F.col(kind) == "wrong").over(g), F.lit(0).cast("long")))
-    ends = (F.col(kind) == "right") | ((F.col(kind) == "wrong") & (F.col("failed_before") >= limit - 1))
-    open_ = (F.col("__session") > 0) & (F.col(at) < F.col("expires_at"))
-    rows = rows.withColumn("live", open_ & (F.coalesce(F.count_if(ends & open_).over(before), F.lit(0)) == 0) & (F.col(kind) != "register"))
-    return rows.withColumn("deleted", F.col("live") & ends).drop("__session", "__generation")
+    rows = log.withColumns({"__us": F.round(F.col(at) * second).cast("bigint"), "__start": F.col(kind) == "register", "__found": F.lit(None).cast("bigint")})
+    touch = F.col(kind).isin("wrong", "refresh") & ~F.col("__start")
+    while True:
+        s = Window.partitionBy(key, "__session").orderBy(*order)
+        before, first = s.rowsBetween(Window.unboundedPreceding, -1), lambda test, value, over: F.first(F.when(test, value), ignorenulls=True).over(over)
+        out = rows.withColumns({"__session": F.count_if("__start").over(w), "__part": F.pmod("__us", F.lit(second))})
+        # an end is a whole second and the fraction of whoever moved it last; it moves a second forward where the fraction grows
+        out = out.withColumn("__last", F.last(F.when(touch | F.col("__start"), F.col("__part")), ignorenulls=True).over(before))
+        out = out.withColumn("__moves", F.when(touch & (F.col("__part") > F.col("__last")), 1).otherwise(0))
+        out = out.withColumns({"__base": first(F.col("__start"), F.floor(F.col("__us") / second) + ttl, s), "__moved": F.sum("__moves").over(s)})
+        out = out.withColumns({"__end": (F.col("__base") - F.col("__moved") + F.col("__moves")) * second + F.col("__last"), "__next": (F.col("__base") - F.col("__moved")) * second + F.col("__part")})
+        out = out.withColumn("__short", touch & (F.col("__end") - F.col("__us") < second))
+        out = out.withColumn("__end", F.coalesce(first(F.col("__short"), F.col("__end"), before), "__end"))
+        out = out.withColumns({"__open": ~F.col("__start") & (F.col("__session") > 0) & (F.col("__end") > F.col("__us")), "__generation": F.count_if((F.col(kind) == "refresh") & ~F.col("__start")).over(before)})
+        g = Window.partitionBy(key, "__session", "__generation").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn("__failed", F.coalesce(F.count_if((F.col(kind) == "wrong") & ~F.col("__short")).over(g), F.lit(0)))
+        out = out.withColumn("__ends", F.col("__open") & ((F.col(kind) == "right") | ((F.col(kind) == "wrong") & (F.col("__failed") >= limit - 1))))
+        out = out.withColumn("__gone", first(F.col("__ends"), F.col("__end"), before))
+        out = out.withColumn("__live", F.col("__open") & F.col("__gone").isNull())
+        again = F.col("__live") & F.col("__short") & (F.col(kind) == "refresh")
+        out = written(out.withColumn("__again", again & (F.coalesce(F.count_if(again).over(before), F.lit(0)) == 0)), "codes")
+        if out.where("__again").isEmpty():
+            break
+        rows = out.select(*log.columns, "__us", (F.col("__start") | F.col("__again")).alias("__start"), F.when(F.col("__again"), F.col("__failed")).otherwise(F.col("__found")).alias("__found"))
+    live = F.col("__live") | F.col("__found").isNotNull()
+    left = (
+        F.when(F.col("__start"), F.col("__us") + ttl * second).when(F.col("__gone").isNotNull(), F.col("__gone"))
+        .when(F.col("__live") & touch & ~F.col("__short") & ~F.col("__ends"), F.col("__next")).otherwise(F.col("__end"))
+    )
+    failed = F.coalesce("__found", F.when(F.col("__live"), F.col("__failed")), F.lit(0).cast("bigint"))
+    return out.select(*log.columns, (left / second).alias("expires_at"), live.alias("live"), failed.alias("failed_before"), F.coalesce(F.col("__live") & F.col("__ends"), F.lit(False)).alias("deleted"))
 
 
 def attempts(log: DataFrame, key: str, generation: str, order: list[Column], wrong: Column, limit: int) -> DataFrame:

@@ -521,16 +521,20 @@ def one_time_tokens(spark, d):
     return K.open_tokens(log, EPOCH)
 
 
-@query("""WITH l AS (SELECT *, epoch(ts) AS sec, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events WHERE event_type <> 'click'),
-    r AS (SELECT *, first_value(CASE WHEN event_type = 'signup' THEN sec + 864000 END) OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS expires, count(*) FILTER (event_type = 'view') OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS g FROM l),
-    f AS (SELECT *, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id, s, g ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS failed FROM r),
-    e AS (SELECT *, s > 0 AND coalesce(sec < expires, false) AS open, event_type = 'purchase' OR (event_type = 'error' AND failed >= 2) AS ends FROM f),
-    o AS (SELECT *, open AND event_type <> 'signup' AND count(*) FILTER (ends AND open) OVER (PARTITION BY user_id, s ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 AS live FROM e)
-    SELECT event_id, floor(expires)::BIGINT AS expires_at, failed AS failed_before, live, live AND ends AS deleted FROM o""")
+@query("""WITH RECURSIVE l AS (SELECT user_id, event_id, event_type AS kind, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'click'),
+    r AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS expires, false AS there, 0 AS failed, 0 AS failed_before, false AS live, false AS deleted FROM l
+      UNION ALL SELECT user_id, n, event_id,
+        CASE WHEN kind = 'signup' OR (live AND kind = 'view' AND rest < 1) THEN us + 172800000000 WHEN live AND NOT deleted AND kind IN ('view', 'error') AND rest >= 1 THEN us + rest * 1000000 ELSE expires END,
+        kind = 'signup' OR (live AND NOT deleted),
+        CASE WHEN kind = 'signup' OR (live AND kind = 'view') THEN 0 WHEN live AND NOT deleted AND kind = 'error' AND rest >= 1 THEN failed + 1 ELSE failed END,
+        CASE WHEN live THEN failed ELSE 0 END, live, deleted
+      FROM (SELECT *, live AND (kind = 'purchase' OR (kind = 'error' AND failed >= 2)) AS deleted FROM (
+        SELECT l.*, r.expires, r.failed, (r.expires - l.us) // 1000000 AS rest, r.there AND r.expires > l.us AND kind <> 'signup' AS live FROM r JOIN l ON l.user_id = r.user_id AND l.n = r.n + 1)))
+    SELECT event_id, floor(expires / 1000000)::BIGINT AS expires_at, failed_before, live, deleted FROM r WHERE n > 0""")
 def code_tries(spark, d):
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in {"signup": "register", "view": "refresh", "error": "wrong", "purchase": "right"}.items() for x in kv]), F.col("event_type"))
     log = events(spark, d).where("event_type <> 'click'").withColumns({"kind": kind, "at": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6})
-    out = K.code_tries(log, "user_id", ["ts", "event_id"], "at", "kind", 864000, 3)
+    out = K.code_tries(log, "user_id", ["ts", "event_id"], "at", "kind", 172800, 3)
     return out.select("event_id", F.floor("expires_at").cast("bigint").alias("expires_at"), "failed_before", "live", "deleted")
 
 

@@ -187,7 +187,8 @@ def test_more_scalars(spark):
     assert values(spark, lambda t: S.without_prefix(t, "connect_"), ["connect_connect_x", "xconnect_", ""]) == ["connect_x", "xconnect_", ""]
     assert values(spark, lambda t: S.uk_number(t.cast("int"), "км"), ["1234567", "12"]) == ["1\u00a0234\u00a0567 км", "12 км"]
     assert values(spark, S.strip_handle, ["@@me//", "a@b/"]) == ["me", "a@b"]
-    assert values(spark, lambda t: P.dismissed_recently(t, 14 * 86_400_000), ["", None, "x", "0", " 1 "]) == [False, False, True, False, True]
+    assert values(spark, lambda t: P.dismissed_recently(t, 14 * 86_400_000), ["", None, "x", "0", " 1 ", "  "]) == [False, False, True, False, True, False]
+    assert values(spark, S.colour_bucket, ["a", "🚗", "é🚗"]) == [ord("a") % 8, 0xD83D % 8, (ord("é") + 0xD83D) % 8]
     users = spark.createDataFrame([(1, True, "h"), (2, None, "h"), (3, True, ""), (4, False, None)], "id int, active boolean, secret string")
     assert [r["g"] for r in users.orderBy("id").select(P.account_gate("active", "secret").alias("g")).collect()] == ["ok", "deactivated", "invalid", "invalid"]
 

@@ -104,3 +104,34 @@ def test_token_uses(spark):
     log = spark.createDataFrame(rows, "key string, seq int, at double, op string")
     out = {r["seq"]: (r["served"], r["set_by"]) for r in K.token_uses(log, "key", ["seq"], "at", "op", "seq", 10).collect()}
     assert out == {2: (True, 1), 3: (False, None), 5: (False, None), 6: (False, None), 9: (True, 8)}
+
+
+def test_codes_like_a_walk_over_their_log(spark):
+    rng, rows, want = random.Random(11), [], {}
+    for k in range(60):
+        t, code = 0, None  # code: [end, failed]
+        for _ in range(rng.randrange(1, 40)):
+            t += rng.choice([0, 1, 250_000, 999_999, 1_000_000, 1_500_001, 3_000_000, 4_750_000])
+            kind, i, ttl = rng.choice(["register", "refresh", "refresh", "wrong", "wrong", "wrong", "right"]), len(rows), 5
+            rows.append((k, i, t / 1e6, kind))
+            last = want[i - 1][0] if i and rows[i - 1][0] == k else None
+            if kind == "register":
+                code, want[i] = [t + ttl * 10**6, 0], (t + ttl * 10**6, False, 0, False)
+                continue
+            if code is None or code[0] <= t:
+                code, want[i] = None, (last, False, 0, False)
+                continue
+            failed, rest, deleted = code[1], (code[0] - t) // 10**6, False
+            if kind == "refresh":
+                code = [t + (rest or ttl) * 10**6, 0]
+            elif kind == "right" or failed + 1 >= 3:
+                deleted = True
+            elif rest:
+                code = [t + rest * 10**6, failed + 1]
+            want[i] = (code[0], True, failed, deleted)
+            code = None if deleted else code
+    log = spark.createDataFrame(rows, "k int, i int, at double, kind string")
+    out = K.code_tries(log, "k", ["i"], "at", "kind", 5, 3).collect()
+    got = {r["i"]: (None if r["expires_at"] is None else round(r["expires_at"] * 1e6), r["live"], r["failed_before"], r["deleted"]) for r in out}
+    assert len(out) == len(rows) and got == want
+    assert any(w[1] and rows[i][3] == "refresh" and w[0] - round(rows[i][2] * 1e6) == 5_000_000 for i, w in want.items()) and sum(w[3] for w in want.values()) > 20
