@@ -84,7 +84,7 @@ def accepted_sends(log: DataFrame, key: str, ts: str, seconds: int, unique: str)
         jumps = written(led.alias("a").join(led.alias("b"), F.col("a.next") == F.col("b.r")).select("a.r", "b.next"), "gate")
     passed = starts
     for level in reversed(levels):
-        passed = written(passed.unionByName(passed.join(level, "r").select(F.col("next").alias("r"))), "gate")
+        passed = passed.join(level, "r", "left").select(F.explode(F.array_compact(F.array("r", "next"))).alias("r"))
     firsts = moments.join(passed, "r", "left_semi").select(F.col("k").alias(key), F.col("us").alias("__us"), F.col("one").alias("__one"))
     return rows.join(firsts, [key, "__us"], "left").withColumn("accepted", F.coalesce(F.col(unique) == F.col("__one"), F.lit(False))).select(*log.columns, "accepted")
 
