@@ -37,7 +37,8 @@ def xml_rows(df: DataFrame) -> Column:
 
 
 def _csv_head() -> str:
-    return "\ufeff" + ",".join(h for _, h in EXPORT_COLUMNS)
+    """Byte order mark and header; a name with a comma is quoted like a cell."""
+    return "\ufeff" + ",".join(f'"{h}"' if "," in h else h for _, h in EXPORT_COLUMNS)
 
 
 def _sheet_head() -> str:
@@ -117,10 +118,9 @@ def _joined(spark: SparkSession, fs, parts: list[tuple[str, int]], head: bytes,
         for name, size in parts:
             places.append((name, at, size))
             at += size
-        out = fs.create(whole, True)
-        out.write(head)
-        out.close()
         name = whole.toUri().getPath()
+        with open(name, "wb") as f:  # not by Hadoop, whose checksum file would be of the head alone
+            f.write(head)
         rows = spark.createDataFrame(places, "part string, at long, size long").repartition(len(places), "part")
         rows.mapInPandas(lambda frames: _copied(frames, name), "size long").agg(F.sum("size")).collect()
         with open(name, "r+b") as f:

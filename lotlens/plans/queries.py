@@ -20,7 +20,7 @@ from lotlens.operators import metrics as M
 from lotlens.operators import mutations as U
 from lotlens.operators import search as Q
 from lotlens.operators.compaction import apply_batch, kv_live
-from lotlens.operators.export import csv_lines, xml_rows
+from lotlens.operators.export import commit_tables, csv_lines, current_table, write_one_file, xml_rows
 from lotlens.operators.paging import placed, sorted_page, write_sorted
 from lotlens.operators.rollup import activity, add_batch, daily_sums
 from lotlens.operators.saved_searches import match_all_searches
@@ -926,3 +926,40 @@ def rounded_exactly(spark, d):
     """Ratios and ties rounded on their exact binary values."""
     k, price = F.col("id"), F.col("price")
     return offers(spark, d).select("id", S.round_exact(price / 3).alias("units"), S.round_exact(price / 7, 2).alias("cents"), S.round_exact((k % 4000).cast("double") / 1000, 2).alias("ties"), S.round_exact((k % 1000).cast("double") / 8, 1).alias("eighths"))
+
+
+@query("SELECT string_agg(line, chr(10) ORDER BY n) AS text, count(*) AS lines FROM (SELECT -1 AS n, chr(65279) || 'Назва,Рік,\"Пробіг, км\",\"Ціна, грн\",Регіон,Паливо,КПП,Джерело,Оцінка,Час,Опис,Посилання' AS line UNION ALL SELECT id, line FROM (" + ORACLES["export_rows"] + "))")
+def exported_file(spark, d):
+    """All users as one CSV file, header and all, that executors wrote; read back as a whole."""
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}.csv"
+    rows = users(spark, d).select("id", F.concat("name", F.lit(', "'), "plan", F.lit('"')).alias("title"), F.col("nation").alias("year"), F.lit("low").alias("risk"))
+    if not write_one_file(rows, path, [F.asc("id")]):
+        return spark.createDataFrame([], "text string, lines long")
+    lines = F.split(F.col("content").cast("string"), "\r\n")
+    return spark.read.format("binaryFile").load(path).select(F.array_join(lines, "\n").alias("text"), F.size(lines).cast("long").alias("lines"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN 'moved' ELSE o_orderstatus END AS now, o_orderstatus AS before, CASE WHEN o_custkey % 5 > 0 THEN o_orderpriority END AS kept FROM orders""")
+def committed_versions(spark, d):
+    """Two tables committed together twice, a writer that fails in between, and both commits read."""
+    path = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    o = offers(spark, d).select("id", "user_id", "source", "fuel")
+    commit_tables({"state": o.select("id", "user_id", "source"), "fuels": o.select("id", "fuel")}, path)
+    state, fuels = (current_table(spark, path, t) for t in ("state", "fuels"))
+    try:
+        commit_tables({"state": state.limit(0), "fuels": fuels.select(F.raise_error(F.lit("a writer fails")).alias("id"))}, path)
+    except Exception as e:  # noqa: BLE001
+        if "a writer fails" not in str(e):
+            raise
+    moved = state.withColumn("source", F.when(F.col("user_id") % 3 == 0, "moved").otherwise(F.col("source")))
+    commit_tables({"state": moved, "fuels": fuels.join(state.where("user_id % 5 > 0").select("id"), "id", "left_semi")}, path)
+    now, before = current_table(spark, path, "state").select("id", F.col("source").alias("now")), current_table(spark, path, "state", 1).select("id", F.col("source").alias("before"))
+    return now.join(before, "id").join(current_table(spark, path, "fuels").withColumnRenamed("fuel", "kept"), "id", "left")
+
+
+@query("SELECT c_custkey::VARCHAR AS id, c_name AS name, c_mktsegment AS plan, NULL::VARCHAR AS telegram_avatar_path, NULL::BOOLEAN AS is_active FROM customer")
+def older_files(spark, d):
+    """Users stored before some columns were added, by today's schema."""
+    path = f"{shared_dir(spark)}/users-{uuid.uuid4().hex}"
+    users(spark, d).select(F.col("id").cast("string").alias("id"), "name", "plan").write.parquet(path)
+    return C.stored(spark, path, "users").select("id", "name", "plan", "telegram_avatar_path", "is_active")

@@ -130,7 +130,7 @@ def test_exports(spark, tmp_path):
     assert not E.write_csv(rows.limit(0), str(tmp_path / "none.csv"), [F.asc("pos")])
     assert E.write_csv(rows, str(tmp_path / "a.csv"), [F.asc("pos")])
     raw = (tmp_path / "a.csv").read_bytes().decode()
-    assert raw.startswith("﻿Назва,Рік,") and raw.count("\r\n") == 15 and not raw.endswith("\r\n")
+    assert raw.startswith('﻿Назва,Рік,"Пробіг, км","Ціна, грн",Регіон,') and raw.count("\r\n") == 15 and not raw.endswith("\r\n")
     assert 'Брати,12 хв тому,"<a> ""b"", c",' in raw
     assert E.write_spreadsheet(rows, str(tmp_path / "a.xls"), [F.asc("pos")])
     text = (tmp_path / "a.xls").read_text()

@@ -73,6 +73,7 @@ def test_one_file_is_what_the_driver_would_write(spark, tmp_path, kind):
     assert E.write_one_file(rows.where("n = 7 AND pos = 3"), f"file://{own}", order, kind) and write(rows.where("n = 7 AND pos = 3"), str(want), order)
     assert own.read_bytes() == want.read_bytes()
     assert not E.write_one_file(rows.limit(0), f"file://{own}", order, kind) and own.read_bytes() == want.read_bytes()
+    assert bytes(spark.read.format("binaryFile").load(f"file://{own}").first()["content"]) == own.read_bytes()
     assert {p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")} == {own.name, want.name}
 
 
