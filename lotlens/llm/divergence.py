@@ -30,11 +30,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term; a row with a null term for each (lang, source)."""
     terms = F.regexp_extract_all(F.translate(empty_if_null("text"), UPPER, LOWER), F.lit(TERM), F.lit(0))
     rows = docs.select(empty_if_null("lang").alias("lang"), empty_if_null("source").alias("source"), terms.alias("terms"))
-    seen = lambda once: lambda t: F.struct(t.alias("term"), F.lit(1 - once).alias("n"), F.lit(once).alias("docs"))
-    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("n"), F.lit(0).alias("docs")))
-    each = F.concat(none, F.transform("terms", seen(0)), F.transform(F.array_distinct("terms"), seen(1)))
-    rows = rows.select("lang", "source", F.explode(each).alias("t"))
-    return rows.groupBy("lang", "source", "t.term").agg(F.sum("t.n").alias("n"), F.sum("t.docs").alias("docs"))
+    # one list a document: nothing, its k terms, its distinct terms; a place in it says what a row counts for
+    each = F.concat(F.array(F.lit(None).cast("string")), "terms", F.array_distinct("terms"))
+    rows = rows.select("lang", "source", F.size("terms").alias("k"), F.posexplode(each).alias("at", "term"))
+    return rows.groupBy("lang", "source", "term").agg(
+        F.count_if((F.col("at") > 0) & (F.col("at") <= F.col("k"))).alias("n"), F.count_if(F.col("at") > F.col("k")).alias("docs"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
