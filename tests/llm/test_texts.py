@@ -293,15 +293,15 @@ def test_python_reads_what_the_jvm_reads(spark):
 
 
 def test_records_that_the_jvm_refuses(spark):
-    """A text of 25 million characters, in a record and in a nested column, and names that are repeated."""
-    long = "lang " * 5_000_000
+    """A text of over 20 million characters, in a record and in a nested column, and names that are repeated."""
+    long = "lang " * 4_200_000
     df = spark.createDataFrame([(1, json.dumps({"prompt": "p", "response": long})), (2, '{"prompt": "a", "x": 1, "x": 2, "response": "r", "prompt": "b"}'), (3, '{"x": 1, "x": 2}')], "conv_id long, record string")
-    turns = chat.canonical_records(df, "conv_id", "record")
+    turns = chat.canonical_records(df, "conv_id", "record").cache()
     digests = {r["conv_id"]: r for r in chat.conversation_digests(chat.format_turns(turns)).collect()}
     assert set(digests) == {1, 2} and digests[1]["loss_chars"] == len(long) and digests[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
     assert [(r["role"], r["text"]) for r in turns.where("conv_id = 2").orderBy("turn").collect()] == [("user", "b"), ("assistant", "r")]
     assert [r["conv_id"] for r in chat.unmapped_records(df, "record").collect()] == [3]
-    nested = df.where("conv_id = 2").select("conv_id", F.lit(0).alias("n"), F.array(F.struct(F.lit("user").alias("role"), F.repeat(F.lit("lang "), 5_000_000).alias("content"))).alias("messages"))
+    nested = df.where("conv_id = 2").select("conv_id", F.lit(0).alias("n"), F.array(F.struct(F.lit("user").alias("role"), F.repeat(F.lit("lang "), 4_200_000).alias("content"))).alias("messages"))
     assert chat.canonical_rows(nested, "conv_id", "n").select(F.length("text")).first()[0] == len(long)
 
 
