@@ -5,34 +5,79 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from operator import or_
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotlens.functions.predicates import any_contains
+from lotlens.functions.predicates import contains_text
 from lotlens.sources.shared import ship
 
 GRAM = 3
 BLOCKS = 256
 #: Keywords that one automaton holds; more of them take one pass over the texts for so many.
 KEYWORDS = 200_000
+#: Letters whose grams a task sorts at once.
+LETTERS = 1 << 20
+POSTING = "__block int, col string, gram string"
+
+
+def distinct_grams(texts: list[str]) -> list[str]:
+    """The grams of some texts, each once: a gram is one number, and those over the seam of two texts are left out."""
+    texts = [t for t in texts if len(t) >= GRAM]
+    if not texts:
+        return []
+    x = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    seams = np.cumsum([len(t) for t in texts])[:-1]
+    codes = np.unique(np.delete(x[:-2] << np.uint64(42) | x[1:-1] << np.uint64(21) | x[2:], np.concatenate([seams - 1, seams - 2])))
+    letters = np.stack([codes >> np.uint64(42), codes >> np.uint64(21) & np.uint64(0x1FFFFF), codes & np.uint64(0x1FFFFF)], axis=1).astype(np.uint32)
+    flat = letters.tobytes().decode("utf-32-le")
+    return [flat[i : i + GRAM] for i in range(0, len(flat), GRAM)]
+
+
+def _pieces(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts in lists of about ``LETTERS`` letters; longer texts come in pieces that share the letters of the grams over their seam."""
+    some, held = [], 0
+    for t in texts:
+        t = t.as_py() or ""
+        for i in range(0, len(t), LETTERS):
+            some.append(t[i : i + LETTERS + GRAM - 1])
+            held += len(some[-1])
+            if held >= LETTERS:
+                yield some
+                some, held = [], 0
+    yield some
+
+
+def _postings(columns: list[str]):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block = b.column("__block").to_numpy()
+            for n in np.unique(block):
+                mine = b.filter(pa.array(block == n))
+                for c in columns:
+                    for texts in _pieces(mine.column(c)):
+                        grams = distinct_grams(texts)
+                        yield pa.RecordBatch.from_arrays([pa.array([n] * len(grams), pa.int32()), pa.array([c] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["__block", "col", "gram"])
+
+    return found
 
 
 def write_text_index(df: DataFrame, columns: list[str], path: str, key: str, blocks: int = BLOCKS) -> None:
     """Write ``df`` in blocks of rows (by a hash of ``key``), and which lower-cased grams of the columns each block has.
 
     A gram has at most one posting a column and block, however common it is; postings are sorted by gram, so that a
-    search opens the files of its grams only. Null texts have no grams.
+    search opens the files of its grams only. Null texts have no grams. Work grows with the letters, however they are dealt to texts.
     """
     df.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).repartition("__block").write.partitionBy("__block").parquet(f"{path}/rows")
     rows = df.sparkSession.read.parquet(f"{path}/rows")
-    starts = F.sequence(F.lit(1), F.length("low") - (GRAM - 1))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("low"), i, GRAM)))
-    each = [rows.select("__block", F.lower(c).alias("low")).where(F.length("low") >= GRAM).select("__block", F.lit(c).alias("col"), F.explode(grams).alias("gram")) for c in columns]
-    reduce(DataFrame.unionByName, each).distinct().repartitionByRange("gram", "col").sortWithinPartitions("gram", "col", "__block").write.parquet(f"{path}/grams")
+    ship(df.sparkSession)
+    low = rows.select("__block", *[F.lower(c).alias(c) for c in columns])
+    low.mapInArrow(_postings(columns), POSTING).distinct().repartitionByRange("gram", "col").sortWithinPartitions("gram", "col", "__block").write.parquet(f"{path}/grams")
 
 
 def pattern_grams(spark: SparkSession, text: str) -> list[str]:
@@ -51,6 +96,16 @@ def candidate_blocks(spark: SparkSession, path: str, columns: list[str], text: s
     return sorted(r[0] for r in full.select("__block").distinct().collect())  # at most as many numbers as there are blocks
 
 
+def _holds(column: str, text: str) -> Column:
+    """The predicate's test of one column. The stretches between ``%`` are looked for one after another, each where it comes first
+    and never again, as trying all places of one for the next is quadratic in a text that lacks the last.
+    """
+    if not re.search("[%_]", text):
+        return contains_text(column, text)
+    low = F.replace(F.replace(F.lower(F.lit(text)), F.lit("%"), F.lit("\\E)(?>.*?\\Q")), F.lit("_"), F.lit("\\E.\\Q"))  # lower-cased, it has no \E of its own
+    return F.rlike(F.lower(column), F.concat(F.lit("(?s)\\A(?>.*?\\Q"), low, F.lit("\\E)")))
+
+
 def search_text(spark: SparkSession, path: str, columns: list[str], text: str) -> DataFrame:
     """The rows of the index in which one of the columns contains ``text``, letter case aside, ``%`` and ``_`` in it being wildcards.
 
@@ -63,7 +118,7 @@ def search_text(spark: SparkSession, path: str, columns: list[str], text: str) -
     blocks = candidate_blocks(spark, path, columns, text)
     if blocks is not None:
         rows = rows.where(F.col("__block").isin(*blocks) if blocks else F.lit(False))
-    return rows.where(any_contains(columns, text)).drop("__block")
+    return rows.where(reduce(or_, [_holds(c, text) for c in columns])).drop("__block")
 
 
 def keyword_hits(df: DataFrame, text_col: str, keywords: DataFrame, out_col: str = "hits", limit: int = KEYWORDS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,22 @@ def test_keywords_in_one_walk(spark, limit):
     got = {r["id"]: r["hits"] for r in X.keyword_hits(df, "text", keys, limit=limit).collect()}
     assert got == {i: [w for w in words if w in (t or "").lower()] for i, t in enumerate(texts)} and any(len(v) > 5 for v in got.values())
     assert X.keyword_hits(df, "text", keys.limit(0)).where(F.size("hits") > 0).count() == 0 and X.keyword_hits(df.limit(0), "text", keys).count() == 0
+
+
+def test_grams_once_and_none_over_seams(monkeypatch):
+    monkeypatch.setattr(X, "LETTERS", 5)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ab中🚗 é", k=rng.randrange(9))) for _ in range(80)]
+    want = {t[i : i + X.GRAM] for t in texts for i in range(len(t) - X.GRAM + 1)}
+    got = X.distinct_grams(texts)
+    assert set(got) == want and len(got) == len(want) and X.distinct_grams(["ab", ""]) == [] and X.distinct_grams(["a🚗b"]) == ["a🚗b"]
+    assert {g for some in X._pieces(pa.array([*texts, None])) for g in X.distinct_grams(some)} == want and max(len(t) for some in X._pieces(pa.array(texts)) for t in some) == 7
+
+
+def test_long_texts_take_time_in_proportion(spark, tmp_path):
+    """A text of a million letters, without what the pattern ends with: by places it takes hours, as does trying all places of the first stretch."""
+    df = spark.createDataFrame([(1, "th🚗 " * 250_000 + "x", "s"), (2, "a th\nat TION!", None), (3, "ta th tion", "the\\Eotions")], "id long, text string, code string")
+    X.write_text_index(df, ["text", "code"], str(tmp_path / "t"), "id", blocks=2)
+    found = lambda text: sorted(r[0] for r in X.search_text(spark, str(tmp_path / "t"), ["text", "code"], text).select("id").collect())
+    assert found("th%tion_") == [2, 3] and found("th_t") == [3] and found("th% x") == [1] and found("e\\E_t") == [3] and found("h🚗_t") == [1] and found("%%_") == [1, 2, 3]
+    assert found("t%h%🚗%th%q") == []
