@@ -35,15 +35,20 @@ class KeyedLog(StatefulProcessor):
         self.handle = handle
         self.entry = handle.getValueState("entry", ENTRY)
 
+    def _held(self) -> tuple | None:
+        held = self.entry.get()
+        return None if held is None else tuple(held)
+
     def _put(self, before: tuple | None, entry: tuple) -> None:
-        if before is not None and (at := _timer(before)) is not None:
-            self.handle.deleteTimer(at)
+        old, new = before and _timer(before), _timer(entry)
+        if old is not None and old != new:
+            self.handle.deleteTimer(old)
         self.entry.update(entry)
-        if (at := _timer(entry)) is not None:
-            self.handle.registerTimer(at)
+        if new is not None and old != new:
+            self.handle.registerTimer(new)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        entry = tuple(self.entry.get()) if self.entry.exists() else None
+        entry = before = self._held()
         for r in sorted(rows, key=lambda r: (r["us"], r["seq"])):
             newer = entry is None or (r["us"], r["seq"]) > (entry[3], entry[4])
             found = entry is not None and entry[0] == "set" and (entry[2] is None or entry[2] > r["us"] / 1e6)
@@ -56,11 +61,12 @@ class KeyedLog(StatefulProcessor):
                 yield Row(key=key[0], kind=r["op"], value=r["value"], us=r["us"], seq=r["seq"])
             if newer:
                 after = ("set", r["value"], r["expires_at"], r["us"], r["seq"]) if r["op"] == "set" else ("gone", None, None, r["us"], r["seq"])
-                self._put(entry, after)
                 entry = after
+        if entry is not before:  # once for all rows, as each call goes to the JVM and back
+            self._put(before, entry)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        entry = tuple(self.entry.get()) if self.entry.exists() else None
+        entry = self._held()
         if entry is None or _timer(entry) is None or _timer(entry) > expiredTimerInfo.getExpiryTimeInMs():
             return
         self.entry.clear()

@@ -135,3 +135,34 @@ def test_codes_like_a_walk_over_their_log(spark):
     got = {r["i"]: (None if r["expires_at"] is None else round(r["expires_at"] * 1e6), r["live"], r["failed_before"], r["deleted"]) for r in out}
     assert len(out) == len(rows) and got == want
     assert any(w[1] and rows[i][3] == "refresh" and w[0] - round(rows[i][2] * 1e6) == 5_000_000 for i, w in want.items()) and sum(w[3] for w in want.values()) > 20
+
+
+def test_state_is_read_and_written_once_for_all_rows_of_a_key():
+    calls, state = [], {"entry": None, "timers": set()}
+
+    class Handle:
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return state["entry"]
+
+        def update(self, entry):
+            calls.append("update")
+            state["entry"] = entry
+
+        def registerTimer(self, at):
+            calls.append("register")
+            state["timers"].add(at)
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+            state["timers"].remove(at)
+
+    log = keyed.KeyedLog()
+    log.init(Handle())
+    rows = [{"op": "set", "value": str(i), "expires_at": 50.0 + i, "us": i * 1_000_000, "seq": i} for i in range(100)]
+    assert len(list(log.handleInputRows(("k",), iter(rows[:60]), None))) == 60 and calls == ["get", "update", "register"] and state["timers"] == {109_000}
+    assert len(list(log.handleInputRows(("k",), iter(rows[::-1]), None))) == 40 and len(calls) == 7 and state["timers"] == {149_000} and state["entry"][1] == "99"
+    assert list(log.handleInputRows(("k",), iter(rows), None)) == [] and calls[7:] == ["get"]
